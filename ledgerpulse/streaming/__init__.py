@@ -1,0 +1 @@
+"""Left empty: the workload has no stream source, watermark or state to rebuild."""
