@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -10,6 +12,9 @@ from ledgerpulse.functions.dates import micros, whole_days
 from ledgerpulse.functions.numbers import at_least, mean, ratio, total
 
 DAYS_PER_MONTH = 30
+# A missing period end sorts after every date; a whole number spans less than VALUE_RANGE.
+LAST_MICROS = 2**62
+VALUE_RANGE = Decimal(2) * Decimal(10) ** 19
 PROFILE = ("signup_date", "plan", "segment", "monthly_price")
 
 # Model inputs, in order, as far as the table has them.
@@ -20,6 +25,8 @@ NUMERIC_FEATURES = (
 )
 USAGE_FEATURES = ("total_logins", "avg_logins", "max_logins", "avg_feature_usage", "max_feature_usage")
 CATEGORICAL = ("plan", "segment")
+# A one-hot block wider than this is a mistake in the choice of column.
+MAX_CATEGORIES = 1000
 
 
 def reference_date(subscriptions: DataFrame) -> DataFrame:
@@ -47,13 +54,13 @@ def latest_record(subscriptions: DataFrame) -> DataFrame:
 
 
 def _latest_flag(name: str) -> Column:
-    """Last non-missing 0/1 or boolean by period end; at equal ends the larger one.
+    """Last non-missing whole number or boolean by period end; at equal ends the larger one.
 
     Time and value share one DECIMAL, so the aggregate buffer has a fixed width
     and Spark hashes; a struct ordering would make it sort every input row.
     """
-    end = F.coalesce(micros(F.col("period_end")), F.lit(2**62)).cast("decimal(19,0)")
-    place = end * F.lit(10).cast("decimal(2,0)") + F.col(name).cast("decimal(1,0)")
+    end = F.coalesce(micros(F.col("period_end")), F.lit(LAST_MICROS))
+    place = end * F.lit(VALUE_RANGE) + F.col(name).cast("bigint")
     return F.max_by(name, F.when(F.col(name).isNotNull(), place)).alias(name)
 
 
@@ -129,9 +136,8 @@ def features_from_merged(merged: DataFrame, reference: DataFrame | None = None)
 
 
 def _derive(rows: DataFrame, reference: DataFrame) -> DataFrame:
-    n = F.col("_revenues")
-    today = reference.scalar()
-    derived = rows.withColumns(
+    n, today = F.col("_revenues"), F.col("_today")
+    derived = rows.withColumn("_today", reference.scalar()).withColumns(
         {
             # var_pop and the row count give the sample deviation also when rows count n times
             "revenue_std": F.sqrt(F.try_divide(F.col("_variance") * n, n - 1)),
@@ -145,15 +151,17 @@ def _derive(rows: DataFrame, reference: DataFrame) -> DataFrame:
     if "monthly_price" in derived.columns:
         derived = derived.withColumn("monthly_price", F.col("monthly_price").cast("double"))
     label = F.col("churn_flag") if "churn_flag" in derived.columns else (~F.col("active")).cast("bigint")
-    derived = derived.withColumn("churned", label).drop("_variance", "_revenues", "_listings")
+    derived = derived.withColumn("churned", label).drop("_variance", "_revenues", "_listings", "_today")
     numeric = [f.name for f in derived.schema.fields if isinstance(f.dataType, T.NumericType)]
     return derived.fillna(0, subset=numeric)
 
 
 def learn_categories(df: DataFrame, column: str) -> list[str]:
     """Sorted distinct values of a category column, read once so that scoring uses the same list."""
-    rows = df.where(F.col(column).isNotNull()).select(column).distinct().orderBy(column)
-    return [row[0] for row in rows.toLocalIterator()]
+    rows = df.where(F.col(column).isNotNull()).select(column).distinct().limit(MAX_CATEGORIES + 1).collect()
+    if len(rows) > MAX_CATEGORIES:
+        raise ValueError(f"{column} has more than {MAX_CATEGORIES} distinct values")
+    return sorted(row[0] for row in rows)
 
 
 def one_hot(df: DataFrame, column: str, categories: list[str]) -> DataFrame:

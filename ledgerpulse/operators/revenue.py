@@ -63,6 +63,21 @@ def mrr_series(subscriptions: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     )
 
 
+def mrr_by_attribute(subscriptions: DataFrame, customers: DataFrame, attribute: str) -> DataFrame:
+    """Monthly revenue per value of a customer attribute.
+
+    Revenue is summed per customer and month before the join, which so carries
+    no raw periods.
+    """
+    owners = customers.select(F.col("customer_id").alias("_owner"), attribute)
+    sums = customer_periods(subscriptions.where("active"))
+    return (
+        sums.join(owners, F.col("customer_id").eqNullSafe(F.col("_owner")), "left")
+        .groupBy(attribute, "date")
+        .agg(total(F.col("revenue")).alias("MRR"))
+    )
+
+
 def current_revenue(subscriptions: DataFrame) -> DataFrame:
     """Revenue of the last present month and its annual run rate; 0 without data."""
     mrr = F.coalesce(F.max_by("MRR", "date"), F.lit(0.0))

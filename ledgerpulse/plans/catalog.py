@@ -38,10 +38,6 @@ def _rounded(df: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
     return df.withColumns({c: F.round(c, digits) for c in columns})
 
 
-def _as_dates(df: DataFrame, *columns: str) -> DataFrame:
-    return df.withColumns({c: F.col(c).cast("date") for c in columns})
-
-
 # --- untidy text versions of the tables, as a delimited file would hold them -------------
 
 
@@ -180,7 +176,7 @@ def quality_gate(spark, directory):
 
 @query
 def transactions_per_customer(spark, directory):
-    return _rounded(transaction_summary(star.transactions(spark, directory)), "avg_transaction_amount")
+    return transaction_summary(star.transactions(spark, directory))
 
 
 @query
@@ -189,7 +185,7 @@ def merged_table(spark, directory):
         star.subscriptions(spark, directory), star.customers(spark, directory), star.transactions(spark, directory)
     )
     merged = merged.withColumns({c: F.col(c).cast("double") for c in ("revenue", "monthly_price")})
-    return _rounded(merged, "feature_x_usage", "avg_transaction_amount")
+    return _rounded(merged, "feature_x_usage")
 
 
 @query
@@ -208,8 +204,7 @@ def mrr_by_month(spark, directory):
 
 @query
 def mrr_by_month_and_segment(spark, directory):
-    periods = merge_datasets(_periods(spark, directory), star.customers(spark, directory).select("customer_id", "segment"))
-    return revenue.mrr_series(periods, by=("segment",))
+    return revenue.mrr_by_attribute(_periods(spark, directory), star.customers(spark, directory), "segment")
 
 
 @query
@@ -320,8 +315,7 @@ def customer_features(spark, directory):
     rows = features.one_hot(_features(spark, directory), "plan", PLAN_NAMES)
     rows = features.one_hot(rows, "segment", SEGMENT_NAMES)
     return _rounded(
-        _rounded(rows, "avg_revenue", "avg_logins", "tenure_months", "revenue_per_month", "avg_feature_usage",
-                 "max_feature_usage"),
+        _rounded(rows, "avg_logins", "tenure_months", "revenue_per_month", "avg_feature_usage", "max_feature_usage"),
         "revenue_std",
         digits=4,
     )

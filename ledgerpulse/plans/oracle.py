@@ -286,13 +286,13 @@ SELECT 'duplicates', CAST(count(subscription_id) - count(DISTINCT subscription_i
         SUBSCRIPTIONS, CLEAN_SUBSCRIPTIONS,
     ),
     "transactions_per_customer": _sql(
-        "SELECT * REPLACE (round(avg_transaction_amount, 6) AS avg_transaction_amount) FROM txn_summary",
+        "SELECT * FROM txn_summary",
         TRANSACTIONS, TXN_SUMMARY,
     ),
     "merged_table": _sql(
         """SELECT s.* REPLACE (CAST(revenue AS DOUBLE) AS revenue, round(feature_x_usage, 6) AS feature_x_usage),
        c.* EXCLUDE (customer_id),
-       t.* EXCLUDE (customer_id) REPLACE (round(avg_transaction_amount, 6) AS avg_transaction_amount)
+       t.* EXCLUDE (customer_id)
 FROM subscriptions s
 LEFT JOIN customers c ON s.customer_id IS NOT DISTINCT FROM c.customer_id
 LEFT JOIN txn_summary t ON t.customer_id = s.customer_id""",
@@ -355,8 +355,8 @@ FROM grid JOIN sizes USING (cohort)""",
         "SELECT * REPLACE ("
         + ", ".join(
             f"round({c}, {d}) AS {c}"
-            for c, d in (("avg_revenue", 6), ("avg_logins", 6), ("tenure_months", 6), ("avg_feature_usage", 6),
-                         ("max_feature_usage", 6), ("revenue_std", 4))
+            for c, d in (("avg_logins", 6), ("tenure_months", 6), ("avg_feature_usage", 6), ("max_feature_usage", 6),
+                         ("revenue_std", 4))
         )
         + "), round(total_revenue / CASE WHEN tenure_months < 1 THEN 1 ELSE tenure_months END, 6) AS revenue_per_month, "
         + ", ".join(f"CAST(plan = '{p}' AS INTEGER) AS plan_{p}" for p in ("basic", "enterprise", "pro"))

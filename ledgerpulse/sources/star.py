@@ -7,12 +7,18 @@ joins only what the requested columns need.
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerpulse.functions.dates import micros
+
 # Account balance below which a customer is on the plan, and its price.
 PLANS = ((4500, "basic", 29), (7800, "pro", 99), (None, "enterprise", 499))
 PERIOD_DAYS = 30
+# More than any BIGINT, so that a date and a key fit into one number without overlap.
+KEY_RANGE = Decimal(10) ** 19
 
 
 def table(spark: SparkSession, directory: str, name: str) -> DataFrame:
@@ -69,14 +75,14 @@ def subscriptions(
     ]
     if renewals:
         # A join with one row per customer instead of a window: a customer with
-        # a large share of all orders is then split by the skew join.
-        first = orders.groupBy(F.col("o_custkey").alias("first_custkey")).agg(
-            F.min(F.struct("o_orderdate", "o_orderkey")).alias("first_order")
-        )
-        orders = orders.join(first, F.col("o_custkey") == F.col("first_custkey"), "left")
-        columns.append(
-            (F.struct("o_orderdate", "o_orderkey") > F.col("first_order")).alias("is_renewal")
-        )
+        # a large share of all orders is then split by the skew join, which needs
+        # a shuffle right below both sides; the null-safe condition brings it.
+        # Date and key share one DECIMAL, because Spark hashes on fixed-width
+        # aggregates and would sort all orders for a struct.
+        orders = orders.withColumn("place", micros(F.col("o_orderdate")) * F.lit(KEY_RANGE) + F.col("o_orderkey"))
+        first = orders.groupBy(F.col("o_custkey").alias("first_custkey")).agg(F.min("place").alias("first_place"))
+        orders = orders.join(first, F.col("o_custkey").eqNullSafe(F.col("first_custkey")), "left")
+        columns.append((F.col("place") > F.col("first_place")).alias("is_renewal"))
     churned = F.col("o_orderstatus") == "F"
     columns += [
         F.when(churned, 1).otherwise(0).cast("bigint").alias("churn_flag"),

@@ -1,0 +1,66 @@
+import sys
+from pathlib import Path
+
+import pytest
+
+sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
+
+from ledgerpulse.session import build_session  # noqa: E402
+
+DATA = "/root/testdata/sf0.001"
+
+
+@pytest.fixture(scope="session")
+def spark(tmp_path_factory):
+    session = build_session(
+        "ledgerpulse-tests",
+        master="local[8]",
+        **{
+            "spark.ui.enabled": "false",
+            "spark.sql.shuffle.partitions": "8",
+            "spark.driver.memory": "4g",
+            "spark.checkpoint.dir": str(tmp_path_factory.mktemp("shared")),
+            "spark.sql.warehouse.dir": str(tmp_path_factory.mktemp("warehouse")),
+        },
+    )
+    session.sparkContext.setLogLevel("ERROR")
+    yield session
+    session.stop()
+
+
+@pytest.fixture(scope="session")
+def data():
+    return DATA
+
+
+@pytest.fixture
+def periods(spark):
+    """Subscription periods from (customer, start, revenue, churn flag) rows; a churned one is not active."""
+
+    def build(rows):
+        schema = "subscription_id string, customer_id string, start string, revenue double, churn_flag bigint"
+        numbered = [(f"S{i:03d}", *row) for i, row in enumerate(rows)]
+        return spark.createDataFrame(numbered, schema).selectExpr(
+            "subscription_id",
+            "customer_id",
+            "cast(start as timestamp_ntz) as period_start",
+            "cast(start as timestamp_ntz) + interval 30 days as period_end",
+            "revenue",
+            "churn_flag",
+            "churn_flag = 0 as active",
+        )
+
+    return build
+
+
+@pytest.fixture
+def people(spark):
+    """Customers from (id, signup, plan, segment, price) rows."""
+
+    def build(rows):
+        schema = "customer_id string, signup string, plan string, segment string, monthly_price double"
+        return spark.createDataFrame(rows, schema).selectExpr(
+            "customer_id", "cast(signup as timestamp_ntz) as signup_date", "plan", "segment", "monthly_price"
+        )
+
+    return build
