@@ -41,8 +41,6 @@ def main() -> None:
             "spark.ui.enabled": "false",
             "spark.sql.shuffle.partitions": CPUS,
             "spark.driver.memory": "8g",
-            # few megabytes per table: smaller splits, so that every core has a part of the scan
-            "spark.sql.files.maxPartitionBytes": "4m",
         },
     )
     spark.sparkContext.setLogLevel("ERROR")

@@ -22,8 +22,7 @@ def to_timestamp(value: Column) -> Column:
 
 
 def to_double(value: Column) -> Column:
-    number = value.try_cast("double")
-    return F.when(~F.isnan(number), number)
+    return F.nanvl(value.try_cast("double"), F.lit(None).cast("double"))
 
 
 def to_integer(value: Column) -> Column:

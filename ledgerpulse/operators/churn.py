@@ -89,10 +89,14 @@ def feature_stages(features: DataFrame) -> list:
     return [
         *stages,
         VectorAssembler(inputCols=select_features(features) + encoded, outputCol="raw_features"),
-        StandardScaler(inputCol="raw_features", outputCol="features", withMean=True, withStd=True),
+        scaler(),
     ]
 
 
+def scaler() -> StandardScaler:
+    return StandardScaler(inputCol="raw_features", outputCol="features", withMean=True, withStd=True)
+
+
 def classifier(model_type: str, rows: int):
     """``logistic`` (L2, penalty as strong as one unit of weight) or else a forest."""
     if model_type == "logistic":

@@ -66,6 +66,12 @@ def load_all_data(
     )
 
 
+def load_directory(spark: SparkSession, directory: str, file_type: str = "csv") -> Dataset:
+    """The three tables of a directory, named ``<table>.<file_type>``."""
+    paths = {name: f"{directory.rstrip('/')}/{name}.{file_type}" for name in SCHEMAS}
+    return load_all_data(spark, **paths, file_type=file_type)
+
+
 def dashboard(subscriptions: DataFrame) -> dict[str, DataFrame]:
     """The KPI row and the three series."""
     return {

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.ml import Pipeline
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -160,13 +163,15 @@ def quality_scores(spark, directory):
 @query
 def dataset_summary(spark, directory):
     return quality.dataset_summary(
-        star.customers(spark, directory), _periods(spark, directory), star.transactions(spark, directory)
+        star.customers(spark, directory, places=False),
+        _periods(spark, directory),
+        star.transactions(spark, directory, owners=False),
     )
 
 
 @query
 def plan_counts(spark, directory):
-    return quality.category_counts(star.customers(spark, directory), "plan")
+    return quality.category_counts(star.customers(spark, directory, signups=False, places=False), "plan")
 
 
 @query
@@ -204,7 +209,8 @@ def mrr_by_month(spark, directory):
 
 @query
 def mrr_by_month_and_segment(spark, directory):
-    return revenue.mrr_by_attribute(_periods(spark, directory), star.customers(spark, directory), "segment")
+    customers = star.customers(spark, directory, signups=False, places=False)
+    return revenue.mrr_by_attribute(_periods(spark, directory), customers, "segment")
 
 
 @query
@@ -272,13 +278,13 @@ def dashboard_kpis(spark, directory):
 @query
 def cohort_grid(spark, directory):
     return _rounded(
-        cohorts.cohort_grid(_periods(spark, directory), star.customers(spark, directory)), "retention_rate"
+        cohorts.cohort_grid(_periods(spark, directory), star.customers(spark, directory, places=False)), "retention_rate"
     )
 
 
 @query
 def cohort_sizes(spark, directory):
-    return cohorts.cohort_sizes(_periods(spark, directory), star.customers(spark, directory))
+    return cohorts.cohort_sizes(_periods(spark, directory), star.customers(spark, directory, places=False))
 
 
 # --- customer features, split, scores ------------------------------------------------------
@@ -287,7 +293,7 @@ def cohort_sizes(spark, directory):
 def _features(spark, directory) -> DataFrame:
     return features.customer_features(
         _periods(spark, directory, usage=True),
-        star.customers(spark, directory),
+        star.customers(spark, directory, places=False),
         reference=features.reference_date(_periods(spark, directory)),
     )
 
@@ -295,7 +301,7 @@ def _features(spark, directory) -> DataFrame:
 def _recency_scored(spark, directory) -> DataFrame:
     """A score that needs no model: the longer inactive, the nearer to 1."""
     idle = F.col("days_since_last_activity")
-    rows = features.customer_features(_periods(spark, directory), star.customers(spark, directory))
+    rows = features.customer_features(_periods(spark, directory), star.customers(spark, directory, places=False))
     return rows.withColumn("churn_probability", idle / (idle + F.lit(float(RECENCY_HALF))))
 
 
@@ -321,6 +327,16 @@ def customer_features(spark, directory):
     )
 
 
+@query
+def standardised_features(spark, directory):
+    """Three model inputs with mean 0 and deviation 1."""
+    names = ["tenure_days", "subscription_count", "avg_logins"]
+    rows = stage(_features(spark, directory).select("customer_id", *names), "inputs")
+    steps = [VectorAssembler(inputCols=names, outputCol="raw_features"), churn.scaler()]
+    scaled = Pipeline(stages=steps).fit(rows).transform(rows).withColumn("v", vector_to_array("features"))
+    return scaled.select("customer_id", *[F.round(F.col("v")[i], 6).alias(c) for i, c in enumerate(names)])
+
+
 @query
 def label_base_rate(spark, directory):
     return _rounded(splits.label_base_rate(_features(spark, directory)), "base_rate")
@@ -428,6 +444,14 @@ def forecast_accuracy(spark, directory):
     return forecast.accuracy(forecast.predict(forecast.fit(_mrr(spark, directory))))
 
 
+@query
+def forecast_csv_export(spark, directory):
+    """Export the forecast as CSV and read the file back."""
+    path = export_csv(forecast_summary(spark, directory), f"{scratch_dir(spark)}/forecast.csv")
+    text = load_file(spark, path)
+    return text.select(F.col("date").cast("date").alias("date"), *[F.col(c).cast("double").alias(c) for c in text.columns[1:]])
+
+
 @query
 def forecast_mrr(spark, directory):
     return forecast.expected_mrr(forecast.predict(forecast.fit(_mrr(spark, directory))))

@@ -368,6 +368,15 @@ FROM grid JOIN sizes USING (cohort)""",
         + " FROM features",
         CUSTOMERS, SUBSCRIPTIONS, FEATURES,
     ),
+    "standardised_features": _sql(
+        "SELECT customer_id, "
+        + ", ".join(
+            f"round(({c} - avg({c}) OVER ()) / stddev_samp({c}) OVER (), 6) AS {c}"
+            for c in ("tenure_days", "subscription_count", "avg_logins")
+        )
+        + " FROM features",
+        CUSTOMERS, SUBSCRIPTIONS, FEATURES,
+    ),
     "label_base_rate": _sql("SELECT round(avg(churned), 6) AS base_rate FROM features", CUSTOMERS, SUBSCRIPTIONS, FEATURES),
     "class_weights": _sql(
         """SELECT churned, count(*) AS row_count,
@@ -428,6 +437,7 @@ FROM effects, line, spreads""",
 FROM forecast WHERE actual IS NOT NULL""",
         *FORECAST,
     ),
+    "forecast_csv_export": _sql("SELECT * FROM summary", *FORECAST),
     "forecast_mrr": _sql(f"SELECT {EXPECTED} AS forecast_mrr", *FORECAST),
     "forecast_chart": _sql(
         """SELECT date, 'Actual MRR' AS line, actual AS value FROM summary WHERE actual IS NOT NULL

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,20 +30,17 @@ def load_file(spark: SparkSession, path: str, file_type: str = "auto", multiline
     return raw.select(*[null_tokens(F.col(f"`{c}`")).alias(c) for c in raw.columns])
 
 
-def load_directory(spark: SparkSession, directory: str, file_type: str = "csv") -> dict[str, DataFrame]:
-    """The three tables of a directory, named ``<table>.<file_type>``."""
-    return {
-        table: load_file(spark, f"{directory.rstrip('/')}/{table}.{file_type}", file_type)
-        for table in ("customers", "subscriptions", "transactions")
-    }
-
-
 def export_csv(df: DataFrame, path: str) -> str:
     """Write a result with a header row; one file per partition."""
     df.write.mode("overwrite").csv(path, header=True, escape='"')
     return path
 
 
+def dated_name(name: str, day: date | None = None) -> str:
+    """File name of an export: ``<name>_<yyyymmdd>.csv``."""
+    return f"{name}_{day or date.today():%Y%m%d}.csv"
+
+
 def write_table(df: DataFrame, path: str, partition_by: tuple[str, ...] = ()) -> str:
     """Write a cleaned or merged table as parquet."""
     df.write.mode("overwrite").parquet(path, partitionBy=list(partition_by) or None)

@@ -8,9 +8,11 @@ joins only what the requested columns need.
 from __future__ import annotations
 
 from decimal import Decimal
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ledgerpulse.functions.dates import micros
 
@@ -21,8 +23,15 @@ PERIOD_DAYS = 30
 KEY_RANGE = Decimal(10) ** 19
 
 
+@lru_cache(maxsize=None)
+def _schema(spark: SparkSession, path: str) -> StructType:
+    """Read from a file footer, which takes a job; once per table and session is enough."""
+    return spark.read.parquet(path).schema
+
+
 def table(spark: SparkSession, directory: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{directory.rstrip('/')}/{name}.parquet")
+    path = f"{directory.rstrip('/')}/{name}.parquet"
+    return spark.read.schema(_schema(spark, path)).parquet(path)
 
 
 def _money(name: str):
@@ -36,29 +45,30 @@ def _by_plan(position: int):
     return choice
 
 
-def customers(spark: SparkSession, directory: str) -> DataFrame:
-    signups = (
-        table(spark, directory, "orders")
-        .groupBy(F.col("o_custkey").alias("c_custkey"))
-        .agg(F.min("o_orderdate").alias("signup_date"))
-    )
-    places = table(spark, directory, "nation").join(
-        table(spark, directory, "region"), F.col("n_regionkey") == F.col("r_regionkey"), "left"
-    )
-    return (
-        table(spark, directory, "customer")
-        .join(signups, "c_custkey", "left")
-        .join(places, F.col("c_nationkey") == F.col("n_nationkey"), "left")
-        .select(
-            F.col("c_custkey").cast("string").alias("customer_id"),
-            "signup_date",
-            F.col("n_name").alias("country"),
-            _by_plan(1).alias("plan"),
-            _by_plan(2).cast("decimal(18,2)").alias("monthly_price"),
-            F.col("c_mktsegment").alias("segment"),
-            F.col("r_name").alias("first_source"),
+def customers(spark: SparkSession, directory: str, signups: bool = True, places: bool = True) -> DataFrame:
+    """Customers; without ``signups``/``places`` those columns and their joins are left out."""
+    rows = table(spark, directory, "customer")
+    columns = [
+        F.col("c_custkey").cast("string").alias("customer_id"),
+        _by_plan(1).alias("plan"),
+        _by_plan(2).cast("decimal(18,2)").alias("monthly_price"),
+        F.col("c_mktsegment").alias("segment"),
+    ]
+    if signups:
+        first = (
+            table(spark, directory, "orders")
+            .groupBy(F.col("o_custkey").alias("c_custkey"))
+            .agg(F.min("o_orderdate").alias("signup_date"))
         )
-    )
+        rows = rows.join(first, "c_custkey", "left")
+        columns.append(F.col("signup_date"))
+    if places:
+        nations = table(spark, directory, "nation").join(
+            table(spark, directory, "region"), F.col("n_regionkey") == F.col("r_regionkey"), "left"
+        )
+        rows = rows.join(nations, F.col("c_nationkey") == F.col("n_nationkey"), "left")
+        columns += [F.col("n_name").alias("country"), F.col("r_name").alias("first_source")]
+    return rows.select(*columns)
 
 
 def subscriptions(
@@ -104,17 +114,18 @@ def subscriptions(
     return orders.select(*columns)
 
 
-def transactions(spark: SparkSession, directory: str) -> DataFrame:
-    orders = table(spark, directory, "orders").select("o_orderkey", "o_custkey")
+def transactions(spark: SparkSession, directory: str, owners: bool = True) -> DataFrame:
+    """Transactions; without ``owners`` the customer id and the join that finds it are left out."""
+    lines = table(spark, directory, "lineitem")
     share_paid = F.lit(1).cast("decimal(4,2)") - F.col("l_discount").cast("decimal(4,2)")
-    return (
-        table(spark, directory, "lineitem")
-        .join(orders, F.col("l_orderkey") == F.col("o_orderkey"), "left")
-        .select(
-            F.concat_ws("-", "l_orderkey", "l_linenumber").alias("transaction_id"),
-            F.col("o_custkey").cast("string").alias("customer_id"),
-            (_money("l_extendedprice") * share_paid).alias("amount"),
-            F.col("l_shipdate").alias("transaction_date"),
-            F.col("l_returnflag").alias("payment_method"),
-        )
-    )
+    columns = [
+        F.concat_ws("-", "l_orderkey", "l_linenumber").alias("transaction_id"),
+        (_money("l_extendedprice") * share_paid).alias("amount"),
+        F.col("l_shipdate").alias("transaction_date"),
+        F.col("l_returnflag").alias("payment_method"),
+    ]
+    if owners:
+        orders = table(spark, directory, "orders").select("o_orderkey", "o_custkey")
+        lines = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"), "left")
+        columns.append(F.col("o_custkey").cast("string").alias("customer_id"))
+    return lines.select(*columns)

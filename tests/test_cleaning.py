@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 from ledgerpulse.functions import coerce
 from ledgerpulse.operators.cleaning import clean, duplicate_counts, require_schema, validate_schema
 from ledgerpulse.operators.quality import column_profile, quality_gate, quality_report, quality_scores
+from ledgerpulse.plans.analysis import load_directory
 from ledgerpulse.sources import schemas
-from ledgerpulse.sources.files import load_directory, load_file
+from ledgerpulse.sources.files import dated_name, export_csv, load_file, write_table
 
 
 def values(spark, function, texts, kind="string"):
@@ -110,7 +111,15 @@ def test_load_formats(spark, tmp_path):
 
 
 def test_load_directory(spark, tmp_path):
-    for name in ("customers", "subscriptions", "transactions"):
-        (tmp_path / f"{name}.csv").write_text("customer_id\nC1\n")
-    tables = load_directory(spark, str(tmp_path))
-    assert set(tables) == set(schemas.SCHEMAS) and tables["customers"].count() == 1
+    for name, schema in schemas.SCHEMAS.items():
+        (tmp_path / f"{name}.csv").write_text(f"{','.join(schema)}\n{',' * (len(schema) - 1)}\nC1{',' * (len(schema) - 1)}\n")
+    dataset = load_directory(spark, str(tmp_path))
+    assert set(dataset.tables) == set(schemas.SCHEMAS) and dataset.customers.where("customer_id = 'C1'").count() == 1
+
+
+def test_exports(spark, tmp_path):
+    assert dated_name("at_risk_customers", dt.date(2024, 3, 9)) == "at_risk_customers_20240309.csv"
+    df = spark.createDataFrame([("C1", 'a "b", c', 1.5), ("C2", None, None)], "k string, v string, n double")
+    back = load_file(spark, export_csv(df, str(tmp_path / "out.csv"))).orderBy("k").collect()
+    assert [tuple(r) for r in back] == [("C1", 'a "b", c', "1.5"), ("C2", None, None)]
+    assert load_file(spark, write_table(df, str(tmp_path / "out.parquet"), ("k",))).where("k = 'C1'").first().n == 1.5
