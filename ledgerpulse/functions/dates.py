@@ -44,6 +44,9 @@ def whole_days(later: Column, earlier: Column) -> Column:
 
 
 def micros(ts: Column) -> Column:
-    """Microseconds since 1970 as BIGINT, for ordering inside fixed-width aggregates."""
-    epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
-    return (elapsed_seconds(ts.cast("timestamp_ntz"), epoch) * F.lit(1_000_000)).cast("bigint")
+    """Microseconds since 1970 as BIGINT, for ordering inside fixed-width aggregates.
+
+    Long arithmetic only. Times without a zone are read in the session time
+    zone, which is why the session uses UTC.
+    """
+    return F.unix_micros(ts.cast("timestamp"))

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from decimal import Decimal
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -12,9 +10,10 @@ from ledgerpulse.functions.dates import micros, whole_days
 from ledgerpulse.functions.numbers import at_least, mean, ratio, total
 
 DAYS_PER_MONTH = 30
-# A missing period end sorts after every date; a whole number spans less than VALUE_RANGE.
-LAST_MICROS = 2**62
-VALUE_RANGE = Decimal(2) * Decimal(10) ** 19
+# A missing period end sorts after the last microsecond of the year 9999; that many
+# microseconds and a flag below TIES still fit into a BIGINT.
+LAST_MICROS = 260 * 10**15
+TIES = 32
 PROFILE = ("signup_date", "plan", "segment", "monthly_price")
 
 # Model inputs, in order, as far as the table has them.
@@ -54,14 +53,14 @@ def latest_record(subscriptions: DataFrame) -> DataFrame:
 
 
 def _latest_flag(name: str) -> Column:
-    """Last non-missing whole number or boolean by period end; at equal ends the larger one.
+    """Last non-missing flag by period end; at equal ends the larger one.
 
-    Time and value share one DECIMAL, so the aggregate buffer has a fixed width
+    Time and value share one BIGINT, so the aggregate buffer has a fixed width
     and Spark hashes; a struct ordering would make it sort every input row.
     """
     end = F.coalesce(micros(F.col("period_end")), F.lit(LAST_MICROS))
-    place = end * F.lit(VALUE_RANGE) + F.col(name).cast("bigint")
-    return F.max_by(name, F.when(F.col(name).isNotNull(), place)).alias(name)
+    tie = F.least(F.greatest(F.col(name).cast("bigint"), F.lit(0)), F.lit(TIES - 1))
+    return F.max_by(name, F.when(F.col(name).isNotNull(), end * TIES + tie)).alias(name)
 
 
 def _activity(rows: DataFrame) -> list[Column]:
