@@ -1,0 +1,101 @@
+"""Forecast with a trend that may bend and a smooth yearly pattern.
+
+For series whose growth changes over the years. Each series is one small group
+of monthly rows, fitted by NumPy inside a task; Spark spreads the series over
+the cluster. The result has the columns of ``forecast.predict``.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ledgerpulse.operators.forecast import HORIZON_MONTHS, INTERVAL, MODES, SEASONAL_MONTHS
+
+# Places where the trend may bend, the share of the history they lie in,
+# how readily it bends, and the number of yearly waves.
+BENDS = 25
+BEND_RANGE = 0.8
+FLEXIBILITY = 0.05
+WAVES = 5
+# Ridge penalties on values scaled to 1: assumed noise, and width of the pattern's coefficients.
+NOISE = 0.02
+PATTERN_WIDTH = 10.0
+
+
+def flexible_forecast(
+    series: DataFrame,
+    periods: int = HORIZON_MONTHS,
+    value: str = "MRR",
+    by: tuple[str, ...] = (),
+    mode: str = "multiplicative",
+    flexibility: float = FLEXIBILITY,
+) -> DataFrame:
+    if mode not in MODES:
+        raise ValueError(f"unknown mode {mode!r} (expected one of {', '.join(MODES)})")
+    rows = series.select(*by, F.col("date").cast("date").alias("date"), F.col(value).cast("double").alias("actual"))
+    keys = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name in by)
+    schema = ", ".join(filter(None, [keys, "date date, predicted double, lower_bound double, upper_bound double, actual double"]))
+
+    def forecast_one(history: pd.DataFrame) -> pd.DataFrame:
+        history = history.dropna(subset=["actual"]).sort_values("date")
+        frame = _extend(history, periods, by)
+        if len(history):
+            predicted = _fit(history["actual"].to_numpy(), _month_number(history["date"]), _month_number(frame["date"]), mode, flexibility)
+            spread = np.std(history["actual"].to_numpy() - predicted[: len(history)], ddof=1) if len(history) > 1 else 0.0
+            frame["predicted"] = predicted
+            frame["lower_bound"], frame["upper_bound"] = predicted - INTERVAL * spread, predicted + INTERVAL * spread
+        return frame[[*by, "date", "predicted", "lower_bound", "upper_bound", "actual"]]
+
+    return rows.groupBy(*by).applyInPandas(forecast_one, schema)
+
+
+def _month_number(dates: pd.Series) -> np.ndarray:
+    days = pd.to_datetime(dates)
+    return (days.dt.year * 12 + days.dt.month - 1).to_numpy(dtype=float)
+
+
+def _extend(history: pd.DataFrame, periods: int, by: tuple[str, ...]) -> pd.DataFrame:
+    """History followed by month starts without a value."""
+    frame = history.assign(predicted=np.nan, lower_bound=np.nan, upper_bound=np.nan)
+    if not len(history):
+        return frame
+    last = pd.Timestamp(history["date"].iloc[-1])
+    ahead = [d.date() for d in pd.date_range(last + pd.offsets.MonthBegin(), periods=periods, freq="MS")]
+    future = pd.DataFrame({"date": ahead, "actual": np.nan, **{k: history[k].iloc[0] for k in by}})
+    return pd.concat([frame, future], ignore_index=True)
+
+
+def _fit(y: np.ndarray, months: np.ndarray, wanted: np.ndarray, mode: str, flexibility: float) -> np.ndarray:
+    """Alternate two ridge regressions, trend and yearly pattern, until they settle."""
+    scale = np.abs(y).max() or 1.0
+    span = max(months[-1] - months[0], 1.0)
+    bends = np.linspace(0, BEND_RANGE, min(BENDS, len(y) - 1) + 1)[1:]
+
+    def trend_terms(m):
+        t = (m - months[0]) / span
+        return np.column_stack([np.ones_like(t), t, *[np.maximum(t - b, 0) for b in bends]])
+
+    def pattern_terms(m):
+        angles = [2 * np.pi * k * m / 12 for k in range(1, WAVES + 1)]
+        return np.column_stack([wave(a) for a in angles for wave in (np.sin, np.cos)])
+
+    def ridge(terms, target, penalty):
+        return np.linalg.solve(terms.T @ terms + np.diag(penalty), terms.T @ target)
+
+    trend_x, pattern_x, target = trend_terms(months), pattern_terms(months), y / scale
+    trend_penalty = np.array([1e-9, 1e-9] + [(NOISE / flexibility) ** 2] * len(bends))
+    pattern_penalty = np.full(2 * WAVES, (NOISE / PATTERN_WIDTH) ** 2)
+    multiply, effect = mode == "multiplicative", np.zeros(2 * WAVES)
+    for _ in range(10 if len(y) >= SEASONAL_MONTHS else 1):
+        factor = 1 + pattern_x @ effect if multiply else np.ones_like(target)
+        rest = target if multiply else target - pattern_x @ effect
+        line = ridge(trend_x * factor[:, None], rest, trend_penalty)
+        if len(y) >= SEASONAL_MONTHS:
+            base = trend_x @ line
+            weight = base if multiply else np.ones_like(target)
+            effect = ridge(pattern_x * weight[:, None], target - base, pattern_penalty)
+    base, wave = trend_terms(wanted) @ line, pattern_terms(wanted) @ effect
+    return scale * (base * (1 + wave) if multiply else base + wave)

@@ -10,7 +10,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerpulse.operators import churn, cohorts, features, forecast, quality, reporting, revenue, scores, splits
+from ledgerpulse.operators import churn, cohorts, features, flexible, forecast, quality, reporting, revenue, scores, splits
 from ledgerpulse.operators.cleaning import clean, duplicate_counts
 from ledgerpulse.operators.merge import merge_datasets, transaction_summary
 from ledgerpulse.plans.analysis import load_all_data
@@ -439,6 +439,12 @@ def forecast_by_segment(spark, directory):
     return forecast.future_forecast(forecast.predict(model, by=by), by=by)
 
 
+@query
+def forecast_flexible_by_segment(spark, directory):
+    by = ("segment",)
+    return forecast.future_forecast(flexible.flexible_forecast(mrr_by_month_and_segment(spark, directory), by=by), by=by)
+
+
 @query
 def forecast_accuracy(spark, directory):
     return forecast.accuracy(forecast.predict(forecast.fit(_mrr(spark, directory))))
