@@ -32,10 +32,11 @@ def cohort_grid(subscriptions: DataFrame, customers: DataFrame) -> DataFrame:
     )
     per_customer = Window.partitionBy("id", "no_id", "cohort").orderBy("month")
     known = ~F.col("no_id")
+    age = month_number(F.col("month")) - month_number(F.col("cohort"))
     cells = (
         activity.join(signups, ["id", "no_id"])
         .withColumn("is_first", F.row_number().over(per_customer) == 1)
-        .groupBy("cohort", (month_number(F.col("month")) - month_number(F.col("cohort"))).alias("months_since_signup"))
+        .groupBy("cohort", age.cast("bigint").alias("months_since_signup"))
         .agg(
             F.count_if(known).alias("customer_id"),
             F.sum(F.col("active") * F.col("listings")).alias("active"),

@@ -39,19 +39,19 @@ def latest_record(subscriptions: DataFrame) -> DataFrame:
     A missing period end counts as last. Equal ends are ordered by subscription
     id and then by the value itself, so the result does not depend on row order.
     """
-    ends = F.col("period_end")
-
-    def last(name: str) -> Column:
-        place = F.struct(ends.isNull(), ends, F.col("subscription_id"), F.col(name))
-        return F.max_by(name, F.when(F.col(name).isNotNull(), place)).alias(name)
-
     return (
         subscriptions.where(F.col("customer_id").isNotNull())
         .groupBy("customer_id")
-        .agg(*[last(c) for c in subscriptions.columns if c != "customer_id"])
+        .agg(*[_last(c, "subscription_id") for c in subscriptions.columns if c != "customer_id"])
     )
 
 
+def _last(name: str, *ties: str) -> Column:
+    ends = F.col("period_end")
+    place = F.struct(ends.isNull(), ends, *[F.col(c) for c in (*ties, name)])
+    return F.max_by(name, F.when(F.col(name).isNotNull(), place)).alias(name)
+
+
 def _latest_flag(name: str) -> Column:
     """Last non-missing flag by period end; at equal ends the larger one.
 
@@ -91,7 +91,7 @@ def _activity(rows: DataFrame) -> list[Column]:
 
 
 def customer_features(
-    subscriptions: DataFrame, customers: DataFrame, reference: DataFrame | None = None
+    subscriptions: DataFrame, customers: DataFrame, reference: DataFrame | None = None, latest: tuple[str, ...] = ()
 ) -> DataFrame:
     """One row per subscribed customer, from the two source tables.
 
@@ -99,11 +99,13 @@ def customer_features(
     shuffle of the large table) and joined with the customers afterwards. A
     customer listed n times counts every period n times, as in the merged table.
     ``reference`` may name a cheaper plan for the one-row reference date.
+    ``latest`` names further columns of the latest record to carry along, which
+    makes Spark sort the subscriptions instead of hashing them.
     """
     activity = (
         subscriptions.where(F.col("customer_id").isNotNull())
         .groupBy("customer_id")
-        .agg(*_activity(subscriptions))
+        .agg(*_activity(subscriptions), *[_last(c, "subscription_id") for c in latest])
     )
     profile = (
         customers.where(F.col("customer_id").isNotNull())
@@ -120,16 +122,10 @@ def customer_features(
 
 def features_from_merged(merged: DataFrame, reference: DataFrame | None = None) -> DataFrame:
     """The same table from a stored merged table, in one aggregation by customer."""
-    ends = F.col("period_end")
-
-    def last(name: str) -> Column:
-        place = F.struct(ends.isNull(), ends, F.col(name))
-        return F.max_by(name, F.when(F.col(name).isNotNull(), place)).alias(name)
-
     rows = (
         merged.where(F.col("customer_id").isNotNull())
         .groupBy("customer_id")
-        .agg(*_activity(merged), *[last(c) for c in PROFILE if c in merged.columns])
+        .agg(*_activity(merged), *[_last(c) for c in PROFILE if c in merged.columns])
     )
     return _derive(rows, reference or reference_date(merged))
 

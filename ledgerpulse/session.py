@@ -34,7 +34,7 @@ def scratch_dir(spark: SparkSession) -> str:
     """
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if not shared:
-        if not spark.conf.get("spark.master", "local").startswith("local"):
+        if not spark.conf.get("spark.master", "").startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
         shared = tempfile.mkdtemp(prefix="ledgerpulse-")
     return f"{shared.rstrip('/')}/ledgerpulse-{uuid.uuid4().hex}"

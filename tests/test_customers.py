@@ -89,6 +89,12 @@ def test_feature_values(periods, people):
     assert (two.revenue_std, two.tenure_days, two.revenue_per_month, two.monthly_price) == (0.0, 0, 0.0, 0.0)
 
 
+def test_features_carry_latest_columns(periods, people):
+    subs = periods([("C1", "2024-01-01", 10.0, 0), ("C1", "2024-03-01", None, 0)])
+    row = features.customer_features(subs, people([]), latest=("subscription_id", "period_start", "revenue")).first()
+    assert (row.subscription_id, str(row.period_start), row.revenue) == ("S001", "2024-03-01 00:00:00", 10.0)
+
+
 def test_label_from_active_when_there_is_no_flag(periods, people):
     subs = periods([("C1", "2024-01-01", 1.0, 1)]).drop("churn_flag")
     assert features.customer_features(subs, people([])).first().churned == 1
