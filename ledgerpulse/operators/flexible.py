@@ -37,14 +37,16 @@ def flexible_forecast(
         raise ValueError(f"unknown mode {mode!r} (expected one of {', '.join(MODES)})")
     rows = series.select(*by, F.col("date").cast("date").alias("date"), F.col(value).cast("double").alias("actual"))
     keys = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name in by)
-    schema = ", ".join(filter(None, [keys, "date date, predicted double, lower_bound double, upper_bound double, actual double"]))
+    columns = "date date, predicted double, lower_bound double, upper_bound double, actual double"
+    schema = f"{keys}, {columns}" if keys else columns
 
     def forecast_one(history: pd.DataFrame) -> pd.DataFrame:
         history = history.dropna(subset=["actual"]).sort_values("date")
         frame = _extend(history, periods, by)
         if len(history):
-            predicted = _fit(history["actual"].to_numpy(), _month_number(history["date"]), _month_number(frame["date"]), mode, flexibility)
-            spread = np.std(history["actual"].to_numpy() - predicted[: len(history)], ddof=1) if len(history) > 1 else 0.0
+            actual, months = history["actual"].to_numpy(), _month_number(history["date"])
+            predicted = _fit(actual, months, _month_number(frame["date"]), mode, flexibility)
+            spread = np.std(actual - predicted[: len(actual)], ddof=1) if len(actual) > 1 else 0.0
             frame["predicted"] = predicted
             frame["lower_bound"], frame["upper_bound"] = predicted - INTERVAL * spread, predicted + INTERVAL * spread
         return frame[[*by, "date", "predicted", "lower_bound", "upper_bound", "actual"]]

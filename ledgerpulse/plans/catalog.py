@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ledgerpulse.operators import churn, cohorts, features, flexible, forecast, quality, reporting, revenue, scores, splits
 from ledgerpulse.operators.cleaning import clean, duplicate_counts
 from ledgerpulse.operators.merge import merge_datasets, transaction_summary
-from ledgerpulse.plans.analysis import load_all_data
+from ledgerpulse.plans.analysis import Dataset, load_all_data
 from ledgerpulse.session import scratch_dir, stage
 from ledgerpulse.sources import schemas, star
 from ledgerpulse.sources.files import export_csv, load_file
@@ -169,6 +169,13 @@ def dataset_summary(spark, directory):
     )
 
 
+@query
+def stored_dataset_summary(spark, directory):
+    """Clean the untidy tables, store them as parquet and summarise the stored copies."""
+    # the declared type of revenue is DOUBLE, whose sum depends on the order of the rows
+    return _rounded(Dataset(**_cleaned(spark, directory)).staged().summary(), "total_revenue", digits=2)
+
+
 @query
 def plan_counts(spark, directory):
     return quality.category_counts(star.customers(spark, directory, signups=False, places=False), "plan")

@@ -271,6 +271,15 @@ FROM profile GROUP BY table_name""",
        (SELECT CAST(sum(revenue) AS DOUBLE) FROM subscriptions) AS total_revenue""",
         CUSTOMERS, SUBSCRIPTIONS, TRANSACTIONS,
     ),
+    "stored_dataset_summary": _sql(
+        """SELECT (SELECT count(*) FROM clean_customers) AS customers_count, (SELECT count(*) FROM clean_subscriptions) AS subscriptions_count,
+       (SELECT count(*) FROM clean_transactions) AS transactions_count, (SELECT min(signup_date) FROM clean_customers) AS first_signup,
+       (SELECT max(signup_date) FROM clean_customers) AS last_signup,
+       (SELECT count(*) FROM clean_subscriptions WHERE active) AS active_subscriptions,
+       (SELECT CAST(sum(churn_flag) AS BIGINT) FROM clean_subscriptions) AS churned_subscriptions,
+       (SELECT round(sum(CAST(revenue AS DECIMAL(18,2)))::DOUBLE, 2) FROM clean_subscriptions) AS total_revenue""",
+        *CLEANED,
+    ),
     "plan_counts": _sql("SELECT plan, count(*) AS row_count FROM customers GROUP BY plan", CUSTOMERS),
     "quality_gate": _sql(
         """SELECT 'missing:' || c AS check_name, round(m / n, 6) AS measured, m / n <= 0.2 AS passed

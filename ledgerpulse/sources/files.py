@@ -26,7 +26,8 @@ def load_file(spark: SparkSession, path: str, file_type: str = "auto", multiline
         raise ValueError(f"unsupported file type: {file_type!r} (expected one of {', '.join(FORMATS)})")
     if file_type != "csv":
         return spark.read.format(file_type).load(path)
-    raw = spark.read.csv(path, header=True, escape='"', multiLine=multiline)
+    # enforceSchema off: a file whose header names other columns fails instead of filling the wrong ones
+    raw = spark.read.csv(path, header=True, escape='"', multiLine=multiline, enforceSchema=False)
     return raw.select(*[null_tokens(F.col(f"`{c}`")).alias(c) for c in raw.columns])
 
 

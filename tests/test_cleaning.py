@@ -98,6 +98,14 @@ def test_load_csv(spark, tmp_path):
     assert [tuple(r) for r in rows] == [("007", "pro", 'say "hi", then go'), ("008", None, None)]
 
 
+def test_files_with_other_columns_fail(spark, tmp_path):
+    (tmp_path / "t.csv").mkdir()
+    (tmp_path / "t.csv" / "a.csv").write_text("customer_id,plan\nC1,pro\n")
+    (tmp_path / "t.csv" / "b.csv").write_text("plan,customer_id\npro,C2\n")
+    with pytest.raises(Exception, match="header"):
+        load_file(spark, str(tmp_path / "t.csv")).collect()
+
+
 def test_load_formats(spark, tmp_path):
     df = spark.createDataFrame([("C1", 2)], "customer_id string, n int")
     for kind in ("parquet", "json", "orc"):
