@@ -7,8 +7,11 @@ the cluster. The result has the columns of ``forecast.predict``.
 
 from __future__ import annotations
 
+import sys
+
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -40,6 +43,9 @@ def flexible_forecast(
     columns = "date date, predicted double, lower_bound double, upper_bound double, actual double"
     schema = f"{keys}, {columns}" if keys else columns
 
+    # Send the functions below with the task, so that executors need no copy of this package.
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
     def forecast_one(history: pd.DataFrame) -> pd.DataFrame:
         history = history.dropna(subset=["actual"]).sort_values("date")
         frame = _extend(history, periods, by)

@@ -150,7 +150,7 @@ def expected_mrr(forecast: DataFrame) -> DataFrame:
     known = F.col("actual").isNotNull()
     ahead = F.max_by("predicted", F.when(~known, F.col("date")))
     current = F.max_by("actual", F.when(known, F.col("date")))
-    return forecast_summary(forecast).agg(F.coalesce(ahead, current * 1.05).alias("forecast_mrr"))
+    return forecast.agg(F.coalesce(half_even(ahead, 2), current * 1.05).alias("forecast_mrr"))
 
 
 def train_and_forecast(series: DataFrame, months: int = HORIZON_MONTHS, path: str | None = None):
