@@ -17,9 +17,11 @@ from ledgerpulse.functions.labels import (
 from ledgerpulse.functions.numbers import half_even
 from ledgerpulse.operators.scores import rank_by_risk
 
+# Customers in the digest and in the report table, churn percent that
+# the dashboard compares with, and the digest when nobody is at risk. The card labels
+# and the wording of the digest below are fixed texts as well.
 DIGEST_SIZE = 5
 TABLE_ROWS = 10
-# Fixed value: churn percent that the dashboard compares with.
 CHURN_TARGET = 5
 NO_RISK_TEXT = "No high-risk customers identified"
 

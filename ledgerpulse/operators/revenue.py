@@ -78,10 +78,11 @@ def mrr_by_attribute(subscriptions: DataFrame, customers: DataFrame, attribute:
     )
 
 
-def current_revenue(subscriptions: DataFrame) -> DataFrame:
+def current_revenue(subscriptions: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """Revenue of the last present month and its annual run rate; 0 without data."""
     mrr = F.coalesce(F.max_by("MRR", "date"), F.lit(0.0))
-    return mrr_series(subscriptions).agg(mrr.alias("current_mrr"), (mrr * MONTHS_PER_YEAR).alias("arr"))
+    months = mrr_series(subscriptions, by).groupBy(*by)
+    return months.agg(mrr.alias("current_mrr"), (mrr * MONTHS_PER_YEAR).alias("arr"))
 
 
 def _churn_rate() -> Column:
@@ -115,18 +116,20 @@ def arpu_series(subscriptions: DataFrame, by: tuple[str, ...] = ()) -> DataFrame
     return months.select(*by, "date", _arpu().alias("ARPU"))
 
 
-def current_arpu(subscriptions: DataFrame) -> DataFrame:
-    return arpu_series(subscriptions).agg(F.coalesce(F.max_by("ARPU", "date"), F.lit(0.0)).alias("arpu"))
+def current_arpu(subscriptions: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    months = arpu_series(subscriptions, by).groupBy(*by)
+    return months.agg(F.coalesce(F.max_by("ARPU", "date"), F.lit(0.0)).alias("arpu"))
 
 
-def current_churn_rate(subscriptions: DataFrame) -> DataFrame:
+def current_churn_rate(subscriptions: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     rate = F.coalesce(F.max_by("churn_rate", "date"), F.lit(0.0))
-    return churn_series(subscriptions).agg(rate.alias("churn_rate"), (100 - rate).alias("retention_rate"))
+    months = churn_series(subscriptions, by=by).groupBy(*by)
+    return months.agg(rate.alias("churn_rate"), (100 - rate).alias("retention_rate"))
 
 
-def active_customers(subscriptions: DataFrame) -> DataFrame:
+def active_customers(subscriptions: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """Distinct customers with any active period, over all time."""
-    return subscriptions.where("active").agg(F.count_distinct("customer_id").alias("active_customers"))
+    return subscriptions.where("active").groupBy(*by).agg(F.count_distinct("customer_id").alias("active_customers"))
 
 
 def _simple_clv(arpu: Column, churn_rate: Column) -> Column:
@@ -150,15 +153,14 @@ def _recent(value: str, first: int, last: int) -> Column:
     return F.avg(F.when(F.col("_live") & F.col("_age").between(first, last), F.col(value)))
 
 
-def _with_age(months: DataFrame) -> DataFrame:
+def _with_age(months: DataFrame, by: tuple[str, ...]) -> DataFrame:
     """Number the months that have active rows from the latest backwards.
 
-    The window has no partition key on purpose: its input is one row per month.
+    The window may lack a partition key: its input is one row per month (and group).
     """
     live = F.col("active_rows") > 0
-    return months.withColumn("_live", live).withColumn(
-        "_age", F.row_number().over(Window.orderBy(live.desc(), F.desc("date")))
-    )
+    latest_first = Window.partitionBy(*by).orderBy(live.desc(), F.desc("date"))
+    return months.withColumn("_live", live).withColumn("_age", F.row_number().over(latest_first))
 
 
 def _mom() -> Column:
@@ -170,31 +172,39 @@ def _qoq() -> Column:
     return F.when(F.count_if("_live") >= 4, half_even(change, 2)).otherwise(F.lit(0.0))
 
 
-def growth_metrics(subscriptions: DataFrame) -> DataFrame:
+def growth_metrics(subscriptions: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """Month-over-month and quarter-over-quarter growth percent over the months present."""
-    months = mrr_series(subscriptions).withColumn("active_rows", F.lit(1))
-    return _with_age(months).agg(_mom().alias("mrr_growth_mom"), _qoq().alias("mrr_growth_qoq"))
+    months = mrr_series(subscriptions, by).withColumn("active_rows", F.lit(1))
+    return _with_age(months, by).groupBy(*by).agg(_mom().alias("mrr_growth_mom"), _qoq().alias("mrr_growth_qoq"))
 
 
-def dashboard_kpis(subscriptions: DataFrame) -> DataFrame:
-    """All headline numbers in one row, from one aggregate over customer and month."""
-    months = _with_age(period_activity(subscriptions).withColumn("ARPU", _arpu()).withColumn("churn_rate", _churn_rate()))
-    return (
-        months.agg(
+def dashboard_kpis(subscriptions: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """All headline numbers in one row (per group), from one aggregate over customer and month."""
+    months = period_activity(subscriptions, by).withColumns({"ARPU": _arpu(), "churn_rate": _churn_rate()})
+    latest = (
+        _with_age(months, by)
+        .groupBy(*by)
+        .agg(
             F.coalesce(_recent("MRR", 1, 1), F.lit(0.0)).alias("current_mrr"),
             _mom().alias("mrr_growth_mom"),
             F.coalesce(_recent("ARPU", 1, 1), F.lit(0.0)).alias("arpu"),
             F.coalesce(F.max_by("churn_rate", "date"), F.lit(0.0)).alias("churn_rate"),
         )
-        .withColumn("active_customers", active_customers(subscriptions).scalar())
-        .select(
-            "current_mrr",
-            (F.col("current_mrr") * MONTHS_PER_YEAR).alias("arr"),
-            "mrr_growth_mom",
-            "active_customers",
-            "arpu",
-            _simple_clv(F.col("arpu"), F.col("churn_rate")).alias("clv"),
-            "churn_rate",
-            (100 - F.col("churn_rate")).alias("retention_rate"),
-        )
+    )
+    counts = active_customers(subscriptions, by)
+    if by:
+        same_group = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in by]
+        latest = latest.join(counts.withColumnsRenamed({k: f"_{k}" for k in by}), same_group, "left")
+    else:
+        latest = latest.withColumn("active_customers", counts.scalar())
+    return latest.select(
+        *by,
+        "current_mrr",
+        (F.col("current_mrr") * MONTHS_PER_YEAR).alias("arr"),
+        "mrr_growth_mom",
+        F.coalesce("active_customers", F.lit(0).cast("bigint")).alias("active_customers"),
+        "arpu",
+        _simple_clv(F.col("arpu"), F.col("churn_rate")).alias("clv"),
+        "churn_rate",
+        (100 - F.col("churn_rate")).alias("retention_rate"),
     )

@@ -282,6 +282,13 @@ def dashboard_kpis(spark, directory):
     )
 
 
+@query
+def dashboard_kpis_by_segment(spark, directory):
+    owners = star.customers(spark, directory, signups=False, places=False).select("customer_id", "segment")
+    kpis = revenue.dashboard_kpis(merge_datasets(_periods(spark, directory), owners), by=("segment",))
+    return _rounded(kpis, "arpu", "clv", "churn_rate", "retention_rate")
+
+
 @query
 def cohort_grid(spark, directory):
     return _rounded(

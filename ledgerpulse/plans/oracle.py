@@ -352,6 +352,24 @@ FROM (SELECT customer_id, sum(revenue) AS r FROM subscriptions GROUP BY customer
                   round(retention_rate, 6) AS retention_rate) FROM kpis""",
         *ALL_KPIS,
     ),
+    "dashboard_kpis_by_segment": _sql(
+        """SELECT segment, current_mrr, current_mrr * 12 AS arr,
+       round_even((current_mrr - previous) / previous * 100, 2) AS mrr_growth_mom, active_customers, round(arpu, 6) AS arpu,
+       round(CASE WHEN churn_rate > 0 THEN arpu / (churn_rate / 100) ELSE arpu * 36 END, 6) AS clv,
+       round(churn_rate, 6) AS churn_rate, round(100 - churn_rate, 6) AS retention_rate
+FROM (SELECT segment, arg_max(MRR, date) AS current_mrr, arg_max(before, date) AS previous, arg_max(arpu, date) AS arpu
+      FROM (SELECT segment, date, MRR, MRR / customers AS arpu, lag(MRR) OVER (PARTITION BY segment ORDER BY date) AS before
+            FROM (SELECT segment, CAST(date_trunc('month', period_start) AS DATE) AS date,
+                         CAST(sum(revenue) AS DOUBLE) AS MRR, count(DISTINCT customer_id) AS customers
+                  FROM owned WHERE active GROUP BY 1, 2)) GROUP BY segment)
+JOIN (SELECT segment, arg_max(rate, date) AS churn_rate
+      FROM (SELECT segment, CAST(date_trunc('month', period_start) AS DATE) AS date,
+                   count(DISTINCT CASE WHEN churn_flag = 1 THEN customer_id END) / count(DISTINCT customer_id) * 100 AS rate
+            FROM owned GROUP BY 1, 2) GROUP BY segment) USING (segment)
+JOIN (SELECT segment, count(DISTINCT customer_id) AS active_customers FROM owned WHERE active GROUP BY segment) USING (segment)""",
+        CUSTOMERS, SUBSCRIPTIONS,
+        "owned AS (SELECT s.*, c.segment FROM subscriptions s LEFT JOIN customers c ON s.customer_id = c.customer_id)",
+    ),
     "cohort_grid": _sql(
         """SELECT grid.*, cohort_size, round(active / cohort_size * 100, 6) AS retention_rate
 FROM grid JOIN sizes USING (cohort)""",

@@ -93,6 +93,20 @@ def test_series_per_group(periods):
     assert revenue.churn_series(df, by=("plan",)).count() == 2
 
 
+def test_numbers_per_group_equal_those_of_the_group_alone(periods):
+    rows = [(f"C{i % 5}", f"2024-0{1 + i % 4}-05", float(i), int(i % 7 == 0)) for i in range(40)]
+    rows += [("C9", "2024-02-01", 3.0, 1)]
+    df = periods(rows).withColumn("plan", F.when(F.col("customer_id") < "C2", "pro").when(F.col("customer_id") < "C5", "basic"))
+    by = ("plan",)
+    for function in (revenue.dashboard_kpis, revenue.growth_metrics, revenue.current_revenue, revenue.current_arpu,
+                     revenue.current_churn_rate, revenue.active_customers):
+        grouped = {r["plan"]: tuple(r)[1:] for r in function(df, by=by).collect()}
+        for plan, values in grouped.items():
+            alone = function(df.where(F.col("plan").eqNullSafe(plan))).first()
+            assert values == pytest.approx(tuple(alone)), (function.__name__, plan)
+    assert {r["plan"] for r in revenue.dashboard_kpis(df, by=by).collect()} == {"pro", "basic", None}
+
+
 def test_attribute_series_counts_double_listings_twice(periods, people):
     df = periods([("C1", "2024-01-01", 1.0, 0), ("C2", "2024-01-01", 2.0, 0)])
     customers = people([("C1", None, "pro", "SMB", 1.0), ("C1", None, "pro", "SMB", 2.0)])
