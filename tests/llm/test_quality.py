@@ -1,0 +1,63 @@
+import zlib
+
+import numpy as np
+from pyspark.sql import functions as F
+
+from ledgerpulse.llm import quality as q
+from ledgerpulse.llm.queries import QUERIES, table
+
+
+def test_isotonic_against_brute_force():
+    rng = np.random.default_rng(0)
+    x = np.sort(rng.normal(size=60))
+    weight = rng.integers(1, 5, 60).astype(float)
+    positives = rng.binomial(weight.astype(int), np.clip(0.5 + x / 3, 0, 1)).astype(float)
+    _, levels = q.isotonic(x, positives, weight)
+    share = positives / weight
+    # the min-max formula of isotonic regression
+    want = [max(min(np.average(share[a : b + 1], weights=weight[a : b + 1]) for b in range(i, 60)) for a in range(i + 1)) for i in range(60)]
+    assert np.allclose(np.unique(np.round(want, 9)), np.unique(np.round(levels, 9)))
+
+
+def test_statistics_are_finite():
+    for text in (None, "", " \n\t", "a", "1 2 3", "!!!", "ÀÉ\U0001f600 x", "word " * 30000, "x" * 200000):
+        values = q.statistics(text)
+        assert len(values) == len(q.STATISTICS) and np.isfinite(values).all()
+
+
+def test_held_out_accuracy(spark):
+    data = "/root/testdata/sf0.01"
+    rows = QUERIES["op5_quality"](spark, data).join(table(spark, data, "labels"), "doc_id").collect()
+    held = [r for r in rows if r.held_out]
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in rows)
+    assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.3) for r in rows)
+    good, bad = [r.score for r in held if r.quality], [r.score for r in held if not r.quality]
+    auc = np.mean([(g > b) + (g == b) / 2 for g in good for b in bad])
+    assert auc > 0.95
+    assert np.mean([r.predicted == r.quality for r in held]) > 0.93
+
+
+def test_labels_of_held_out_rows_do_not_matter(spark, data):
+    docs, labels = table(spark, data, "documents"), table(spark, data, "labels")
+    held = q.fold_of(F.col("doc_id")) == 0
+    other = labels.withColumn("quality", F.when(held, 1 - F.col("quality")).otherwise(F.col("quality")))
+    a = {r.doc_id: r.score for r in q.score_documents(docs, labels).collect()}
+    b = {r.doc_id: r.score for r in q.score_documents(docs, other).collect()}
+    assert a.keys() == b.keys() and all(abs(a[i] - b[i]) < 1e-6 for i in a)
+
+
+def test_untidy_rows(spark, documents):
+    good = "A plain sentence of words, and one more. "
+    pairs = [(i, good * (1 + i % 4)) if i % 3 else (i, "### $$$ %%% " * 9) for i in range(40)]
+    docs = documents([*pairs, *pairs[:3], (None, good), (99, None), (100, "")]).withColumn("score", F.lit("x")).withColumn("statistics", F.lit(1))
+    labels = [(i, int(i % 3 > 0)) for i in range(40)] + [(1, 1), (2, None), (None, 0), (7, 5)]
+    labels = spark.createDataFrame(labels, "doc_id bigint, quality int")
+    rows = q.score_documents(docs, labels).collect()
+    assert len(rows) == 46 and all(0 <= r.score <= 1 for r in rows)
+    assert all(r.predicted == int(r.doc_id % 3 > 0) for r in rows if r.doc_id is not None and r.doc_id < 40)
+    kept = q.keep_good(docs, labels)
+    assert kept.columns == docs.columns
+    assert {r.doc_id for r in kept.collect() if r.doc_id is not None and r.doc_id < 40} == {i for i in range(40) if i % 3}
+    none = q.score_documents(docs, labels.limit(0)).collect()
+    assert {r.score for r in none} == {0.5}
+    assert q.score_documents(docs.limit(0), labels).count() == 0

@@ -1,0 +1,93 @@
+import re
+
+import pytest
+from pyspark.sql import functions as F
+
+from ledgerpulse.llm import surrogates as s
+from ledgerpulse.llm.queries import QUERIES, table
+
+KEY = "k"
+
+
+def values(text):
+    return [(kind, value) for _, _, kind, value in s.entities(text)]
+
+
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        (None, []),
+        ("", []),
+        ("nothing 12 of 2024-01-02 v1.2.3 a@b 1234567890123456 999.1.1.1 1.2.3.4.5", []),
+        ("write Jo.12@mail3.example.com.", [("email", "jo.12@mail3.example.com")]),
+        ("call +1 (743) 555-3824, or 743-555-3824", [("phone", "17435553824"), ("phone", "7435553824")]),
+        ("card 4111111111111111 and 4111 1111 1111 1111", [("card", "4111111111111111")] * 2),
+        ("from 10.0.0.1, 192.168.3.4.", [("ip", "10.0.0.1"), ("ip", "192.168.3.4")]),
+        ("ssn 123-45-6789 000-12-3456", [("ssn", "123456789")]),
+        ("DE89 3704 0044 0532 0130 00 yes, DE88370400440532013000 no", [("iban", "DE89370400440532013000")]),
+        ("Mr. Adam Smith met Frau Braun. Smith left", [("given_m", "adam"), ("surname", "smith"), ("surname", "braun"), ("surname", "smith")]),
+        ("Госпожа Анна Петрова", [("given_f", "анна"), ("surname", "петрова")]),
+    ],
+)
+def test_entities(text, want):
+    assert values(text) == want
+
+
+@pytest.mark.parametrize("attempt", [0, 3, 9])
+def test_surrogates_keep_kind_and_format(attempt):
+    for kind, value in [("email", "jo.12@mail3.example.com"), ("card", "4111111111111111"), ("iban", "DE89370400440532013000"), ("ssn", "123456789"), ("phone", "17435553824"), ("ip", "10.0.0.1"), ("ip", "8.8.8.8")]:
+        new = s.surrogate(kind, value, b"k", attempt)
+        assert new == s.surrogate(kind, value, b"k", attempt) != s.surrogate(kind, value, b"other", attempt)
+        assert new != value
+        if attempt < s.WIDER:
+            assert len(new) == len(value) or kind in ("ip", "email")
+            if kind != "ssn" and kind != "phone":
+                assert values(f"x {new} y") == [(kind, new)]
+    assert s.surrogate("email", "jo@a.example.com", b"k").split("@")[1] == s.surrogate("email", "li@a.example.com", b"k").split("@")[1]
+    assert s.surrogate("phone", "17435553824", b"k")[:1] + s.surrogate("phone", "17435553824", b"k")[4:7] == "1555"
+    assert re.fullmatch("[а-я]+", s.surrogate("given_f", "анна", b"k")) and s.surrogate("given_f", "анна", b"k").endswith("я")
+    assert re.fullmatch("[a-z]+a", s.surrogate("given_f", "anna", b"k"))
+
+
+def test_format_of_the_mention():
+    assert s.dressed("phone", "19998887777", "+1 (743) 555-3824") == "+1 (999) 888-7777"
+    assert s.dressed("surname", "bade", "SMITH") == "BADE"
+    assert s.dressed("surname", "bade", "Smith") == "Bade"
+    assert s.dressed("email", "a@b.com", "A@B.COM") == "A@B.COM"
+
+
+def test_collisions_are_resolved(spark):
+    known = [("ssn", f"{i:09d}") for i in range(300)] + [("given_x", n) for n in "abcdefgh"] + [("surname", f"n{i}") for i in range(400)]
+    rows = s.assign(spark.createDataFrame(known, "kind string, value string"), KEY).collect()
+    assert sorted((r.kind, r.value) for r in rows) == sorted(known)
+    family = lambda k: "name" if k != "ssn" else k
+    assert len({(family(r.kind), r.surrogate) for r in rows}) == len(rows)
+    assert not {(family(r.kind), r.surrogate) for r in rows} & {(family(k), v) for k, v in known}
+
+
+def test_untidy_rows(spark, documents):
+    mail = "jo.12@mail3.example.com"
+    pairs = [(1, f"to {mail} and {mail.upper()}"), (2, f"cc {mail}"), (2, f"cc {mail}"), (3, None), (4, ""), (None, f"é\U0001f600 {mail}!"), (5, "clean")]
+    docs = documents(pairs).withColumns({"entity_spans": F.lit(1), "text_digest": F.lit("x"), "surrogates": F.lit(0)})
+    rows = s.replace_personal_data(docs, KEY).collect()
+    assert len(rows) == len(pairs)
+    new = next(r.surrogates[0].surrogate for r in rows if r.doc_id == 2)
+    texts = sorted((str(r.doc_id), r.text) for r in rows if r.doc_id != 3)
+    assert texts == sorted([("1", f"to {new} and {new.upper()}"), ("2", f"cc {new}"), ("2", f"cc {new}"), ("4", ""), ("None", f"é\U0001f600 {new}!"), ("5", "clean")])
+    assert s.with_surrogates(docs, KEY).columns == docs.columns
+    assert {r.doc_id: r.n_chars for r in s.with_surrogates(docs, KEY).collect()}[2] == 3 + len(new)
+    assert s.replace_personal_data(docs.limit(0), KEY).count() == 0
+
+
+def test_query_leaves_clean_texts_and_removes_all_entities(spark, data):
+    docs = {r.doc_id: r.text for r in table(spark, data, "documents").collect()}
+    known = {(k, v) for t in docs.values() for k, v in values(t)}
+    mapped = {}
+    for r in QUERIES["op1_surrogates"](spark, data).collect():
+        found = s.entities(docs[r.doc_id])
+        assert r.n_replaced == len(found)
+        assert found or r.text == docs[r.doc_id]
+        assert not set(values(r.text)) & known
+        for (_, _, kind, value), new in zip(found, r.surrogates):
+            assert mapped.setdefault((kind, value), new.surrogate.lower()) == new.surrogate.lower()  # one entity, one surrogate
+    assert len(set(mapped.values())) == len(mapped) == len(known) > 3
