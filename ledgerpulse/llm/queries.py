@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerpulse.llm import decontaminate, packing, quality, simhash, surrogates
+from ledgerpulse.llm import decontaminate, html_extract, order_minhash, packing, quality, simhash, surrogates, wordpiece
 
 #: The key of the surrogates; a deployment passes its own to the operator.
 SURROGATE_KEY = "ledgerpulse-demonstration-key"
@@ -31,11 +31,22 @@ def op1_surrogates(spark, directory):
     return replaced.select("doc_id", "text", "surrogates", F.size("surrogates").alias("n_replaced"))
 
 
+@query
+def op2_token_counts(spark, directory):
+    pieces = wordpiece.pieces_of(public_tokenizers.path("piece_bpe_32k.model"))
+    return wordpiece.count_tokens(table(spark, directory, "documents"), pieces).select("doc_id", "n_words", "n_tokens", "n_unknown")
+
+
 @query
 def op3_best_fit_packing(spark, directory):
     return packing.pack_documents(table(spark, directory, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+@query
+def op4_order_minhash(spark, directory):
+    return order_minhash.edited_fingerprints(table(spark, directory, "documents"))
+
+
 @query
 def op5_quality(spark, directory):
     return quality.score_documents(table(spark, directory, "documents"), table(spark, directory, "labels"))
@@ -47,6 +58,12 @@ def op7_decontamination(spark, directory):
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+@query
+def op9_html_extraction(spark, directory):
+    pages = html_extract.extract_main_text(table(spark, directory, "pages"))
+    return pages.select("page_id", "url", F.col("main_text").alias("text"), F.length("main_text").cast("long").alias("n_chars"))
+
+
 @query
 def op10_simhash(spark, directory):
     return simhash.simhash_components(table(spark, directory, "documents"))
