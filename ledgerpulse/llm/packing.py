@@ -31,7 +31,8 @@ LEAST_GAIN = 0.005
 #: Distinct words whose ids a tokenising task remembers, and the longest of them in bytes.
 REMEMBERED, LONGEST = 400_000, 64
 
-PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
+# Ids are text on their way through pandas, where a missing one would make all of them floating-point numbers.
+PIECES = "doc_id string, piece int, start bigint, length bigint, ids_crc32 bigint"
 PACKED = f"{PIECES}, sequence_id bigint, offset bigint"
 
 
@@ -74,14 +75,11 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY)
             out = []
             for doc, text in zip(batch["doc_id"], batch["text"], strict=True):
                 ids = tokenizer.ids(text) + b"\0\0\0\0"
-                doc = None if pd.isna(doc) else int(doc)
                 for piece, at in enumerate(range(0, len(ids), step)):
                     part = ids[at : at + step]
                     out.append((doc, piece, at // 4, len(part) // 4, zlib.crc32(part)))
-            frame = pd.DataFrame(out, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
-            yield frame.astype({"doc_id": "Int64"})
+            yield pd.DataFrame(out, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    # ids as text survive pandas even where some are null
     return docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text").mapInPandas(cut, PIECES)
 
 
@@ -131,7 +129,7 @@ def _round(level: int, capacity: int) -> Callable[[Iterator[pd.DataFrame]], Iter
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY, slack: int = SLACK, task_pieces: int = TASK_PIECES) -> DataFrame:
-    """``pieces`` with sequence_id and offset: gapless sequences of at most ``capacity``, as few as best-fit finds.
+    """``pieces`` with a BIGINT doc_id, sequence_id and offset: gapless sequences of at most ``capacity``, as few as best-fit finds.
 
     Pieces need the columns of ``token_pieces``; a piece of full length is a sequence of its own.
     """
@@ -159,7 +157,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, slack: int = SLACK, task_p
     out = done[0]
     for part in done[1:]:
         out = out.unionByName(part)
-    return out.drop("filled")
+    return out.withColumn("doc_id", F.col("doc_id").cast("bigint")).drop("filled")
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, **options) -> DataFrame:

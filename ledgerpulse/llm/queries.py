@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerpulse.llm import decontaminate, html_extract, order_minhash, packing, quality, simhash, surrogates, wordpiece
+from ledgerpulse.llm import decontaminate, html_extract, order_minhash, packing, quality, simhash, suffix_dedup, surrogates, wordpiece
 
 #: The key of the surrogates; a deployment passes its own to the operator.
 SURROGATE_KEY = "ledgerpulse-demonstration-key"
@@ -52,6 +52,11 @@ def op5_quality(spark, directory):
     return quality.score_documents(table(spark, directory, "documents"), table(spark, directory, "labels"))
 
 
+@query
+def op6_suffix_dedup(spark, directory):
+    return suffix_dedup.removal_report(table(spark, directory, "documents"))
+
+
 @query
 def op7_decontamination(spark, directory):
     found = decontaminate.contamination(table(spark, directory, "documents"), table(spark, directory, "benchmark"))

@@ -48,7 +48,7 @@ def test_best_fit_is_within_capacity():
 
 def test_untidy_rows(spark, documents):
     odd = "Ünïcode's <|endoftext|> don't 12345  x　y\x1cz ́é \t\v\f end " + "w" * 300
-    pairs = [(1, odd), (1, odd), (2, None), (3, ""), (None, "lost"), (4, "word " * 5000), (5, "a  b\n\nc")]
+    pairs = [(1, odd), (1, odd), (2, None), (3, ""), (None, "lost"), (2**62 + 1, "large id"), (4, "word " * 5000), (5, "a  b\n\nc")]
     docs = documents(pairs).withColumn("sequence_id", F.lit("x")).withColumn("piece", F.lit("y"))
     rows = p.pack_documents(docs, PATH).collect()
     assert sorted((tuple(r)[:5] for r in rows), key=str) == brute_pieces(pairs)
@@ -58,13 +58,13 @@ def test_untidy_rows(spark, documents):
 
 def test_tree_of_rounds(spark):
     rng = random.Random(2)
-    rows = [(i, 0, 0, rng.choice([1, 30, 400, 700, 1100, 1500, 2040, 2048]), 7) for i in range(3000)]
+    rows = [(str(i), 0, 0, rng.choice([1, 30, 400, 700, 1100, 1500, 2040, 2048]), 7) for i in range(3000)]
     pieces = spark.createDataFrame(rows, p.PIECES)
     packed = p.pack(pieces, task_pieces=200).collect()
-    assert sorted((r.doc_id, r.length) for r in packed) == [(r[0], r[3]) for r in rows]
+    assert sorted((r.doc_id, r.length) for r in packed) == [(int(r[0]), r[3]) for r in rows]
     one = check(p.pack(pieces).collect())
     assert one <= check(packed) <= 1.02 * one
-    halves = spark.createDataFrame([(i, 0, 0, 1100, 7) for i in range(500)], p.PIECES)  # nothing fits together
+    halves = spark.createDataFrame([(str(i), 0, 0, 1100, 7) for i in range(500)], p.PIECES)  # nothing fits together
     assert check(p.pack(halves, task_pieces=20).collect()) == 500
 
 
