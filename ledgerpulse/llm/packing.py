@@ -14,6 +14,8 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,7 +31,9 @@ TASK_PIECES = 100_000
 #: A round that saves a smaller share of the open sequences is the last.
 LEAST_GAIN = 0.005
 #: Distinct words whose ids a tokenising task remembers, and the longest of them in bytes.
-REMEMBERED, LONGEST = 400_000, 64
+REMEMBERED, LONGEST = 600_000, 64
+#: Bytes of text that are tokenised together.
+TOGETHER = 1 << 23
 
 # Ids are text on their way through pandas, where a missing one would make all of them floating-point numbers.
 PIECES = "doc_id string, piece int, start bigint, length bigint, ids_crc32 bigint"
@@ -39,27 +43,54 @@ PACKED = f"{PIECES}, sequence_id bigint, offset bigint"
 class WordTokenizer:
     """Token ids, as little-endian bytes, of texts under a tokenizer that never joins what white space separates.
 
-    Ids of short words are remembered, so that a word is tokenised once in a task.
+    Texts are split and their distinct words numbered by Arrow; each distinct word of a group of texts is looked up once,
+    those not remembered are tokenised in one call, and the ids of the texts are gathered from those of the words.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[bytes, bytes] = {}
-
-    def ids(self, text: str | None) -> bytes:
-        parts = text.encode("utf-8", "replace").split() if text else []
-        found = list(map(self.known.get, parts))
-        if None in found:
-            missing = list({w for w, f in zip(parts, found, strict=True) if f is None})
-            encoded = self.tokenizer.encode_batch([w.decode("utf-8") for w in missing], add_special_tokens=False)
-            new = {w: np.array(e.ids, dtype="<u4").tobytes() for w, e in zip(missing, encoded, strict=True)}
-            if len(self.known) > REMEMBERED:
-                self.known.clear()
-            self.known.update((w, i) for w, i in new.items() if len(w) <= LONGEST)
-            found = [new[w] if f is None else f for w, f in zip(parts, found, strict=True)]
-        return b"".join(found)
+        self.known: dict[str, bytes] = {}
+
+    def ids(self, texts: pa.Array) -> list[bytes]:
+        split = pc.ascii_split_whitespace(pc.fill_null(texts.cast(pa.large_string()), ""))
+        ends = split.offsets.to_numpy()[1:] - split.offsets[0].as_py()
+        numbered = split.flatten().dictionary_encode()
+        words, which = numbered.dictionary.to_pylist(), numbered.indices.to_numpy()
+        found = list(map(self.known.get, words))
+        new = self._tokenised([w for w, f in zip(words, found, strict=True) if f is None])
+        found = [new[w] if f is None else f for w, f in zip(words, found, strict=True)]
+        if len(self.known) > REMEMBERED:
+            self.known.clear()
+        self.known.update((w, i) for w, i in new.items() if len(w) <= LONGEST)
+
+        sizes = np.fromiter(map(len, found), dtype=np.int64, count=len(found)) // 4
+        starts = np.cumsum(sizes) - sizes
+        counts = sizes[which]
+        stops = np.cumsum(counts)
+        source = np.arange(stops[-1] if len(stops) else 0) + np.repeat(starts[which] - stops + counts, counts)
+        ids = np.frombuffer(b"".join(found), dtype="<u4")[source].tobytes()
+        cuts = (4 * np.concatenate(([0], stops))[np.concatenate(([0], ends))]).tolist()
+        return [ids[i:j] for i, j in zip(cuts[:-1], cuts[1:], strict=True)]
+
+    def _tokenised(self, words: list[str]) -> dict[str, bytes]:
+        if not words:
+            return {}
+        encoded = self.tokenizer.encode(words, is_pretokenized=True, add_special_tokens=False)
+        ids = np.array(encoded.ids, dtype="<u4").tobytes()
+        ends = np.searchsorted(np.array(encoded.word_ids), np.arange(len(words)), side="right") * 4
+        return {w: ids[a:b] for w, a, b in zip(words, [0, *ends[:-1].tolist()], ends.tolist(), strict=True)}
+
+
+def _groups(texts: pa.Array, size: int) -> Iterator[tuple[int, int]]:
+    """Row ranges of about ``size`` bytes of text."""
+    before = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy())
+    start = 0
+    while start < len(texts):
+        stop = max(start + 1, int(np.searchsorted(before, (before[start - 1] if start else 0) + size, side="right")))
+        yield start, stop
+        start = stop
 
 
 def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY) -> DataFrame:
@@ -68,19 +99,23 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY)
     A null text is empty and yields the piece (0). Repeated rows yield their pieces again; a null doc_id stays null.
     """
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = WordTokenizer(tokenizer_path)
         step = 4 * capacity
         for batch in batches:
-            out = []
-            for doc, text in zip(batch["doc_id"], batch["text"], strict=True):
-                ids = tokenizer.ids(text) + b"\0\0\0\0"
-                for piece, at in enumerate(range(0, len(ids), step)):
-                    part = ids[at : at + step]
-                    out.append((doc, piece, at // 4, len(part) // 4, zlib.crc32(part)))
-            yield pd.DataFrame(out, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
+            docs, texts = batch.column("doc_id"), batch.column("text")
+            for first, stop in _groups(texts, TOGETHER):
+                out: list[tuple[int, int, int, int, int]] = []
+                for row, ids in enumerate(tokenizer.ids(texts[first:stop]), first):
+                    ids += b"\0\0\0\0"
+                    for piece, at in enumerate(range(0, len(ids), step)):
+                        part = ids[at : at + step]
+                        out.append((row, piece, at // 4, len(part) // 4, zlib.crc32(part)))
+                row, piece, at, length, crc = (np.array(c) for c in zip(*out, strict=True))
+                columns = [docs.take(pa.array(row)), pa.array(piece, pa.int32()), pa.array(at), pa.array(length), pa.array(crc)]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text").mapInPandas(cut, PIECES)
+    return docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text").mapInArrow(cut, PIECES)
 
 
 def best_fit(sizes: np.ndarray, capacity: int) -> np.ndarray:
@@ -114,7 +149,8 @@ def _round(level: int, capacity: int) -> Callable[[Iterator[pd.DataFrame]], Iter
         if part is None:
             return
         part = part.sort_values(["sequence_id", "offset", "doc_id", "piece", "start", "ids_crc32"], kind="stable", ignore_index=True)
-        item = (part["sequence_id"] != part["sequence_id"].shift()).cumsum().to_numpy() - 1
+        ids = part["sequence_id"].to_numpy()
+        item = np.concatenate(([0], np.cumsum(ids[1:] != ids[:-1])))
         sizes = np.bincount(item, weights=part["length"]).astype(np.int64)
         bins = best_fit(sizes, capacity)
         part["item"], part["bin"] = item, bins[item]
