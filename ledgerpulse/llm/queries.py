@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerpulse.llm import decontaminate, html_extract, order_minhash, packing, quality, simhash, suffix_dedup, surrogates, wordpiece
+from ledgerpulse.llm import decontaminate, html_extract, order_minhash, packing, quality, secret_scan, simhash, suffix_dedup, surrogates, wordpiece
 
 #: The key of the surrogates; a deployment passes its own to the operator.
 SURROGATE_KEY = "ledgerpulse-demonstration-key"
@@ -63,6 +63,16 @@ def op7_decontamination(spark, directory):
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+@query
+def op8_secret_scan(spark, directory):
+    # the tables hold no labelled findings; they are derived from the documents, and a fifth of these is held out
+    held_out = quality.fold_of(F.col("doc_id")) == 0
+    found = secret_scan.scan(table(spark, directory, "documents"), training=~held_out)
+    return found.select(
+        "doc_id", held_out.alias("held_out"), "place", "nth", F.sha2(F.col("value").cast("binary"), 256).alias("value_sha256"), "probability", "secret"
+    )
+
+
 @query
 def op9_html_extraction(spark, directory):
     pages = html_extract.extract_main_text(table(spark, directory, "pages"))
