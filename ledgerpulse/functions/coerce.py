@@ -17,17 +17,39 @@ def null_tokens(text: Column) -> Column:
     return F.when(text.isin(*NULL_TOKENS), F.lit(None)).otherwise(text)
 
 
-def to_timestamp(value: Column) -> Column:
-    return value.try_cast("timestamp_ntz")
+# The dates that the original's clock can hold, and the patterns it reads besides ISO text.
+FIRST_TIME, LAST_TIME = "1677-09-21 00:12:43.145224", "2262-04-11 23:47:16.854775"
+DATE_FORMATS = ("M/d/yyyy", "M/d/yyyy H:mm", "M/d/yyyy H:mm:ss")
+# A number as text files write it; the engine's own cast would also take a type suffix such as 100d.
+NUMBER = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$|^\s*[+-]?(?i:inf|infinity)\s*$"
+
+
+def to_timestamp(value: Column, formats: tuple[str, ...] = DATE_FORMATS) -> Column:
+    """ISO text, then ``formats`` in order; a time beyond the original's range is missing."""
+    text = value.cast("string")
+    read = F.coalesce(
+        value.try_cast("timestamp_ntz"), *[F.try_to_timestamp(text, F.lit(f)).cast("timestamp_ntz") for f in formats]
+    )
+    return F.when(read.between(F.lit(FIRST_TIME).cast("timestamp_ntz"), F.lit(LAST_TIME).cast("timestamp_ntz")), read)
+
+
+def _number_text(value: Column) -> Column:
+    text = value.cast("string")
+    return F.when(text.rlike(NUMBER), F.btrim(text, F.lit(WHITESPACE)))
 
 
 def to_double(value: Column) -> Column:
-    return F.nanvl(value.try_cast("double"), F.lit(None).cast("double"))
+    return F.nanvl(_number_text(value).try_cast("double"), F.lit(None).cast("double"))
+
+
+def to_money(value: Column) -> Column:
+    """An amount with six decimals, so that sums do not depend on the order of the rows."""
+    return to_double(value).try_cast("decimal(24,6)")
 
 
 def to_integer(value: Column) -> Column:
     """Truncates; 0 for missing or unreadable. Text goes through DOUBLE so that ``'2.9'`` is 2."""
-    return F.coalesce(value.try_cast("double").try_cast("bigint"), F.lit(0).cast("bigint"))
+    return F.coalesce(_number_text(value).try_cast("double").try_cast("bigint"), F.lit(0).cast("bigint"))
 
 
 def to_boolean(value: Column) -> Column:
@@ -47,6 +69,7 @@ COERCIONS = {
     "string": to_text,
     "datetime": to_timestamp,
     "float": to_double,
+    "money": to_money,
     "int": to_integer,
     "bool": to_boolean,
 }

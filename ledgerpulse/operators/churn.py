@@ -132,13 +132,21 @@ def train(features: DataFrame, model_type: str = "logistic", test_size: float =
     that copy.
     """
     split = stage(stratified_split(features, test_size=test_size), "split")
-    counts = split.where(~F.col("is_test")).agg(F.count("*").alias("n"), F.sum("churned").alias("p")).first()
+    known = F.coalesce(F.col("churned").isin(0, 1), F.lit(False))
+    counts = split.agg(
+        F.count_if(~F.col("is_test")).alias("n"),
+        F.count_if(~F.col("is_test") & (F.col("churned") == 1)).alias("p"),
+        F.count_if(~known).alias("unknown"),
+    ).first()
+    if counts.unknown:
+        raise ValueError(f"{counts.unknown} rows have a label other than 0 and 1")
     if not counts.p or counts.p == counts.n:
         raise ValueError("training needs customers of both classes")
     weighted = with_class_weight(split.where(~F.col("is_test")), counts.p, counts.n)
     pipeline = Pipeline(stages=[*feature_stages(features), classifier(model_type, counts.n)]).fit(weighted)
     model = ChurnModel(pipeline, model_type, _feature_names(pipeline, features), {})
-    held_out = model.probabilities(split.where("is_test"))
+    # scored once for both measures
+    held_out = stage(model.probabilities(split.where("is_test")).select("churned", "churn_probability"), "held_out")
     quality = threshold_metrics(held_out).first()
     model.metrics = {"auc": roc_auc(held_out), **{m: quality[m] for m in METRICS[1:]}}
     return model
@@ -153,6 +161,15 @@ def train_and_rank(features: DataFrame, model_type: str = "logistic", path: str
     return model, at_risk(model.score(features))
 
 
+def learned_categories(features: DataFrame) -> dict[str, list[str]]:
+    """The sorted values of the category columns, as the encoder of a model learns them. ``features`` should be stored."""
+    columns = [c for c in CATEGORICAL if c in features.columns]
+    encoder = StringIndexer(
+        inputCols=columns, outputCols=[f"{c}_index" for c in columns], handleInvalid="skip", stringOrderType="alphabetAsc"
+    )
+    return {c: list(labels) for c, labels in zip(columns, encoder.fit(features).labelsArray)}
+
+
 def _feature_names(pipeline: PipelineModel, features: DataFrame) -> list[str]:
     names = select_features(features)
     categories = [c for c in CATEGORICAL if c in features.columns]

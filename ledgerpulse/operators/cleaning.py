@@ -30,6 +30,15 @@ def validate_schema(df: DataFrame, schema: dict[str, str], table: str) -> Valida
     return Validation(table, missing, extra, warnings)
 
 
+def validation_report(tables: dict[str, DataFrame], schemas: dict[str, dict[str, str]]) -> DataFrame:
+    """One row per table: whether it is valid, and its missing and extra columns."""
+    found = [validate_schema(df, schemas[name], name) for name, df in tables.items()]
+    spark = next(iter(tables.values())).sparkSession
+    rows = [(v.table, v.valid, v.missing_columns, v.extra_columns, v.warnings) for v in found]
+    schema = "table_name string, valid boolean, missing_columns array<string>, extra_columns array<string>, warnings array<string>"
+    return spark.createDataFrame(rows, schema)
+
+
 def require_schema(df: DataFrame, schema: dict[str, str], table: str) -> DataFrame:
     report = validate_schema(df, schema, table)
     if not report.valid:

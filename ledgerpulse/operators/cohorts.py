@@ -9,7 +9,7 @@ from ledgerpulse.functions.dates import month_number, month_start
 from ledgerpulse.functions.numbers import percent
 
 
-def cohort_grid(subscriptions: DataFrame, customers: DataFrame) -> DataFrame:
+def cohort_grid(subscriptions: DataFrame, customers: DataFrame | None) -> DataFrame:
     """Per signup month and months since: distinct customers, active periods, cohort size, retention.
 
     Both sides are reduced to one row per customer and month before the join, so
@@ -17,8 +17,11 @@ def cohort_grid(subscriptions: DataFrame, customers: DataFrame) -> DataFrame:
     customer is marked, which turns the cohort size into a sum over the grid.
     Periods without a start and customers without a signup date are left out.
     A missing id matches a missing id; spelled as two plain key columns, the
-    join leaves the rows partitioned as the window needs them.
+    join leaves the rows partitioned as the window needs them. Without a table
+    of customers there are no cohorts.
     """
+    if customers is None:
+        customers = subscriptions.select("customer_id", F.col("period_start").alias("signup_date")).limit(0)
     key = [F.coalesce("customer_id", F.lit("")).alias("id"), F.col("customer_id").isNull().alias("no_id")]
     activity = (
         subscriptions.where(F.col("period_start").isNotNull())

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -10,10 +12,8 @@ from ledgerpulse.functions.dates import micros, whole_days
 from ledgerpulse.functions.numbers import at_least, mean, ratio, total
 
 DAYS_PER_MONTH = 30
-# A missing period end sorts after the last microsecond of the year 9999; that many
-# microseconds and a flag below TIES still fit into a BIGINT.
-LAST_MICROS = 260 * 10**15
-TIES = 32
+# More than any BIGINT, so that a time and a flag fit into one number without overlap.
+FLAG_RANGE = Decimal(10) ** 19
 PROFILE = ("signup_date", "plan", "segment", "monthly_price")
 
 # Model inputs, in order, as far as the table has them.
@@ -24,8 +24,6 @@ NUMERIC_FEATURES = (
 )
 USAGE_FEATURES = ("total_logins", "avg_logins", "max_logins", "avg_feature_usage", "max_feature_usage")
 CATEGORICAL = ("plan", "segment")
-# A one-hot block wider than this is a mistake in the choice of column.
-MAX_CATEGORIES = 1000
 
 
 def reference_date(subscriptions: DataFrame) -> DataFrame:
@@ -55,12 +53,20 @@ def _last(name: str, *ties: str) -> Column:
 def _latest_flag(name: str) -> Column:
     """Last non-missing flag by period end; at equal ends the larger one.
 
-    Time and value share one BIGINT, so the aggregate buffer has a fixed width
-    and Spark hashes; a struct ordering would make it sort every input row.
+    Time and value share one DECIMAL, so the aggregate buffer has a fixed width
+    and Spark hashes; a struct ordering would make it sort every input row. A
+    missing period end comes after every time a timestamp can hold.
     """
-    end = F.coalesce(micros(F.col("period_end")), F.lit(LAST_MICROS))
-    tie = F.least(F.greatest(F.col(name).cast("bigint"), F.lit(0)), F.lit(TIES - 1))
-    return F.max_by(name, F.when(F.col(name).isNotNull(), end * TIES + tie)).alias(name)
+    last = F.lit(FLAG_RANGE - 1).cast("decimal(38,0)")
+    end = F.coalesce(micros(F.col("period_end")).cast("decimal(38,0)"), last)
+    order = (end * F.lit(FLAG_RANGE).cast("decimal(20,0)")).cast("decimal(38,0)") + F.col(name).cast("bigint").cast("decimal(20,0)")
+    return F.max_by(name, F.when(F.col(name).isNotNull(), order.cast("decimal(38,0)"))).alias(name)
+
+
+def _listed(name: str, columns: list[str]) -> Column:
+    """Of a customer listed more than once, the last non-missing value; one order of whole listings serves every column."""
+    listing = F.struct(*[F.col(c) for c in PROFILE if c in columns])
+    return F.max_by(name, F.when(F.col(name).isNotNull(), listing)).alias(name)
 
 
 def _activity(rows: DataFrame) -> list[Column]:
@@ -97,7 +103,9 @@ def customer_features(
 
     Subscriptions are aggregated first (partial aggregates before the only
     shuffle of the large table) and joined with the customers afterwards. A
-    customer listed n times counts every period n times, as in the merged table.
+    customer listed n times counts every period n times, as in the merged table,
+    and has the profile of the last listing in order of signup date, plan,
+    segment and price, missing values filled from the listing before.
     ``reference`` may name a cheaper plan for the one-row reference date.
     ``latest`` names further columns of the latest record to carry along, which
     makes Spark sort the subscriptions instead of hashing them.
@@ -110,7 +118,7 @@ def customer_features(
     profile = (
         customers.where(F.col("customer_id").isNotNull())
         .groupBy("customer_id")
-        .agg(F.count("*").alias("_listings"), *[F.max(c).alias(c) for c in PROFILE if c in customers.columns])
+        .agg(F.count("*").alias("_listings"), *[_listed(c, customers.columns) for c in PROFILE if c in customers.columns])
     )
     listings = F.coalesce("_listings", F.lit(1).cast("bigint"))
     rows = activity.join(profile, "customer_id", "left")
@@ -125,7 +133,7 @@ def features_from_merged(merged: DataFrame, reference: DataFrame | None = None)
     rows = (
         merged.where(F.col("customer_id").isNotNull())
         .groupBy("customer_id")
-        .agg(*_activity(merged), *[_last(c) for c in PROFILE if c in merged.columns])
+        .agg(*_activity(merged), *[_listed(c, merged.columns) for c in PROFILE if c in merged.columns])
     )
     return _derive(rows, reference or reference_date(merged))
 
@@ -151,14 +159,6 @@ def _derive(rows: DataFrame, reference: DataFrame) -> DataFrame:
     return derived.fillna(0, subset=numeric)
 
 
-def learn_categories(df: DataFrame, column: str) -> list[str]:
-    """Sorted distinct values of a category column, read once so that scoring uses the same list."""
-    rows = df.where(F.col(column).isNotNull()).select(column).distinct().limit(MAX_CATEGORIES + 1).collect()
-    if len(rows) > MAX_CATEGORIES:
-        raise ValueError(f"{column} has more than {MAX_CATEGORIES} distinct values")
-    return sorted(row[0] for row in rows)
-
-
 def one_hot(df: DataFrame, column: str, categories: list[str]) -> DataFrame:
     """A 0/1 column ``<column>_<value>`` per category; all 0 for a missing or unknown value."""
     return df.withColumns(

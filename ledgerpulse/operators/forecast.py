@@ -15,9 +15,8 @@ from ledgerpulse.functions.dates import month_number
 from ledgerpulse.functions.numbers import half_even
 
 HORIZON_MONTHS = 3
-# 80 % interval of a normal distribution, months needed for a yearly pattern.
+# Fixed value: 80 % interval of a normal distribution.
 INTERVAL = 1.2816
-SEASONAL_MONTHS = 24
 MODES = ("multiplicative", "additive")
 
 
@@ -38,9 +37,9 @@ def fit(
     """One model row per series.
 
     The trend is the least-squares line over the month number; the effect of a
-    calendar month is the mean ratio to (or difference from) the trend. Series
-    with less than two years get no yearly pattern, because every month would
-    be fitted by itself.
+    calendar month is the mean ratio to (or difference from) the trend, drawn
+    towards no effect by the share 1/n of its n observations: a month seen once
+    tells nothing about the year, and every further one tells more.
     """
     if mode not in MODES:
         raise ValueError(f"unknown mode {mode!r} (expected one of {', '.join(MODES)})")
@@ -53,19 +52,16 @@ def fit(
             {
                 "slope": F.coalesce(F.regr_slope(y, t).over(whole), F.lit(0.0)),
                 "intercept": F.coalesce(F.regr_intercept(y, t).over(whole), F.avg(y).over(whole)),
-                "months": F.count(y).over(whole),
             }
         )
         .withColumn("trend", _trend(t))
     )
     neutral = _neutral(mode)
     effect = F.try_divide(y, F.col("trend")) if mode == "multiplicative" else y - F.col("trend")
-    seasonal = F.lit(yearly) & (F.col("months") >= SEASONAL_MONTHS)
-    fitted = (
-        points.withColumn(
-            "effect", F.when(seasonal, F.coalesce(F.avg(effect).over(same_month), neutral)).otherwise(neutral)
-        )
-        .withColumn("residual", y - _combine(mode, F.col("trend"), F.col("effect")))
+    seen = F.count(effect).over(same_month)
+    drawn = neutral + (F.avg(effect).over(same_month) - neutral) * F.try_divide(seen - 1, seen)
+    fitted = points.withColumn("effect", F.coalesce(drawn, neutral) if yearly else neutral).withColumn(
+        "residual", y - _combine(mode, F.col("trend"), F.col("effect"))
     )
     return (
         fitted.groupBy(*by)
@@ -153,23 +149,39 @@ def expected_mrr(forecast: DataFrame) -> DataFrame:
     return forecast.agg(F.coalesce(half_even(ahead, 2), current * 1.05).alias("forecast_mrr"))
 
 
-def train_and_forecast(series: DataFrame, months: int = HORIZON_MONTHS, path: str | None = None):
+def train_and_forecast(
+    series: DataFrame, months: int = HORIZON_MONTHS, path: str | None = None, by: tuple[str, ...] = ()
+):
     """Fit, predict and measure; returns the model, the future rows and the accuracy."""
-    model = fit(series)
+    model = fit(series, by=by)
     if path:
-        model = save_model(model, path)
-    forecast = predict(model, months)
-    return model, future_forecast(forecast, months), accuracy(forecast)
+        model = save_model(model, path, months, by)
+    forecast = predict(model, months, by)
+    return model, future_forecast(forecast, months, by), accuracy(forecast, by)
 
 
-def save_model(model: DataFrame, path: str) -> DataFrame:
-    """Write the model table and return the stored copy."""
-    model.write.mode("overwrite").parquet(path)
-    return model.sparkSession.read.schema(model.schema).parquet(path)
+def save_model(model: DataFrame, path: str, months: int = HORIZON_MONTHS, by: tuple[str, ...] = ()) -> DataFrame:
+    """Write the model table, its forecast and its accuracy below ``path``; returns the stored model."""
+    spark = model.sparkSession
+    model.write.mode("overwrite").parquet(f"{path}/model")
+    stored = spark.read.schema(model.schema).parquet(f"{path}/model")
+    forecast = predict(stored, months, by)
+    forecast.write.mode("overwrite").parquet(f"{path}/forecast")
+    accuracy(forecast, by).write.mode("overwrite").parquet(f"{path}/accuracy")
+    return stored
 
 
 def load_model(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+    return spark.read.parquet(f"{path}/model")
+
+
+def load_forecast(spark: SparkSession, path: str) -> DataFrame:
+    """History and future rows as they were stored with the model."""
+    return spark.read.parquet(f"{path}/forecast")
+
+
+def load_accuracy(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(f"{path}/accuracy")
 
 
 def _trend(t: Column) -> Column:

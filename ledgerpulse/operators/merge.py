@@ -43,6 +43,8 @@ def merge_datasets(
     share of all rows. A missing id matches a missing id. A customer listed
     twice doubles its rows.
     """
+    if subscriptions is None or customers is None:
+        raise ValueError("merging needs the subscriptions and the customers")
     profile = customer_profile(customers, transactions)
     renamed = profile.select(
         F.col(KEY).alias("_profile_key"),

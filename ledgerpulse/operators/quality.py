@@ -13,6 +13,7 @@ from ledgerpulse.functions.numbers import half_even, percent, total
 # The declared data-quality rules.
 MAX_MISSING_SHARE = 0.2
 CRITICAL_COLUMNS = ("customer_id", "revenue", "period_start")
+TABLES = ("customers", "subscriptions", "transactions")
 
 
 def _is_missing(field: T.StructField) -> Column:
@@ -64,9 +65,16 @@ def quality_scores(tables: dict[str, DataFrame]) -> DataFrame:
 
 
 def dataset_summary(
-    customers: DataFrame, subscriptions: DataFrame, transactions: DataFrame | None = None
+    customers: DataFrame,
+    subscriptions: DataFrame,
+    transactions: DataFrame | None = None,
+    scores: DataFrame | None = None,
 ) -> DataFrame:
-    """One row: table sizes, signup range, active and churned periods, total revenue."""
+    """One row: table sizes, signup range, active and churned periods, total revenue.
+
+    ``scores`` (see ``quality_scores``) adds the quality score of each table.
+    """
+    score = {} if scores is None else scores.agg(F.map_from_entries(F.collect_list(F.struct("table_name", "quality_score")))).scalar()
     periods = subscriptions.agg(
         F.struct(
             F.count("*").alias("subscriptions_count"),
@@ -92,6 +100,7 @@ def dataset_summary(
             "periods.active_subscriptions",
             "periods.churned_subscriptions",
             "periods.total_revenue",
+            *[F.try_element_at(score, F.lit(t)).alias(f"{t}_quality") for t in TABLES if scores is not None],
         )
     )
 
@@ -112,20 +121,21 @@ def quality_gate(
     critical: tuple[str, ...] = CRITICAL_COLUMNS,
     max_missing: float = MAX_MISSING_SHARE,
 ) -> DataFrame:
-    """One row per check of the declared rules: measured value and whether it passes."""
-    profile = column_profile(subscriptions, "subscriptions").where(F.col("column_name").isin(*critical))
-    share = F.coalesce(F.try_divide(F.col("missing"), F.col("total_rows")), F.lit(0.0))
-    missing = profile.select(
-        F.concat(F.lit("missing:"), "column_name").alias("check_name"),
-        F.round(share, 6).alias("measured"),
-        (share <= max_missing).alias("passed"),
-    )
-    backwards = F.count_if(F.col("period_end") < F.col("period_start"))
-    ranges = subscriptions.agg(
-        F.lit("date_range").alias("check_name"),
-        backwards.cast("double").alias("measured"),
-        (backwards == 0).alias("passed"),
-    )
+    """One row per check of the declared rules: measured value and whether it passes.
+
+    Missing shares and the date range come from one aggregate, repeated keys
+    from another, so a table that is not stored is computed twice.
+    """
+    fields = {f.name: f for f in subscriptions.schema.fields}
+    shares = [F.coalesce(F.try_divide(F.count_if(_is_missing(fields[c])), F.count("*")), F.lit(0.0)).alias(c) for c in critical]
+    backwards = F.count_if(F.col("period_end") < F.col("period_start")).cast("double").alias("_backwards")
+
+    def rule(name: str, value: Column, passed: Column) -> Column:
+        return F.struct(F.lit(name).alias("check_name"), value.alias("measured"), passed.alias("passed"))
+
+    rules = [rule(f"missing:{c}", F.round(F.col(c), 6), F.col(c) <= max_missing) for c in critical]
+    rules.append(rule("date_range", F.col("_backwards"), F.col("_backwards") == 0))
+    measured = subscriptions.agg(*shares, backwards).select(F.inline(F.array(*rules)))
     surplus = F.coalesce(F.sum(F.col("copies") - 1), F.lit(0))
     duplicates = (
         subscriptions.where(F.col(key).isNotNull())
@@ -137,7 +147,7 @@ def quality_gate(
             (surplus == 0).alias("passed"),
         )
     )
-    return missing.unionByName(ranges).unionByName(duplicates)
+    return measured.unionByName(duplicates)
 
 
 def _union(frames) -> DataFrame:

@@ -21,39 +21,40 @@ def _is_active() -> Column:
     return F.coalesce(F.col("active"), F.lit(False))
 
 
-def customer_periods(subscriptions: DataFrame, by: tuple[str, ...] = (), period: str = "monthly") -> DataFrame:
-    """One row per customer and period.
+def customer_periods(
+    subscriptions: DataFrame, by: tuple[str, ...] = (), period: str = "monthly", dated: bool = True
+) -> DataFrame:
+    """One row per customer and period; ``dated`` leaves out periods without a start.
 
     The shuffle carries partial sums, so a customer with very many rows arrives
     as one row per period and map task; distinct counts become plain counts.
     """
-    return (
-        subscriptions.where(F.col("period_start").isNotNull())
-        .groupBy(*by, period_start(F.col("period_start"), period).alias("date"), "customer_id")
-        .agg(
-            F.sum(F.when(_is_active(), F.col("revenue"))).alias("revenue"),
-            F.count_if(_is_active()).alias("active_rows"),
-            F.max(F.coalesce(F.col("churn_flag") == 1, F.lit(False))).alias("has_churned"),
-        )
+    rows = subscriptions.where(F.col("period_start").isNotNull()) if dated else subscriptions
+    return rows.groupBy(*by, period_start(F.col("period_start"), period).alias("date"), "customer_id").agg(
+        F.sum(F.when(_is_active(), F.col("revenue"))).alias("revenue"),
+        F.count_if(_is_active()).alias("active_rows"),
+        F.max(F.coalesce(F.col("churn_flag") == 1, F.lit(False))).alias("has_churned"),
     )
 
 
-def period_activity(subscriptions: DataFrame, by: tuple[str, ...] = (), period: str = "monthly") -> DataFrame:
-    """Revenue and customer counts per period: the base of every series. Gaps are not filled."""
+def _by_period(sums: DataFrame, by: tuple[str, ...]) -> DataFrame:
     known = F.col("customer_id").isNotNull()
-    return (
-        customer_periods(subscriptions, by, period)
-        .groupBy(*by, "date")
-        .agg(
-            total(F.col("revenue")).alias("MRR"),
-            F.sum("active_rows").alias("active_rows"),
-            F.count_if(known & (F.col("active_rows") > 0)).alias("active_customers"),
-            F.count_if(known).alias("customers_start"),
-            F.count_if(known & F.col("has_churned")).alias("churned"),
-        )
+    newcomers = [F.count_if("_new").alias("newcomers")] if "_new" in sums.columns else []
+    return sums.groupBy(*by, "date").agg(
+        total(F.col("revenue")).alias("MRR"),
+        F.sum("active_rows").alias("active_rows"),
+        F.count_if(known & (F.col("active_rows") > 0)).alias("active_customers"),
+        F.count_if(known).alias("customers_start"),
+        F.count_if(known & F.col("has_churned")).alias("churned"),
+        *newcomers,
     )
 
 
+def period_activity(subscriptions: DataFrame, by: tuple[str, ...] = (), period: str = "monthly") -> DataFrame:
+    """Revenue and customer counts per period: the base of every series. Gaps are not filled."""
+    return _by_period(customer_periods(subscriptions, by, period), by)
+
+
 def mrr_series(subscriptions: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """Revenue of active periods by month of their start."""
     return (
@@ -158,7 +159,7 @@ def _with_age(months: DataFrame, by: tuple[str, ...]) -> DataFrame:
 
     The window may lack a partition key: its input is one row per month (and group).
     """
-    live = F.col("active_rows") > 0
+    live = (F.col("active_rows") > 0) & F.col("date").isNotNull()
     latest_first = Window.partitionBy(*by).orderBy(live.desc(), F.desc("date"))
     return months.withColumn("_live", live).withColumn("_age", F.row_number().over(latest_first))
 
@@ -178,31 +179,68 @@ def growth_metrics(subscriptions: DataFrame, by: tuple[str, ...] = ()) -> DataFr
     return _with_age(months, by).groupBy(*by).agg(_mom().alias("mrr_growth_mom"), _qoq().alias("mrr_growth_qoq"))
 
 
+def monthly_table(subscriptions: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """``period_activity`` by month with ``newcomers``, the customers first active then: the base of the KPI row and its series.
+
+    The newcomers of all months are the customers that were ever active. Periods
+    without a start are kept in a row without a date, for their newcomers.
+    """
+    return _monthly(customer_periods(subscriptions, by, dated=False), by)
+
+
+def monthly_table_by_attribute(subscriptions: DataFrame, customers: DataFrame, attribute: str) -> DataFrame:
+    """``monthly_table`` per value of a customer attribute; periods are summed per customer and month before the join."""
+    owners = customers.select(F.col("customer_id").alias("_owner"), attribute)
+    sums = customer_periods(subscriptions, dated=False)
+    owned = sums.join(owners, F.col("customer_id").eqNullSafe(F.col("_owner")), "left").drop("_owner")
+    return _monthly(owned, (attribute,))
+
+
+def _monthly(sums: DataFrame, by: tuple[str, ...]) -> DataFrame:
+    place = F.when(F.col("active_rows") > 0, F.struct(F.col("date").isNull(), "date"))
+    # the window holds the months of one customer (and those without an id), never raw periods
+    first = F.min(place).over(Window.partitionBy(*by, "customer_id"))
+    marked = sums.withColumn("_new", F.coalesce(F.col("customer_id").isNotNull() & (place == first), F.lit(False)))
+    return _by_period(marked, by).withColumns({"ARPU": _arpu(), "churn_rate": _churn_rate()})
+
+
+def series_of(months: DataFrame, by: tuple[str, ...] = ()) -> dict[str, DataFrame]:
+    """Revenue, churn and revenue per user by month, from a (stored) monthly table."""
+    dated = months.where(F.col("date").isNotNull())
+    live = dated.where(F.col("active_rows") > 0)
+    return {
+        "mrr_series": live.select(*by, "date", "MRR"),
+        "churn_series": dated.select(
+            *by, period_label(F.col("date")).alias("period"), "date", "customers_start", "churned", "churn_rate"
+        ),
+        "arpu_series": live.select(*by, "date", "ARPU"),
+    }
+
+
 def dashboard_kpis(subscriptions: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """All headline numbers in one row (per group), from one aggregate over customer and month."""
-    months = period_activity(subscriptions, by).withColumns({"ARPU": _arpu(), "churn_rate": _churn_rate()})
+    return kpis_of(monthly_table(subscriptions, by), by)
+
+
+def kpis_of(months: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """The KPI row from a (stored) monthly table."""
     latest = (
         _with_age(months, by)
         .groupBy(*by)
         .agg(
             F.coalesce(_recent("MRR", 1, 1), F.lit(0.0)).alias("current_mrr"),
             _mom().alias("mrr_growth_mom"),
+            F.coalesce(F.sum("newcomers"), F.lit(0)).cast("bigint").alias("active_customers"),
             F.coalesce(_recent("ARPU", 1, 1), F.lit(0.0)).alias("arpu"),
             F.coalesce(F.max_by("churn_rate", "date"), F.lit(0.0)).alias("churn_rate"),
         )
     )
-    counts = active_customers(subscriptions, by)
-    if by:
-        same_group = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in by]
-        latest = latest.join(counts.withColumnsRenamed({k: f"_{k}" for k in by}), same_group, "left")
-    else:
-        latest = latest.withColumn("active_customers", counts.scalar())
     return latest.select(
         *by,
         "current_mrr",
         (F.col("current_mrr") * MONTHS_PER_YEAR).alias("arr"),
         "mrr_growth_mom",
-        F.coalesce("active_customers", F.lit(0).cast("bigint")).alias("active_customers"),
+        "active_customers",
         "arpu",
         _simple_clv(F.col("arpu"), F.col("churn_rate")).alias("clv"),
         "churn_rate",

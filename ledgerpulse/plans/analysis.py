@@ -2,19 +2,24 @@
 
 from __future__ import annotations
 
+import logging
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ledgerpulse.operators import churn, forecast, reporting, revenue
-from ledgerpulse.operators.cleaning import clean, require_schema
+from ledgerpulse.operators.cleaning import clean, require_schema, validate_schema
 from ledgerpulse.operators.features import customer_features
 from ledgerpulse.operators.merge import merge_datasets
 from ledgerpulse.operators.quality import dataset_summary, quality_report, quality_scores
 from ledgerpulse.session import stage
-from ledgerpulse.sources.files import load_file
+from ledgerpulse.sources.files import BAD_ROW, is_bad_row, load_file, split_bad_rows
 from ledgerpulse.sources.schemas import SCHEMAS
 
+logger = logging.getLogger(__name__)
+
 
 @dataclass
 class Dataset:
@@ -43,43 +48,64 @@ class Dataset:
         return quality_scores(self.tables)
 
     def summary(self) -> DataFrame:
-        return dataset_summary(self.customers, self.subscriptions, self.transactions)
+        return dataset_summary(self.customers, self.subscriptions, self.transactions, self.quality_scores())
 
     def staged(self) -> Dataset:
         """The same tables stored in the shared scratch folder, so that cleaning runs once."""
         return Dataset(**{name: stage(df, name) for name, df in self.tables.items()})
 
 
-def load_table(spark: SparkSession, path: str, name: str, file_type: str = "auto") -> DataFrame:
-    """Read, check the required columns and clean one of the three tables."""
+def load_table(spark: SparkSession, path: str, name: str, file_type: str = "auto", **options) -> DataFrame:
+    """Read, check the required columns and clean one of the three tables; ``options`` as for ``load_file``.
+
+    Columns that the declaration lacks are kept and warned of.
+    """
     schema = SCHEMAS[name]
-    return clean(require_schema(load_file(spark, path, file_type), schema, name), schema)
+    raw = load_file(spark, path, file_type, **options)
+    if BAD_ROW in raw.columns:
+        raw, _ = split_bad_rows(raw)
+    for warning in validate_schema(raw, schema, name).warnings:
+        logger.warning(warning)
+    return clean(require_schema(raw, schema, name), schema)
 
 
 def load_all_data(
-    spark: SparkSession, customers: str, subscriptions: str, transactions: str | None = None, file_type: str = "auto"
+    spark: SparkSession,
+    customers: str,
+    subscriptions: str,
+    transactions: str | None = None,
+    file_type: str = "auto",
+    staged: bool = False,
+    **options,
 ) -> Dataset:
-    return Dataset(
-        load_table(spark, customers, "customers", file_type),
-        load_table(spark, subscriptions, "subscriptions", file_type),
-        load_table(spark, transactions, "transactions", file_type) if transactions else None,
+    """The tables behind the paths; ``staged`` cleans them once, into the shared scratch folder."""
+    data = Dataset(
+        load_table(spark, customers, "customers", file_type, **options),
+        load_table(spark, subscriptions, "subscriptions", file_type, **options),
+        load_table(spark, transactions, "transactions", file_type, **options) if transactions else None,
     )
+    return data.staged() if staged else data
 
 
-def load_directory(spark: SparkSession, directory: str, file_type: str = "csv") -> Dataset:
+def load_directory(spark: SparkSession, directory: str, file_type: str = "csv", **options) -> Dataset:
     """The three tables of a directory, named ``<table>.<file_type>``."""
     paths = {name: f"{directory.rstrip('/')}/{name}.{file_type}" for name in SCHEMAS}
-    return load_all_data(spark, **paths, file_type=file_type)
+    return load_all_data(spark, **paths, file_type=file_type, **options)
+
+
+def bad_row_counts(spark: SparkSession, paths: dict[str, str], multiline: bool = False) -> DataFrame:
+    """Per table (name to path of a CSV file): rows, and rows that do not fit the header."""
+    counts = []
+    for name, path in paths.items():
+        raw = load_file(spark, path, "csv", multiline, bad_rows="keep")
+        counts.append(raw.agg(F.lit(name).alias("table_name"), F.count("*").alias("total_rows"), F.count_if(is_bad_row(raw)).alias("bad_rows")))
+    return reduce(DataFrame.unionByName, counts)
 
 
 def dashboard(subscriptions: DataFrame) -> dict[str, DataFrame]:
-    """The KPI row and the three series."""
-    return {
-        "kpis": revenue.dashboard_kpis(subscriptions),
-        "mrr_series": revenue.mrr_series(subscriptions),
-        "churn_series": revenue.churn_series(subscriptions),
-        "arpu_series": revenue.arpu_series(subscriptions),
-    }
+    """The KPI row and the three series, from one stored monthly aggregate."""
+    months = stage(revenue.monthly_table(subscriptions), "months")
+    return {"kpis": revenue.kpis_of(months), **revenue.series_of(months)}
 
 
 def run_analysis(data: Dataset, model_type: str = "logistic", months: int = forecast.HORIZON_MONTHS) -> dict:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.ml import Pipeline
 from pyspark.ml.feature import VectorAssembler
@@ -10,20 +11,17 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerpulse.operators import churn, cohorts, features, flexible, forecast, quality, reporting, revenue, scores, splits
-from ledgerpulse.operators.cleaning import clean, duplicate_counts
+from ledgerpulse.operators import churn, cohorts, features, forecast, quality, reporting, revenue, scores, splits
+from ledgerpulse.operators.cleaning import clean, duplicate_counts, validation_report
 from ledgerpulse.operators.merge import merge_datasets, transaction_summary
-from ledgerpulse.plans.analysis import Dataset, load_all_data
+from ledgerpulse.plans.analysis import Dataset, bad_row_counts, dashboard, load_all_data, load_directory
 from ledgerpulse.session import scratch_dir, stage
 from ledgerpulse.sources import schemas, star
-from ledgerpulse.sources.files import export_csv, load_file
+from ledgerpulse.sources.files import FORMATS, export_csv, load_file
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
-# Names of the market segments and plans in the tables, for the one-hot columns.
-PLAN_NAMES = ["basic", "enterprise", "pro"]
-SEGMENT_NAMES = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
 # Days of inactivity at which the recency score reaches one half.
 RECENCY_HALF = 30
 
@@ -41,17 +39,27 @@ def _rounded(df: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
     return df.withColumns({c: F.round(c, digits) for c in columns})
 
 
+def _plain(df: DataFrame, *columns: str) -> DataFrame:
+    """Money as DOUBLE, for comparison."""
+    return df.withColumns({c: F.col(c).cast("double") for c in columns})
+
+
 # --- untidy text versions of the tables, as a delimited file would hold them -------------
 
 
 def raw_customers(spark: SparkSession, directory: str) -> DataFrame:
-    """Every customer twice, as text, with unreadable and missing cells."""
+    """Every customer twice, as text, with unreadable and missing cells, dates of two formats and line breaks in a cell."""
     text = star.customers(spark, directory).select(
         F.concat(F.lit("  "), "customer_id", F.lit(" ")).alias("customer_id"),
-        F.when(F.col("plan") == "enterprise", "2020-13-45").otherwise(F.col("signup_date").cast("string")).alias("signup_date"),
-        F.when(F.col("first_source") != "ASIA", F.col("country")).alias("country"),
+        F.when(F.col("plan") == "enterprise", "2020-13-45")
+        .when(F.col("plan") == "pro", F.date_format("signup_date", "M/d/yyyy H:mm:ss"))
+        .otherwise(F.col("signup_date").cast("string"))
+        .alias("signup_date"),
+        F.when(F.col("first_source") == "EUROPE", F.concat("country", F.lit("\nEurope")))
+        .when(F.col("first_source") != "ASIA", F.col("country"))
+        .alias("country"),
         F.concat("plan", F.lit("\t")).alias("plan"),
-        F.when(F.col("plan") == "basic", "unknown").otherwise(F.col("monthly_price").cast("string")).alias("monthly_price"),
+        F.when(F.col("plan") == "basic", "100d").otherwise(F.col("monthly_price").cast("string")).alias("monthly_price"),
         F.when(F.col("segment") == "BUILDING", " nan ").otherwise(F.col("segment")).alias("segment"),
         "first_source",
         F.lit("import").alias("batch"),
@@ -67,7 +75,7 @@ def raw_subscriptions(spark: SparkSession, directory: str) -> DataFrame:
         F.when(F.col("is_renewal"), "yes").otherwise("no").alias("is_renewal"),
         F.when(F.col("active"), F.lit(None).cast("string")).otherwise("1").alias("churn_flag"),
         F.when(F.col("active"), F.lit(None).cast("string")).otherwise("False").alias("active"),
-        F.when(F.col("num_logins") > 0, F.concat("num_logins", F.lit(".9"))).otherwise("none yet").alias("num_logins"),
+        F.when(F.col("num_logins") > 0, F.concat("num_logins", F.lit(".9"))).otherwise("12d").alias("num_logins"),
         F.col("feature_x_usage").cast("string").alias("feature_x_usage"),
     )
 
@@ -113,17 +121,17 @@ def transactions_view(spark, directory):
 
 @query
 def clean_customers(spark, directory):
-    return clean(raw_customers(spark, directory), schemas.CUSTOMERS)
+    return _plain(clean(raw_customers(spark, directory), schemas.CUSTOMERS), "monthly_price")
 
 
 @query
 def clean_subscriptions(spark, directory):
-    return _rounded(clean(raw_subscriptions(spark, directory), schemas.SUBSCRIPTIONS), "feature_x_usage")
+    return _plain(_rounded(clean(raw_subscriptions(spark, directory), schemas.SUBSCRIPTIONS), "feature_x_usage"), "revenue")
 
 
 @query
 def clean_transactions(spark, directory):
-    return clean(raw_transactions(spark, directory), schemas.TRANSACTIONS)
+    return _plain(clean(raw_transactions(spark, directory), schemas.TRANSACTIONS), "amount")
 
 
 @query
@@ -140,10 +148,10 @@ def csv_load_and_merge(spark, directory):
         "subscriptions": export_csv(raw_subscriptions(spark, directory), f"{folder}/subscriptions.csv"),
         "transactions": export_csv(raw_transactions(spark, directory), f"{folder}/transactions.csv"),
     }
-    merged = load_all_data(spark, **paths).merged()
+    merged = load_all_data(spark, **paths, multiline=True).merged()
     return merged.groupBy("plan").agg(
         F.count("*").alias("periods"),
-        F.round(F.sum(F.col("revenue").cast("decimal(18,2)")).cast("double"), 2).alias("revenue"),
+        F.sum("revenue").cast("double").alias("revenue"),
         F.count_if(F.col("segment").isNull()).alias("without_segment"),
         F.sum("transaction_count").alias("transaction_count"),
         F.min("period_start").alias("first_period"),
@@ -171,9 +179,59 @@ def dataset_summary(spark, directory):
 
 @query
 def stored_dataset_summary(spark, directory):
-    """Clean the untidy tables, store them as parquet and summarise the stored copies."""
-    # the declared type of revenue is DOUBLE, whose sum depends on the order of the rows
-    return _rounded(Dataset(**_cleaned(spark, directory)).staged().summary(), "total_revenue", digits=2)
+    """Clean the untidy tables, store them as parquet and summarise the stored copies, with their quality scores."""
+    return Dataset(**_cleaned(spark, directory)).staged().summary()
+
+
+@query
+def directory_summary(spark, directory):
+    """Write the untidy tables as parquet into one directory, load the directory and summarise it."""
+    folder = scratch_dir(spark)
+    raw_customers(spark, directory).drop("batch").write.parquet(f"{folder}/customers.parquet")
+    raw_subscriptions(spark, directory).write.parquet(f"{folder}/subscriptions.parquet")
+    raw_transactions(spark, directory).write.parquet(f"{folder}/transactions.parquet")
+    data = load_directory(spark, folder, "parquet", staged=True)
+    return data.summary().select("customers_count", "subscriptions_count", "transactions_count", "first_signup", "total_revenue")
+
+
+@query
+def file_formats(spark, directory):
+    """The customers written and read back in every format: rows, distinct ids and the sum of prices."""
+    folder, found = scratch_dir(spark), []
+    table = star.customers(spark, directory, signups=False).withColumn("monthly_price", F.col("monthly_price").cast("string"))
+    for kind in FORMATS:
+        path = f"{folder}/customers.{kind}"
+        writer = table.write.format(kind)
+        (writer.option("header", True) if kind == "csv" else writer).save(path)
+        back = load_file(spark, path, schema=table.schema if kind == "json" else None)
+        price = F.sum(F.col("monthly_price").cast("decimal(18,2)")).cast("double").alias("prices")
+        found.append(back.agg(F.lit(kind).alias("format"), F.count("*").alias("row_count"), F.count_distinct("customer_id").alias("ids"), price))
+    return reduce(DataFrame.unionByName, found)
+
+
+@query
+def bad_csv_rows(spark, directory):
+    """A file in which the rows of one plan have a cell too many: rows, and rows that do not fit."""
+    path = f"{scratch_dir(spark)}/customers.csv"
+    rows = star.customers(spark, directory, signups=False, places=False)
+    line = F.concat_ws(",", "customer_id", "plan", "segment", F.when(F.col("plan") == "pro", F.lit("more")))
+    # one column whose name and values hold the commas
+    rows.select(line.alias("customer_id,plan,segment")).write.csv(path, header=True, sep="\t")
+    return bad_row_counts(spark, {"customers": path})
+
+
+@query
+def schema_validation(spark, directory):
+    """What the untidy tables lack and have beside the declared columns, and their rows."""
+    tables = {
+        "customers": raw_customers(spark, directory),
+        "subscriptions": raw_subscriptions(spark, directory).drop("active"),
+        "transactions": raw_transactions(spark, directory),
+    }
+    report = validation_report(tables, schemas.SCHEMAS).drop("warnings")
+    counts = [df.agg(F.lit(name).alias("table_name"), F.count("*").alias("total_rows")) for name, df in tables.items()]
+    texts = {c: F.array_join(c, ", ") for c in ("missing_columns", "extra_columns")}
+    return report.withColumns(texts).join(reduce(DataFrame.unionByName, counts), "table_name")
 
 
 @query
@@ -183,7 +241,7 @@ def plan_counts(spark, directory):
 
 @query
 def quality_gate(spark, directory):
-    return quality.quality_gate(clean(raw_subscriptions(spark, directory), schemas.SUBSCRIPTIONS))
+    return quality.quality_gate(stage(clean(raw_subscriptions(spark, directory), schemas.SUBSCRIPTIONS), "subscriptions"))
 
 
 @query
@@ -285,10 +343,20 @@ def dashboard_kpis(spark, directory):
 @query
 def dashboard_kpis_by_segment(spark, directory):
     owners = star.customers(spark, directory, signups=False, places=False).select("customer_id", "segment")
-    kpis = revenue.dashboard_kpis(merge_datasets(_periods(spark, directory), owners), by=("segment",))
+    by = ("segment",)
+    kpis = revenue.kpis_of(revenue.monthly_table_by_attribute(_periods(spark, directory), owners, "segment"), by)
     return _rounded(kpis, "arpu", "clv", "churn_rate", "retention_rate")
 
 
+@query
+def dashboard_series(spark, directory):
+    """The three series behind the dashboard, in long form."""
+    results = dashboard(_periods(spark, directory))
+    values = {"mrr_series": "MRR", "churn_series": "churn_rate", "arpu_series": "ARPU"}
+    long = [results[n].select(F.lit(n).alias("series"), "date", F.round(c, 6).alias("value")) for n, c in values.items()]
+    return reduce(DataFrame.unionByName, long)
+
+
 @query
 def cohort_grid(spark, directory):
     return _rounded(
@@ -332,8 +400,9 @@ def latest_record(spark, directory):
 
 @query
 def customer_features(spark, directory):
-    rows = features.one_hot(_features(spark, directory), "plan", PLAN_NAMES)
-    rows = features.one_hot(rows, "segment", SEGMENT_NAMES)
+    rows = stage(_features(spark, directory), "features")
+    for column, values in churn.learned_categories(rows).items():
+        rows = features.one_hot(rows, column, values)
     return _rounded(
         _rounded(rows, "avg_logins", "tenure_months", "revenue_per_month", "avg_feature_usage", "max_feature_usage"),
         "revenue_std",
@@ -341,6 +410,23 @@ def customer_features(spark, directory):
     )
 
 
+@query
+def features_of_repeated_listings(spark, directory):
+    """Every customer listed a second time on another plan and later: the later listing is the profile, periods count twice."""
+    customers = star.customers(spark, directory, places=False)
+    second = customers.withColumns(
+        {
+            "plan": F.when(F.col("plan") == "pro", None).otherwise("moved"),
+            "monthly_price": F.lit(1).cast("decimal(18,2)"),
+            "signup_date": F.col("signup_date") + F.expr("interval 5 days"),
+        }
+    )
+    rows = features.customer_features(
+        _periods(spark, directory, usage=True), customers.unionByName(second), reference=features.reference_date(_periods(spark, directory))
+    )
+    return rows.select("customer_id", "plan", "segment", "monthly_price", "signup_date", "subscription_count", "total_revenue", "tenure_days")
+
+
 @query
 def standardised_features(spark, directory):
     """Three model inputs with mean 0 and deviation 1."""
@@ -453,12 +539,6 @@ def forecast_by_segment(spark, directory):
     return forecast.future_forecast(forecast.predict(model, by=by), by=by)
 
 
-@query
-def forecast_flexible_by_segment(spark, directory):
-    by = ("segment",)
-    return forecast.future_forecast(flexible.flexible_forecast(mrr_by_month_and_segment(spark, directory), by=by), by=by)
-
-
 @query
 def forecast_accuracy(spark, directory):
     return forecast.accuracy(forecast.predict(forecast.fit(_mrr(spark, directory))))
@@ -484,10 +564,26 @@ def forecast_chart(spark, directory):
 
 @query
 def stored_forecast(spark, directory):
-    """Fit, store the model table, load it again and forecast from the stored copy."""
+    """Fit, store model, forecast and accuracy, and read all of it back: history, future and measures."""
     path = f"{scratch_dir(spark)}/forecast_model"
     forecast.save_model(forecast.fit(_mrr(spark, directory)), path)
-    return forecast.future_forecast(forecast.predict(forecast.load_model(spark, path)))
+    measures = forecast.load_accuracy(spark, path)
+    rows = forecast.forecast_summary(forecast.load_forecast(spark, path))
+    again = forecast.predict(forecast.load_model(spark, path)).select("date", F.col("predicted").alias("again"))
+    return rows.join(again, "date").select(
+        "date", "predicted", "lower_bound", "upper_bound", "actual",
+        (F.col("predicted") == F.bround("again", 2)).alias("same_from_model"),
+        *[measures.select(m).scalar().alias(m) for m in ("MAE", "RMSE", "MAPE")],
+    )
+
+
+@query
+def forecast_in_one_call(spark, directory):
+    """Fit, predict and measure per segment in one call; the future rows beside the measures of their series."""
+    by = ("segment",)
+    series = stage(mrr_by_month_and_segment(spark, directory), "series")
+    _, future, measures = forecast.train_and_forecast(series, by=by)
+    return future.join(measures, "segment")
 
 
 # --- report tables ---------------------------------------------------------------------------
@@ -521,10 +617,10 @@ def risk_digest(spark, directory):
 
 @query
 def narrative_inputs(spark, directory):
-    periods = _periods(spark, directory)
+    results = dashboard(_periods(spark, directory))
     inputs = reporting.narrative_inputs(
-        revenue.dashboard_kpis(periods),
-        forecast.expected_mrr(forecast.predict(forecast.fit(revenue.mrr_series(periods)))),
+        results["kpis"],
+        forecast.expected_mrr(forecast.predict(forecast.fit(results["mrr_series"]))),
         scores.at_risk(_recency_risk(spark, directory)),
     )
     return _rounded(inputs, "churn_rate")
@@ -564,8 +660,32 @@ def churn_model_at_risk(spark, directory):
 
 @query
 def stored_churn_model(spark, directory):
-    """Train, store, load again and list the riskiest customers whatever their probability."""
+    """Train, store and load again: of every customer the difference between the scores of the two models."""
     model, rows = _trained(spark, directory, "logistic")
     path = model.save(spark, f"{scratch_dir(spark)}/churn_model")
     loaded = churn.ChurnModel.load(spark, path)
-    return scores.at_risk(loaded.score(rows), min_probability=0.0)
+    fresh = model.probabilities(rows).select("customer_id", "churn_probability")
+    stored = loaded.probabilities(rows).select("customer_id", F.col("churn_probability").alias("stored"))
+    return fresh.join(stored, "customer_id").select("customer_id", F.abs(F.col("churn_probability") - F.col("stored")).alias("difference"))
+
+
+@query
+def churn_forest_features(spark, directory):
+    """The inputs of the forest: whether each importance is a share, and the sum of all."""
+    model, _ = _trained(spark, directory, "random_forest")
+    rows = model.feature_importance(spark)
+    whole = rows.agg(F.round(F.sum("importance"), 6)).scalar()
+    return rows.select("feature", F.col("importance").between(0, 1).alias("is_share"), whole.alias("total"))
+
+
+@query
+def churn_logistic_one_input(spark, directory):
+    """The logistic model on the tenure alone: its line and the confusion counts of the held-out customers."""
+    rows = stage(_features(spark, directory).select("customer_id", "churned", "tenure_days"), "features")
+    model = churn.train(rows)
+    held_out = model.probabilities(splits.stratified_split(rows).where("is_test"))
+    line = model.pipeline.stages[-1]
+    counts = scores.threshold_metrics(held_out).select("true_positives", "false_positives", "false_negatives", "true_negatives")
+    return counts.select(
+        F.round(F.lit(float(line.intercept)), 3).alias("intercept"), F.round(F.lit(float(line.coefficients[0])), 3).alias("slope"), "*"
+    )

@@ -34,7 +34,8 @@ TRANSACTIONS = """transactions AS (
 
 CLEAN_CUSTOMERS = """clean_customers AS (
   SELECT customer_id, CASE WHEN plan <> 'enterprise' THEN signup_date END AS signup_date,
-         CASE WHEN first_source <> 'ASIA' THEN country END AS country, plan,
+         CASE WHEN first_source = 'EUROPE' THEN country || chr(10) || 'Europe'
+              WHEN first_source <> 'ASIA' THEN country END AS country, plan,
          CASE WHEN plan <> 'basic' THEN monthly_price END AS monthly_price,
          CASE WHEN segment <> 'BUILDING' THEN segment END AS segment, first_source, 'import' AS batch
   FROM customers)"""
@@ -141,10 +142,9 @@ def _model(mode: str = "multiplicative", source: str = "mrr", by: str = "") -> s
     using = f"USING ({by})" if by else "ON true"
     times, over, neutral = ("*", "/", 1) if mode == "multiplicative" else ("+", "-", 0)
     return f"""points AS (SELECT {lead}date, MRR AS y, year(date) * 12 + month(date) - 1 AS t, month(date) AS m FROM {source}),
-line AS (SELECT {lead}regr_slope(y, t) AS slope, regr_intercept(y, t) AS intercept, count(*) AS months,
-                max(date) AS last_date FROM points {group}),
-effects AS (SELECT {lead}m, avg(y {over} (slope * t + intercept)) AS effect
-            FROM points JOIN line {using} WHERE months >= 24 GROUP BY {lead}m),
+line AS (SELECT {lead}regr_slope(y, t) AS slope, regr_intercept(y, t) AS intercept, max(date) AS last_date FROM points {group}),
+effects AS (SELECT {lead}m, {neutral} + (avg(y {over} (slope * t + intercept)) - {neutral}) * ((count(y) - 1) / count(y)) AS effect
+            FROM points JOIN line {using} GROUP BY {lead}m),
 frame AS (
   SELECT {lead}date, y AS actual FROM points
   UNION ALL
@@ -220,6 +220,26 @@ LATEST = "SELECT customer_id, " + ", ".join(
     }.items()
 ) + " FROM subscriptions WHERE customer_id IS NOT NULL GROUP BY customer_id"
 
+# Newton's method for the weighted logistic loss with the penalty of one unit of weight on the slope.
+NEWTON = """split AS (
+  SELECT customer_id, churned, tenure_days,
+         row_number() OVER (PARTITION BY churned ORDER BY md5(concat(customer_id, '42')), customer_id)
+           <= round(0.2 * count(*) OVER (PARTITION BY churned)) AS is_test
+  FROM features),
+scale AS (SELECT avg(tenure_days) AS centre, stddev_samp(tenure_days) AS width, count(*) AS n, sum(churned) AS positives
+          FROM split WHERE NOT is_test),
+train AS (SELECT (tenure_days - centre) / width AS x, churned AS y, n,
+                 n / (2.0::DOUBLE * CASE WHEN churned = 1 THEN positives ELSE n - positives END) AS w
+          FROM split, scale WHERE NOT is_test),
+newton AS (
+  SELECT 0 AS step, 0::DOUBLE AS b0, 0::DOUBLE AS b1
+  UNION ALL
+  SELECT step + 1, b0 - (h11 * g0 - h01 * g1) / (h00 * h11 - h01 * h01), b1 - (h00 * g1 - h01 * g0) / (h00 * h11 - h01 * h01)
+  FROM (SELECT step, b0, b1, sum(w * (p - y)) / n AS g0, (sum(w * (p - y) * x) + b1) / n AS g1,
+               sum(w * p * (1 - p)) / n AS h00, sum(w * p * (1 - p) * x) / n AS h01, (sum(w * p * (1 - p) * x * x) + 1) / n AS h11
+        FROM (SELECT step, b0, b1, x, y, w, n, 1 / (1 + exp(-(b0 + b1 * x))) AS p FROM newton, train WHERE step < 25)
+        GROUP BY step, b0, b1, n))"""
+
 DIGEST = """SELECT coalesce(string_agg(printf('Customer %s ($%.0f/mo, %.0f%% risk)', customer_id, current_revenue,
          churn_probability * 100), ', ' ORDER BY place), 'No high-risk customers identified') AS at_risk_summary
 FROM top WHERE place <= 5"""
@@ -230,6 +250,10 @@ TREND = """CASE WHEN mrr_growth_mom > 5 THEN 'strong growth' WHEN mrr_growth_mom
 FUTURE = "SELECT * FROM summary WHERE date > (SELECT max(date) FROM mrr)"
 EXPECTED = "coalesce((SELECT arg_max(predicted, date) FROM summary WHERE actual IS NULL), (SELECT arg_max(MRR, date) FROM mrr) * 1.05)"
 
+MEASURES = """SELECT round_even(avg(abs(actual - predicted)), 2) AS "MAE", round_even(sqrt(avg((actual - predicted) ** 2)), 2) AS "RMSE",
+       round_even(avg(abs((actual - predicted) / nullif(actual, 0))) * 100, 2) AS "MAPE"
+FROM forecast WHERE actual IS NOT NULL"""
+
 ORACLES: dict[str, str] = {
     "customers_view": _sql("SELECT * FROM customers", CUSTOMERS),
     "subscriptions_view": _sql(
@@ -277,9 +301,35 @@ FROM profile GROUP BY table_name""",
        (SELECT max(signup_date) FROM clean_customers) AS last_signup,
        (SELECT count(*) FROM clean_subscriptions WHERE active) AS active_subscriptions,
        (SELECT CAST(sum(churn_flag) AS BIGINT) FROM clean_subscriptions) AS churned_subscriptions,
-       (SELECT round(sum(CAST(revenue AS DECIMAL(18,2)))::DOUBLE, 2) FROM clean_subscriptions) AS total_revenue""",
+       (SELECT round(sum(CAST(revenue AS DECIMAL(18,2)))::DOUBLE, 2) FROM clean_subscriptions) AS total_revenue, """
+        + ", ".join(
+            f"""(SELECT coalesce(round_even(100 - avg(missing_pct) FILTER (missing > 0), 1), 100.0) FROM profile
+        WHERE table_name = '{t}') AS {t}_quality"""
+            for t in ("customers", "subscriptions", "transactions")
+        ),
+        *CLEANED, PROFILE,
+    ),
+    "directory_summary": _sql(
+        """SELECT (SELECT count(*) FROM clean_customers) AS customers_count, (SELECT count(*) FROM clean_subscriptions) AS subscriptions_count,
+       (SELECT count(*) FROM clean_transactions) AS transactions_count, (SELECT min(signup_date) FROM clean_customers) AS first_signup,
+       (SELECT CAST(sum(CAST(revenue AS DECIMAL(18,2))) AS DOUBLE) FROM clean_subscriptions) AS total_revenue""",
         *CLEANED,
     ),
+    "file_formats": _sql(
+        """SELECT format, count(*) AS row_count, count(DISTINCT customer_id) AS ids,
+       CAST(sum(CAST(monthly_price AS DECIMAL(18,2))) AS DOUBLE) AS prices
+FROM customers, (VALUES ('csv'), ('parquet'), ('json'), ('orc')) f(format) GROUP BY format""",
+        CUSTOMERS,
+    ),
+    "bad_csv_rows": _sql(
+        "SELECT 'customers' AS table_name, count(*) AS total_rows, count(*) FILTER (plan = 'pro') AS bad_rows FROM customers", CUSTOMERS
+    ),
+    "schema_validation": _sql(
+        """SELECT 'customers' AS table_name, true AS valid, '' AS missing_columns, 'batch' AS extra_columns, 2 * count(*) AS total_rows FROM customers
+UNION ALL SELECT 'subscriptions', false, 'active', '', count(*) FROM subscriptions
+UNION ALL SELECT 'transactions', true, '', '', count(*) FROM transactions""",
+        CUSTOMERS, SUBSCRIPTIONS, TRANSACTIONS,
+    ),
     "plan_counts": _sql("SELECT plan, count(*) AS row_count FROM customers GROUP BY plan", CUSTOMERS),
     "quality_gate": _sql(
         """SELECT 'missing:' || c AS check_name, round(m / n, 6) AS measured, m / n <= 0.2 AS passed
@@ -370,6 +420,12 @@ JOIN (SELECT segment, count(DISTINCT customer_id) AS active_customers FROM owned
         CUSTOMERS, SUBSCRIPTIONS,
         "owned AS (SELECT s.*, c.segment FROM subscriptions s LEFT JOIN customers c ON s.customer_id = c.customer_id)",
     ),
+    "dashboard_series": _sql(
+        """SELECT 'mrr_series' AS series, date, round(MRR, 6) AS value FROM mrr
+UNION ALL SELECT 'churn_series', date, round(churn_rate, 6) FROM churn
+UNION ALL SELECT 'arpu_series', date, round(ARPU, 6) FROM arpu""",
+        SUBSCRIPTIONS, MRR, CHURN, ARPU,
+    ),
     "cohort_grid": _sql(
         """SELECT grid.*, cohort_size, round(active / cohort_size * 100, 6) AS retention_rate
 FROM grid JOIN sizes USING (cohort)""",
@@ -395,6 +451,30 @@ FROM grid JOIN sizes USING (cohort)""",
         + " FROM features",
         CUSTOMERS, SUBSCRIPTIONS, FEATURES,
     ),
+    "features_of_repeated_listings": _sql(
+        """SELECT customer_id, CASE WHEN plan = 'pro' THEN 'pro' ELSE 'moved' END AS plan, segment,
+       CAST(1 AS DOUBLE) AS monthly_price, signup_date + INTERVAL 5 DAY AS signup_date, subscription_count * 2 AS subscription_count,
+       total_revenue * 2 AS total_revenue, tenure_days - 5 AS tenure_days FROM features""",
+        CUSTOMERS, SUBSCRIPTIONS, FEATURES,
+    ),
+    "stored_churn_model": _sql("SELECT customer_id, CAST(0 AS DOUBLE) AS difference FROM features", CUSTOMERS, SUBSCRIPTIONS, FEATURES),
+    "churn_forest_features": _sql(
+        """SELECT feature, true AS is_share, CAST(1 AS DOUBLE) AS total FROM (
+  SELECT unnest(['days_since_last_activity', 'tenure_days', 'tenure_months', 'subscription_count', 'total_revenue', 'avg_revenue',
+                 'revenue_std', 'min_revenue', 'max_revenue', 'revenue_per_month', 'monthly_price', 'total_logins', 'avg_logins',
+                 'max_logins', 'avg_feature_usage', 'max_feature_usage']) AS feature
+  UNION SELECT 'plan_' || plan FROM features WHERE plan IS NOT NULL
+  UNION SELECT 'segment_' || segment FROM features WHERE segment IS NOT NULL)""",
+        CUSTOMERS, SUBSCRIPTIONS, FEATURES,
+    ),
+    "churn_logistic_one_input": _sql(
+        """SELECT round(b0, 3) AS intercept, round(b1, 3) AS slope,
+       count(*) FILTER (y = 1 AND z > 0) AS true_positives, count(*) FILTER (y = 0 AND z > 0) AS false_positives,
+       count(*) FILTER (y = 1 AND z <= 0) AS false_negatives, count(*) FILTER (y = 0 AND z <= 0) AS true_negatives
+FROM (SELECT b0, b1, churned AS y, b0 + b1 * (tenure_days - centre) / width AS z
+      FROM split, scale, (SELECT * FROM newton ORDER BY step DESC LIMIT 1) WHERE is_test) GROUP BY b0, b1""",
+        CUSTOMERS, SUBSCRIPTIONS, FEATURES, NEWTON,
+    ).replace("WITH", "WITH RECURSIVE", 1),
     "standardised_features": _sql(
         "SELECT customer_id, "
         + ", ".join(
@@ -453,17 +533,20 @@ FROM effects, line, spreads""",
     "forecast_summary": _sql("SELECT * FROM summary", *FORECAST),
     "forecast_summary_additive": _sql("SELECT * FROM summary", SUBSCRIPTIONS, MRR, _model("additive")),
     "forecast_future": _sql(FUTURE, *FORECAST),
-    "stored_forecast": _sql(FUTURE, *FORECAST),
+    "stored_forecast": _sql(
+        f"""SELECT summary.*, true AS same_from_model, measures.* FROM summary, ({MEASURES}) measures""",
+        *FORECAST,
+    ),
+    "forecast_in_one_call": _sql(
+        f"""SELECT summary.*, "MAE", "RMSE", "MAPE" FROM summary JOIN line USING (segment)
+JOIN ({MEASURES.replace("SELECT", "SELECT segment,", 1)} GROUP BY segment) USING (segment) WHERE date > last_date""",
+        CUSTOMERS, SUBSCRIPTIONS, SEGMENT_MRR, _model(source="segment_mrr", by="segment"),
+    ),
     "forecast_by_segment": _sql(
         "SELECT summary.* FROM summary JOIN line USING (segment) WHERE date > last_date",
         CUSTOMERS, SUBSCRIPTIONS, SEGMENT_MRR, _model(source="segment_mrr", by="segment"),
     ),
-    "forecast_accuracy": _sql(
-        """SELECT round_even(avg(abs(actual - predicted)), 2) AS "MAE", round_even(sqrt(avg((actual - predicted) ** 2)), 2) AS "RMSE",
-       round_even(avg(abs((actual - predicted) / nullif(actual, 0))) * 100, 2) AS "MAPE"
-FROM forecast WHERE actual IS NOT NULL""",
-        *FORECAST,
-    ),
+    "forecast_accuracy": _sql(MEASURES, *FORECAST),
     "forecast_csv_export": _sql("SELECT * FROM summary", *FORECAST),
     "forecast_mrr": _sql(f"SELECT {EXPECTED} AS forecast_mrr", *FORECAST),
     "forecast_chart": _sql(

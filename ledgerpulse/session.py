@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -27,17 +26,17 @@ def build_session(app_name: str = "ledgerpulse", master: str | None = None, **co
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """A new folder below the shared ``spark.checkpoint.dir``.
+    """A new folder below the shared ``spark.checkpoint.dir``, which every executor must see.
 
-    Every executor must see the folder, so a machine-local one is used only
-    when the setting is absent and the master is local, as in tests.
+    All folders of an application lie in one, which Hadoop deletes when the application ends.
     """
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if not shared:
-        if not spark.conf.get("spark.master", "").startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-        shared = tempfile.mkdtemp(prefix="ledgerpulse-")
-    return f"{shared.rstrip('/')}/ledgerpulse-{uuid.uuid4().hex}"
+        raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
+    own = f"{shared.rstrip('/')}/ledgerpulse-{spark.sparkContext.applicationId}"
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(own)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return f"{own}/{uuid.uuid4().hex}"
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:

@@ -4,31 +4,63 @@ from __future__ import annotations
 
 from datetime import date
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from ledgerpulse.functions.coerce import null_tokens
 
 FORMATS = ("csv", "parquet", "json", "orc")
 
 
-def load_file(spark: SparkSession, path: str, file_type: str = "auto", multiline: bool = False) -> DataFrame:
+#: Where ``load_file`` puts the text of a row that does not fit the header.
+BAD_ROW = "_bad_row"
+
+
+def load_file(
+    spark: SparkSession,
+    path: str,
+    file_type: str = "auto",
+    multiline: bool = False,
+    bad_rows: str = "fail",
+    schema: StructType | str | None = None,
+) -> DataFrame:
     """Read one table, choosing the format from the suffix of ``path``.
 
     A CSV column stays text here and gets its type in ``cleaning.clean``, so no
     inference pass over the data is needed and ids keep their leading zeros.
     ``multiline`` allows line breaks inside quotes, at the price of files that
-    one task must read as a whole.
+    one task must read as a whole. A CSV row with more or fewer cells than the
+    header fails the read; ``bad_rows="keep"`` leaves its text in the column
+    BAD_ROW and its cells empty. ``schema`` spares JSON its inference pass.
     """
     if file_type == "auto":
         file_type = path.rstrip("/").rsplit("/", 1)[-1].rpartition(".")[2].lower()
     if file_type not in FORMATS:
         raise ValueError(f"unsupported file type: {file_type!r} (expected one of {', '.join(FORMATS)})")
     if file_type != "csv":
-        return spark.read.format(file_type).load(path)
+        reader = spark.read.format(file_type)
+        return (reader.schema(schema) if schema else reader).load(path)
     # enforceSchema off: a file whose header names other columns fails instead of filling the wrong ones
-    raw = spark.read.csv(path, header=True, escape='"', multiLine=multiline, enforceSchema=False)
-    return raw.select(*[null_tokens(F.col(f"`{c}`")).alias(c) for c in raw.columns])
+    options = {"header": True, "escape": '"', "multiLine": multiline, "enforceSchema": False, "columnPruning": False}
+    names = spark.read.options(**options).csv(path).columns
+    if bad_rows == "fail":
+        raw = spark.read.options(**options, mode="FAILFAST").csv(path)
+        return raw.select(*[null_tokens(F.col(f"`{c}`")).alias(c) for c in names])
+    text = StructType([StructField(c, StringType()) for c in [*names, BAD_ROW]])
+    raw = spark.read.schema(text).options(**options, columnNameOfCorruptRecord=BAD_ROW).csv(path)
+    good = F.col(BAD_ROW).isNull()
+    return raw.select(*[F.when(good, null_tokens(F.col(f"`{c}`"))).alias(c) for c in names], BAD_ROW)
+
+
+def split_bad_rows(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows that fit the header, and the text of those that do not, of a file read with ``bad_rows="keep"``."""
+    return raw.where(~is_bad_row(raw)).drop(BAD_ROW), raw.where(is_bad_row(raw)).select(BAD_ROW)
+
+
+def is_bad_row(raw: DataFrame) -> Column:
+    """Spark reads the text of a bad row only together with a cell, which is empty there."""
+    return F.col(BAD_ROW).isNotNull() & F.col(f"`{raw.columns[0]}`").isNull()
 
 
 def export_csv(df: DataFrame, path: str) -> str:

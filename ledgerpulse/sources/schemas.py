@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+# The declared columns and their order.
 CUSTOMERS = {
     "customer_id": "string",
     "signup_date": "datetime",
     "country": "string",
     "plan": "string",
-    "monthly_price": "float",
+    "monthly_price": "money",
     "segment": "string",
     "first_source": "string",
 }
@@ -17,7 +18,7 @@ SUBSCRIPTIONS = {
     "customer_id": "string",
     "period_start": "datetime",
     "period_end": "datetime",
-    "revenue": "float",
+    "revenue": "money",
     "is_renewal": "bool",
     "churn_flag": "int",
     "active": "bool",
@@ -28,7 +29,7 @@ SUBSCRIPTIONS = {
 TRANSACTIONS = {
     "transaction_id": "string",
     "customer_id": "string",
-    "amount": "float",
+    "amount": "money",
     "transaction_date": "datetime",
     "payment_method": "string",
 }

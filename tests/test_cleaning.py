@@ -4,11 +4,13 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerpulse.functions import coerce
+from ledgerpulse.operators import cohorts
 from ledgerpulse.operators.cleaning import clean, duplicate_counts, require_schema, validate_schema
 from ledgerpulse.operators.quality import column_profile, quality_gate, quality_report, quality_scores
-from ledgerpulse.plans.analysis import load_directory
+from ledgerpulse.operators.merge import merge_datasets
+from ledgerpulse.plans.analysis import bad_row_counts, load_directory
 from ledgerpulse.sources import schemas
-from ledgerpulse.sources.files import dated_name, export_csv, load_file, write_table
+from ledgerpulse.sources.files import dated_name, export_csv, load_file, split_bad_rows, write_table
 
 
 def values(spark, function, texts, kind="string"):
@@ -131,3 +133,31 @@ def test_exports(spark, tmp_path):
     back = load_file(spark, export_csv(df, str(tmp_path / "out.csv"))).orderBy("k").collect()
     assert [tuple(r) for r in back] == [("C1", 'a "b", c', "1.5"), ("C2", None, None)]
     assert load_file(spark, write_table(df, str(tmp_path / "out.parquet"), ("k",))).where("k = 'C1'").first().n == 1.5
+
+
+def test_dates_and_numbers_of_text_files(spark):
+    cells = [("01/05/2024", "100d"), ("2024-01-05 10:00:00", "12f"), ("1/5/2024 3:07", "1e3"), ("+29999-01-01", " 7 "), ("13/45/2024", "-.5"), (None, "x")]
+    df = spark.createDataFrame(cells, "d string, n string").coalesce(1)
+    rows = df.select(coerce.to_timestamp(F.col("d")).cast("string"), coerce.to_double(F.col("n")), coerce.to_money(F.col("n")).cast("double"), coerce.to_integer(F.col("n"))).collect()
+    assert [tuple(r) for r in rows] == [
+        ("2024-01-05 00:00:00", None, None, 0), ("2024-01-05 10:00:00", None, None, 0), ("2024-01-05 03:07:00", 1000.0, 1000.0, 1000),
+        (None, 7.0, 7.0, 7), (None, -0.5, -0.5, 0), (None, None, None, 0),
+    ]
+
+
+def test_rows_that_do_not_fit_the_header(spark, tmp_path):
+    file = tmp_path / "t.csv"
+    file.write_text('a,b\n1,2\n3,4,5\n6,"x\ny"\n')
+    with pytest.raises(Exception, match="MALFORMED"):
+        load_file(spark, str(file), multiline=True).collect()
+    good, bad = split_bad_rows(load_file(spark, str(file), multiline=True, bad_rows="keep"))
+    assert sorted(tuple(r) for r in good.collect()) == [("1", "2"), ("6", "x\ny")]
+    assert [r[0].strip() for r in bad.collect()] == ["3,4,5"]
+    assert tuple(bad_row_counts(spark, {"t": str(file)}, multiline=True).first()) == ("t", 3, 1)
+
+
+def test_absent_tables(periods):
+    subs = periods([("C1", "2024-01-01", 1.0, 0)])
+    assert cohorts.cohort_grid(subs, None).count() == 0
+    with pytest.raises(ValueError, match="customers"):
+        merge_datasets(subs, None)

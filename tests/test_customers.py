@@ -123,15 +123,41 @@ def test_both_feature_paths_agree(spark, periods, people):
 
 def test_one_hot_is_all_zero_for_missing_and_unknown(spark):
     df = spark.createDataFrame([("a",), ("c",), (None,)], "plan string")
-    assert features.learn_categories(df, "plan") == ["a", "c"]
+    assert churn.learned_categories(df) == {"plan": ["a", "c"]}
     rows = features.one_hot(df, "plan", ["a", "b"]).collect()
     assert [(r.plan_a, r.plan_b) for r in rows] == [(1, 0), (0, 0), (0, 0)]
     assert features.select_features(features.one_hot(df, "plan", ["a"])) == ["plan_a"]
 
 
-def test_too_many_categories(spark):
-    with pytest.raises(ValueError, match="distinct"):
-        features.learn_categories(spark.range(2000).selectExpr("cast(id as string) as plan"), "plan")
+def test_many_categories(spark):
+    rows = spark.range(2000).selectExpr("cast(id as string) as plan")
+    assert len(churn.learned_categories(rows)["plan"]) == 2000
+
+
+def test_two_different_listings_have_one_profile(spark, periods, people):
+    subs = periods([("C1", "2024-01-01", 5.0, 0), ("C1", "2024-02-01", 7.0, 0), ("C2", "2024-01-01", 1.0, 1)])
+    customers = people([
+        ("C1", "2023-01-01", "pro", "SMB", 99.0), ("C1", "2023-06-01", "enterprise", "Mid", 499.0),
+        ("C2", "2023-06-01", None, "Mid", 499.0), ("C2", "2023-01-01", "pro", "SMB", 99.0),
+    ])
+    for rows in (features.customer_features(subs, customers), features.features_from_merged(merge_datasets(subs, customers))):
+        found = {r.customer_id: (r.plan, r.segment, r.monthly_price, r.signup_date.month, r.subscription_count) for r in rows.collect()}
+        assert found == {"C1": ("enterprise", "Mid", 499.0, 6, 4), "C2": ("pro", "Mid", 499.0, 6, 2)}
+
+
+def test_flags_and_far_dates_keep_their_order(spark):
+    rows = [("C1", "2024-01-01", 33), ("C1", "2024-01-01", 40), ("C2", "+29999-01-01", 1), ("C2", "2024-01-01", 0), ("C3", "2024-01-01", -5), ("C3", None, -7)]
+    subs = spark.createDataFrame(rows, "customer_id string, e string, churn_flag bigint").selectExpr(
+        "*", "cast(e as timestamp_ntz) as period_end", "cast(e as timestamp_ntz) as period_start", "1.0D as revenue"
+    )
+    latest = subs.groupBy("customer_id").agg(features._latest_flag("churn_flag"))
+    assert {r.customer_id: r.churn_flag for r in latest.collect()} == {"C1": 40, "C2": 1, "C3": -7}
+
+
+def test_labels_must_be_0_or_1(spark):
+    rows = spark.createDataFrame([(f"C{i}", i % 3, float(i)) for i in range(30)], "customer_id string, churned bigint, tenure_days double")
+    with pytest.raises(ValueError, match="other than 0 and 1"):
+        churn.train(rows)
 
 
 @pytest.mark.parametrize("rows,share", [(1000, 0.2), (37, 0.5), (3, 0.2), (20000, 0.01)])

@@ -3,7 +3,7 @@ import math
 
 import pytest
 
-from ledgerpulse.operators import flexible, forecast, reporting
+from ledgerpulse.operators import forecast, reporting
 
 
 def months(count, start=(2020, 1)):
@@ -23,11 +23,11 @@ def test_seasonal_series_is_fitted(seasonal):
     assert len(rows) == 51
     assert all(math.isfinite(r.lower_bound) and r.lower_bound <= r.predicted <= r.upper_bound for r in rows)
     accuracy = forecast.accuracy(forecast.predict(forecast.fit(seasonal))).first()
-    assert accuracy.MAPE < 1.5
+    assert accuracy.MAPE < 2  # a quarter of the yearly pattern is held back after four years
     future = rows[48:]
     assert [r.date for r in future] == months(3, (2024, 1)) and all(r.actual is None for r in future)
     truth = (1000.0 + 20 * 48) * (1 + 0.1 * math.sin(2 * math.pi / 12))
-    assert future[0].predicted == pytest.approx(truth, rel=0.03)
+    assert future[0].predicted == pytest.approx(truth, rel=0.04)
 
 
 def test_additive_mode_and_unknown_mode(spark):
@@ -107,31 +107,24 @@ def test_prepared_columns(seasonal):
     assert days == sorted(days)
 
 
-@pytest.mark.parametrize("mode", forecast.MODES)
-def test_flexible_forecast_follows_a_bend(spark, mode):
-    """Growth stops after two years; a straight line overshoots, the bending one does not."""
-    wave = [1 + 0.1 * math.sin(2 * math.pi * m / 12) for m in range(1, 13)]
-    level = [100 + 10 * min(i, 24) for i in range(48)]
-    rows = [(d, v * wave[d.month - 1] if mode == "multiplicative" else v + 50 * wave[d.month - 1]) for d, v in zip(months(48), level)]
-    series = spark.createDataFrame(rows, "date date, MRR double")
-    bent = flexible.flexible_forecast(series, 3, mode=mode).orderBy("date").collect()
-    straight = forecast.predict(forecast.fit(series, mode=mode)).orderBy("date").collect()
-    truth = 340 * wave[0] if mode == "multiplicative" else 340 + 50 * wave[0]
-    assert [r.date for r in bent] == [r.date for r in straight]
-    assert abs(bent[48].predicted - truth) < 0.05 * truth < abs(straight[48].predicted - truth)
-    assert all(r.lower_bound <= r.predicted <= r.upper_bound for r in bent)
-    assert forecast.accuracy(flexible.flexible_forecast(series, mode=mode)).first().MAPE < 2
+def test_yearly_pattern_grows_with_what_is_known(spark):
+    """A month seen once has no effect, a month seen n times has all but 1/n of it."""
+    wave = [1.5 if m == 6 else 1.0 for m in range(1, 13)]
+    effects = {}
+    for years in (1, 2, 4):
+        rows = [(d, 100.0 * wave[d.month - 1]) for d in months(12 * years)]
+        model = forecast.fit(spark.createDataFrame(rows, "date date, MRR double"))
+        effects[years] = model.first().effects[6] - 1
+    assert effects[1] == 0 < effects[2] < effects[4]
+    raw = {n: e * n / (n - 1) for n, e in effects.items() if n > 1}
+    assert raw[2] == pytest.approx(raw[4], rel=0.1)
 
 
-def test_flexible_series_do_not_touch_each_other(spark):
-    rows = [("a", d, 10.0 + i) for i, d in enumerate(months(30))] + [("b", d, 900.0) for d in months(5)] + [("c", months(1)[0], 4.0)]
-    series = spark.createDataFrame(rows, "plan string, date date, MRR double")
-    together = flexible.flexible_forecast(series, 2, by=("plan",))
-    for plan, last in (("a", 41.0), ("b", 900.0), ("c", 4.0)):
-        mine = [tuple(r)[1:] for r in together.where(f"plan = '{plan}'").orderBy("date").collect()]
-        alone = flexible.flexible_forecast(series.where(f"plan = '{plan}'").drop("plan"), 2).orderBy("date")
-        assert [tuple(r)[:4] for r in alone.collect()] == [m[:4] for m in mine]
-        assert mine[-1][1] == pytest.approx(last, rel=0.02)
+def test_forecast_and_accuracy_are_stored_with_the_model(spark, seasonal, tmp_path):
+    model = forecast.fit(seasonal)
+    forecast.save_model(model, str(tmp_path / "m"), 5)
+    assert forecast.load_forecast(spark, str(tmp_path / "m")).count() == 53
+    assert forecast.load_accuracy(spark, str(tmp_path / "m")).first() == forecast.accuracy(forecast.predict(model, 5)).first()
 
 
 def kpi_row(spark, growth=2.34, churn=5.21):
