@@ -14,6 +14,9 @@ SESSION_CONF = {
     "spark.ui.showConsoleProgress": "false",
 }
 
+# Spark deletes the shuffle files of a query when it ends, not only when the driver collects garbage.
+FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def build_session(app_name: str = "ledgerpulse", master: str | None = None, **conf: str) -> SparkSession:
     """A session with the settings the operators are written for; ``conf`` wins over them."""
@@ -44,7 +47,15 @@ def stage(df: DataFrame, name: str) -> DataFrame:
 
     Cuts the lineage: a table that several jobs read is computed once, and a
     lost executor costs a re-read of parquet files instead of a re-computation.
+    The shuffle files of the job are deleted when it is done, as nothing reads
+    them again.
     """
-    path = f"{scratch_dir(df.sparkSession)}/{name}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path = f"{scratch_dir(spark)}/{name}"
+    before = spark.conf.get(FREE_SHUFFLES, "false")
+    spark.conf.set(FREE_SHUFFLES, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(FREE_SHUFFLES, before)
+    return spark.read.schema(df.schema).parquet(path)
