@@ -2,38 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Iterable
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
-
-
-def per_row(function: Callable[[str | None], tuple], returns: str) -> Callable[[Column], Column]:
-    """A column function that maps one text to one struct, in Arrow batches.
-
-    Only the text goes to Python. Marked as not deterministic so that a filter
-    on the result does not make Spark run it twice.
-    """
-    names = [field.split()[0] for field in _fields(returns)]
-
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for texts in batches:
-            yield pd.DataFrame([function(t) for t in texts], columns=names)
-
-    return F.pandas_udf(run, f"struct<{', '.join(f.replace(' ', ': ', 1) for f in _fields(returns))}>").asNondeterministic()
-
-
-def _fields(ddl: str) -> list[str]:
-    depth, field, found = 0, "", []
-    for c in ddl:
-        depth += (c == "<") - (c == ">")
-        if c == "," and not depth:
-            found.append(field.strip())
-            field = ""
-        else:
-            field += c
-    return [*found, field.strip()]
+from pyspark.sql import DataFrame
 
 
 def unused(df: DataFrame, *names: str) -> list[str]:

@@ -93,18 +93,15 @@ def page_expression(html: str) -> list[Node]:
     paths = Paths()
     top: list[Node] = []
     levels = [top]
-    inline = 0
     for kind, _, value in events(html, paths):
         if kind == "open":
             if value in INLINE:
-                inline += 1
                 continue
             node = [value, False, False, [], 1, 0]
             levels[-1].append(node)
             levels.append(node[3])
         elif kind == "close":
             if value in INLINE:
-                inline -= 1
                 continue
             levels.pop()
             owner = levels[-1][-1]
