@@ -164,15 +164,20 @@ def edited_fingerprints(docs: DataFrame, kmer: int = KMER, bins: int = BINS, siz
     off and near_next is 0.
     """
     ring = stage(following(docs), "ring")
-    texts = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    # what each document gives to the one before it; the exchange of the texts by id serves both sides of the join
+    filled = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    texts = filled.where("doc_id is not null")
+    # what each document gives to the one before it; one exchange of the texts by id serves both sides of the join
     given = texts.join(ring.select(F.col("doc_id").alias("id"), "prev_id", "prev_chars", "pick"), F.col("doc_id") == F.col("id"))
-    given = given.where(F.xxhash64("text") == F.col("pick")).select("prev_id", F.substr("text", F.lit(1), F.floor(F.col("prev_chars") / 2).cast("int")).alias("tail"))
+    # a condition on the text would become a key of the join; as a value it leaves the exchange as it is
+    head = F.substr("text", F.lit(1), F.floor(F.col("prev_chars") / 2).cast("int"))
+    given = given.select("prev_id", F.when(F.xxhash64("text") == F.col("pick"), head).alias("tail"))
     if not ring.where("rows > 1").isEmpty():
         given = given.groupBy("prev_id").agg(F.min("tail").alias("tail"))
+    without_id = filled.where("doc_id is null").withColumn("tail", F.lit(""))
+    pairs = texts.join(given, F.col("doc_id") == F.col("prev_id"), "left").drop("prev_id").unionByName(without_id)
     n = F.length("text")
     half = F.floor(n / 2).cast("int")
-    edited = texts.join(given, F.col("doc_id") == F.col("prev_id"), "left").select(
+    edited = pairs.select(
         "doc_id",
         "text",
         n.cast("bigint").alias("n_chars"),
