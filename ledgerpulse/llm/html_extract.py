@@ -30,6 +30,8 @@ from ledgerpulse.session import stage
 SALTS = 32
 #: Hosts whose expressions a task holds before it passes them on.
 HOSTS = 2000
+#: Levels of an expression; what is deeper counts as text of the last one. Pages are read at any depth.
+DEPTH = 96
 #: Nodes on one level of an expression that are aligned; longer levels keep their first kinds, which the path rules do not need.
 LEVEL = 64
 #: A text that all pages of a host share counts as part of the wrapper from this many pages on.
@@ -37,6 +39,8 @@ SHARED = 3
 
 # Elements, classes and roles that mark what is not the article.
 ASIDE_TAGS = frozenset("nav footer aside form button dialog".split())
+#: Elements whose content browsers do not show as text of the page.
+HIDDEN_TAGS = frozenset("select datalist textarea title iframe noframes template annotation annotation-xml desc metadata".split())
 ASIDE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 ASIDE_WORDS = frozenset(
     """ad ads adv advert adverts advertisement advertising banner sponsor sponsored promo promotion nav navbar navigation menu
@@ -68,7 +72,7 @@ def _words(key: str) -> tuple[str, set[str], set[str]]:
 def is_aside(key: str, inside_article: bool) -> bool:
     """Whether an element is a menu, header, footer, sidebar, notice, advert, form or comment area."""
     name, words, roles = _words(key)
-    if name in ASIDE_TAGS or roles & ASIDE_ROLES:
+    if name in ASIDE_TAGS or name in HIDDEN_TAGS or roles & ASIDE_ROLES:
         return True
     # the page as a whole is often named after what it has
     named = set() if name in ("html", "body", "main") or words & FRAME_WORDS else words
@@ -88,21 +92,29 @@ def _rank(key: str) -> int | None:
 # --- expressions ---------------------------------------------------------------------------
 
 
+def leveled(html: str, paths: Paths) -> Iterator[tuple[str, int, str, bool]]:
+    """The events of a page and whether an open or close is that of a level of its expression."""
+    depth = 0
+    for kind, path, value in events(html, paths):
+        level = False
+        if value not in INLINE and kind in ("open", "close"):
+            depth -= kind == "close"
+            level = depth < DEPTH
+            depth += kind == "open"
+        yield kind, path, value, level
+
+
 def page_expression(html: str) -> list[Node]:
     """The expression of one page: elements with their children, text slots, repeated neighbours grouped."""
     paths = Paths()
     top: list[Node] = []
     levels = [top]
-    for kind, _, value in events(html, paths):
-        if kind == "open":
-            if value in INLINE:
-                continue
+    for kind, _, value, level in leveled(html, paths):
+        if kind == "open" and level:
             node = [value, False, False, [], 1, 0]
             levels[-1].append(node)
             levels.append(node[3])
-        elif kind == "close":
-            if value in INLINE:
-                continue
+        elif kind == "close" and level:
             levels.pop()
             owner = levels[-1][-1]
             owner[3] = grouped(owner[3])
@@ -240,16 +252,24 @@ class Reader:
 
     def _of(self, path: int) -> tuple[int, bool, bool, tuple[str, ...]]:
         """Of a path: the best place it is in, whether it is aside, whether it is a block of links, its keys without inline ones."""
-        found = self.state.get(path)
-        if found is None:
-            rank, aside, links, keys = self._of(self.paths.parents[path])
+        new = []
+        while path not in self.state:
+            new.append(path)
+            path = self.paths.parents[path]
+        found = self.state[path]
+        for path in reversed(new):
+            rank, aside, links, keys = found
             key = self.paths.keys[path]
             if key not in INLINE:
-                keys = (*keys, key)
+                deep = len(keys) == DEPTH  # the wrapper has no such places
+                keys = keys if deep else (*keys, key)
                 if not aside:
-                    rank = min([rank, *(r for r in range(3) if keys in self.roots[r])])
+                    if not deep:
+                        rank = min([rank, *(r for r in range(3) if keys in self.roots[r])])
+                    elif not is_aside(key, rank < 2):
+                        rank = min(rank, own) if (own := _rank(key)) is not None else rank
                     aside = is_aside(key, rank < 2 or key.startswith("article"))
-                links = links or (*keys, "<links>") in self.shared
+                links = links or not deep and (*keys, "<links>") in self.shared
             found = self.state[path] = (rank, aside, links, keys)
         return found
 

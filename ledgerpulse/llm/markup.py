@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
+from collections import defaultdict
 from collections.abc import Iterator
-from html import unescape
+from html import escape, unescape
 
 # The names that the HTML standard groups so.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript template iframe svg math select xmp noframes".split())
+RAW = frozenset("script style textarea title iframe xmp noframes".split())
+FOREIGN = frozenset(["svg", "math"])
 BLOCK = frozenset(
     """address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form
     h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th
@@ -21,8 +24,6 @@ CLOSES = {
 }
 #: Elements that a stray end tag inside does not close.
 SCOPES = frozenset("article main section aside nav header footer table td th body html".split())
-#: Elements open at once; deeper ones count as their ancestors' text.
-DEPTH = 96
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|</?[a-zA-Z][^>]*(?:>|\Z)", re.DOTALL
@@ -67,17 +68,35 @@ class Paths:
 
 
 def events(html: str, paths: Paths) -> Iterator[tuple[str, int, str]]:
-    """("open", path, key), ("close", path, key), ("break", path, "") and ("text", path, raw text) in page order."""
+    """("open", path, key), ("close", path, key), ("break", path, "") and ("text", path, raw text) in page order.
+
+    Elements may be nested to any depth. What stands in RAW elements is no markup and is left out, but for xmp, which shows
+    it; one without an end tag, scripts and styles apart, ends with its parent.
+    """
     stack: list[tuple[str, int, str]] = []
+    places: defaultdict[str, list[int]] = defaultdict(list)  # where in the stack elements of a name are
+    scopes: list[int] = []
+    unclosed: set[str] = set()  # names of RAW elements without a further end tag
     path, at, end = 0, 0, len(html)
 
     def close(depth: int) -> Iterator[tuple[str, int, str]]:
         nonlocal path
         while len(stack) > depth:
             name, own, key = stack.pop()
+            places[name].pop()
+            if name in SCOPES:
+                scopes.pop()
             path = paths.parents[own]
             yield "close", own, key
 
+    def last(name: str) -> int:
+        return places[name][-1] if places[name] else -1
+
+    def reachable(name: str) -> int:
+        """The innermost element of a name unless a scope is open inside it; -1 for none."""
+        depth = last(name)
+        return -1 if scopes and scopes[-1] > depth else depth
+
     while at < end:
         m = TOKEN.search(html, at)
         if m is None:
@@ -90,45 +109,44 @@ def events(html: str, paths: Paths) -> Iterator[tuple[str, int, str]]:
             continue
         name = m[2].lower()
         if m[1]:
-            for depth in range(len(stack) - 1, -1, -1):
-                if stack[depth][0] == name:
-                    yield from close(depth)
-                    break
-                if stack[depth][0] in SCOPES and name not in SCOPES:
-                    break
+            depth = last(name) if name in SCOPES else reachable(name)
+            if depth >= 0:
+                yield from close(depth)
             if name in BLOCK:
                 yield "break", path, ""
             continue
-        if name in RAW:
+        if m[3].endswith("/") and (name in FOREIGN or any(places[f] for f in FOREIGN)):
+            continue
+        if name in RAW and name not in unclosed:
             tail = re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*>", re.IGNORECASE).search(html, at)
-            if not m[3].endswith("/") or name not in ("svg", "math"):
+            if tail or name in ("script", "style"):
+                if name == "xmp":
+                    yield "break", path, ""
+                    yield "text", path, escape(html[at : tail.start()])
+                    yield "break", path, ""
                 at = tail.end() if tail else end
-            continue
+                continue
+            unclosed.add(name)
         if name in BLOCK:
-            for depth in range(len(stack) - 1, -1, -1):
-                if stack[depth][0] == "p":
-                    yield from close(depth)
-                    break
-                if stack[depth][0] in SCOPES:
-                    break
+            depth = reachable("p")
+            if depth >= 0:
+                yield from close(depth)
             if name in CLOSES:
                 closed, scope = CLOSES[name]
-                lowest = None
-                for depth in range(len(stack) - 1, -1, -1):
-                    if stack[depth][0] in scope:
-                        break
-                    if stack[depth][0] in closed:
-                        lowest = depth
-                if lowest is not None:
-                    yield from close(lowest)
+                nearest = max(map(last, scope))
+                inside = [places[c][k] for c in closed if (k := bisect_right(places[c], nearest)) < len(places[c])]
+                if inside:
+                    yield from close(min(inside))
             yield "break", path, ""
         if name in VOID:
             if name == "br":
                 yield "text", path, " "
             continue
-        if len(stack) < DEPTH:
-            key = element_key(name, m[3])
-            path = paths.child(path, key)
-            stack.append((name, path, key))
-            yield "open", path, key
+        key = element_key(name, m[3])
+        path = paths.child(path, key)
+        places[name].append(len(stack))
+        if name in SCOPES:
+            scopes.append(len(stack))
+        stack.append((name, path, key))
+        yield "open", path, key
     yield from close(0)

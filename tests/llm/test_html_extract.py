@@ -113,3 +113,24 @@ def test_query_against_plain_reading(spark, data):
     rows = QUERIES["op9_html_extraction"](spark, data).collect()
     assert {r.page_id: (r.url, r.text, r.n_chars) for r in rows} == want
     assert all(v[2] for v in want.values())
+
+
+def test_depth_changes_nothing():
+    inner = "<nav>Menu</nav><article><h1>T</h1><div class=ad>Buy</div><p>Own</article><div class=comments>C</div>"
+    for n in (10, 95, 96, 97, 150, 5000):
+        assert read("<body>" + "<div>" * n + inner + "</div>" * n + "after") == "T\nOwn"
+    for n in (10, 5000):
+        assert read("<div class=content>" + "<div>" * n + "a" + "</div>" * n + "<p>b</p></div><p>c") == "a\nb"
+        assert read("<article>" + "<b>" * n + "<div>a</div><nav>n</nav><p>b</article>") == "a\nb"
+    assert len(read("<article>" + "<div>x<p>y" * 50_000).split("\n")) == 100_000
+
+
+def test_content_that_is_not_html():
+    assert read("<article><p>so <math><mi>x</mi><mo>=</mo><mn>1</mn></math> holds</article>") == "so x=1 holds"
+    assert read("<article>a <svg viewBox='0'><path d='M0'/><title>t</title><text>label</text></svg> b</article>") == "a label b"
+    assert read("<article>a <noscript>plain</noscript> b<xmp>&lt;<i></xmp></article>") == "a plain b\n&lt;<i>"
+    for name in ("select", "textarea", "title", "iframe", "template"):
+        assert read(f"<article><p>a</p><div><{name}>gone</div><p>b</article>") == "a\nb", name
+        assert read(f"<article><p>a</p><div><{name}>gone</{name}></div><p>b</article>") == "a\nb", name
+    for name in ("noscript", "svg", "math"):
+        assert read(f"<article><p>a</p><div><{name}>c</div><p>b</article>") == "a\nc\nb", name
