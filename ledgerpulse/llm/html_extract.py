@@ -11,6 +11,7 @@ stands on the host's pages; its slots are read from every page.
 
 from __future__ import annotations
 
+import hashlib
 import json
 import re
 from collections.abc import Iterator
@@ -34,6 +35,8 @@ HOSTS = 2000
 DEPTH = 96
 #: Nodes on one level of an expression that are aligned; longer levels keep their first kinds, which the path rules do not need.
 LEVEL = 64
+#: Characters of a slot's text that an expression holds; of a longer text a digest tells the whole.
+SLOT = 200
 #: A text that all pages of a host share counts as part of the wrapper from this many pages on.
 SHARED = 3
 
@@ -104,11 +107,23 @@ def leveled(html: str, paths: Paths) -> Iterator[tuple[str, int, str, bool]]:
         yield kind, path, value, level
 
 
+def slot(texts: list[str]) -> str:
+    """The whole text of a slot, or its start and a digest of the whole."""
+    text = " ".join(texts)
+    if len(text) <= SLOT:
+        return text
+    return f"{text[: SLOT // 2]}… {hashlib.sha256(text.encode('utf-8', 'surrogatepass')).hexdigest()}"
+
+
 def page_expression(html: str) -> list[Node]:
     """The expression of one page: elements with their children, text slots, repeated neighbours grouped."""
     paths = Paths()
     top: list[Node] = []
     levels = [top]
+
+    def whole(level: list[Node]) -> list[Node]:
+        return grouped([[TEXT, *n[1:3], slot(n[3]), *n[4:]] if n[0] == TEXT else n for n in level])
+
     for kind, _, value, level in leveled(html, paths):
         if kind == "open" and level:
             node = [value, False, False, [], 1, 0]
@@ -117,16 +132,16 @@ def page_expression(html: str) -> list[Node]:
         elif kind == "close" and level:
             levels.pop()
             owner = levels[-1][-1]
-            owner[3] = grouped(owner[3])
+            owner[3] = whole(owner[3])
             owner[5] = sum(c[5] for c in owner[3])
         elif kind == "text" and (text := " ".join(unescape(value).split())):
             here = levels[-1]
             if here and here[-1][0] == TEXT:
-                here[-1][3] = f"{here[-1][3]} {text}"[:200]
+                here[-1][3].append(text)
                 here[-1][5] += len(text)
             else:
-                here.append([TEXT, False, False, text[:200], 1, len(text)])
-    return grouped(top)
+                here.append([TEXT, False, False, [text], 1, len(text)])
+    return whole(top)
 
 
 def merged(a: Node, b: Node, repeat: bool = False) -> Node:
@@ -274,24 +289,40 @@ class Reader:
         return found
 
     def text(self, html: str | None) -> str:
-        blocks: list[list[list[str]]] = [[], [], [], []]
+        # blocks of (raw text, slot); what stands in no place of the article goes by slots, whose whole text may be the template's
+        blocks: list[list[list[tuple[str, int]]]] = [[], [], [], []]
         fresh = [True] * 4
-        for kind, path, value in events(html or "", self.paths):
+        slots: list[tuple[tuple[str, ...], list[str]]] = []  # keys, texts
+        levels = [-1]  # the slot that is open on each level
+        for kind, path, value, level in leveled(html or "", self.paths):
             if kind == "text":
                 rank, aside, links, keys = self._of(path)
+                text = " ".join(unescape(value).split())
+                if text:
+                    if levels[-1] < 0:
+                        levels[-1] = len(slots)
+                        slots.append((keys, []))
+                    slots[levels[-1]][1].append(text)
                 if aside or not value:
                     continue
                 for r in range(rank, 4):
-                    if r == 3 and (links or (*keys, " ".join(unescape(value).split())[:200]) in self.shared):
+                    if r == 3 and links:
                         continue
                     if fresh[r]:
                         blocks[r].append([])
                         fresh[r] = False
-                    blocks[r][-1].append(value)
-            elif kind == "break" or value.split(".", 1)[0].split("#", 1)[0] in BLOCK:
+                    blocks[r][-1].append((value, levels[-1] if text else -1))
+                continue
+            if kind == "break" or value.split(".", 1)[0].split("#", 1)[0] in BLOCK:
                 fresh = [True] * 4
-        for found in blocks:
-            lines = [line for parts in found if (line := " ".join(unescape("".join(parts)).split()))]
+            if level and kind == "open":
+                levels[-1] = -1
+                levels.append(-1)
+            elif level:
+                levels.pop()
+        for r, found in enumerate(blocks):
+            template = {k for k, (keys, texts) in enumerate(slots) if (*keys, slot(texts)) in self.shared} if r == 3 and self.shared else ()
+            lines = [line for parts in found if (line := " ".join(unescape("".join(v for v, k in parts if k not in template)).split()))]
             if lines:
                 return "\n".join(lines)
         return ""

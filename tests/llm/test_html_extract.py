@@ -134,3 +134,11 @@ def test_content_that_is_not_html():
         assert read(f"<article><p>a</p><div><{name}>gone</{name}></div><p>b</article>") == "a\nb", name
     for name in ("noscript", "svg", "math"):
         assert read(f"<article><p>a</p><div><{name}>c</div><p>b</article>") == "a\nc\nb", name
+
+
+def test_texts_are_compared_whole():
+    line = "The same long dateline and disclaimer. " * 8
+    pages = [f"<body><div class=x>{line}</div><div>{line}Then story {i}.</div><p>We <b>use</b> {line}</p>" for i in range(4)]
+    for i, page in enumerate(pages):
+        assert read(page, [p for p in pages if p != page]) == f"{line}Then story {i}."
+    assert len(json.dumps(h.page_expression("<p>" + line * 50))) < 400
