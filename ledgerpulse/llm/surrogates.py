@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import hashlib
 import hmac
+import ipaddress
 import re
 import unicodedata
 from collections.abc import Iterator
@@ -28,10 +29,13 @@ WIDER = 6
 
 EMAIL = re.compile(r"(?<![\w.+-])([\w+-]+(?:\.[\w+-]+)*)@((?:[^\W_](?:[\w-]*[^\W_])?\.)+[^\W\d_]{2,})(?![\w-])")
 PHONE = re.compile(
-    r"(?<![\w.+])(?:\+\d{1,3}[ .-]?\(?\d{1,4}\)?(?:[ .-]?\d{2,4}){2,4}|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}-\d{3}-\d{4})(?!\w|[.-]\d)"
+    r"(?<![\w.+])(?:\+\d{1,3}[ .-]?\(?\d{1,4}\)?(?:[ .-]?\d{2,4}){2,4}|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}([ .-])\d{3}\1\d{4}"
+    # national numbers: French, German, Spanish
+    r"|0[1-9](?:[ .-]?\d{2}){4}|\(?0[1-9]\d{1,4}\)?(?: ?/ ?| ?- ?| )\d{3,8}(?:[ -]\d{1,8}){0,3}|[6-9]\d{2}(?:(?:[ -]\d{3}){2}|(?:[ -]\d{2}){3}))(?!\w|[.-]\d)"
 )
 CARD = re.compile(r"(?<![\w.-])(?:\d{13,19}|\d{4}(?:[ -]\d{4}){3}|\d{4}[ -]\d{6}[ -]\d{5})(?![\w]|[.-]\d)")
 IPV4 = re.compile(r"(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\w]|\.\d)")
+IPV6 = re.compile(r"(?<![\w:.])(?:[0-9A-Fa-f]{0,4}:){2,7}[0-9A-Fa-f]{0,4}(?![\w:])")
 SSN = re.compile(r"(?<![\w-])(?!000|666|9\d\d)\d{3}-(?!00)\d{2}-(?!0000)\d{4}(?![\w-])")
 IBAN = re.compile(r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)")
 
@@ -75,6 +79,16 @@ def _card(value: str) -> bool:
     return 13 <= len(digits) <= 19 and digits[0] in "23456" and luhn(digits)
 
 
+def _ipv6(value: str) -> str | None:
+    """The address in its shortest form; None for what is none, or has a single group (::1) or no digit."""
+    if len(re.findall("[0-9A-Fa-f]+", value)) < 2 or not any(c in "0123456789" for c in value):
+        return None
+    try:
+        return ipaddress.IPv6Address(value).compressed
+    except ValueError:
+        return None
+
+
 def _plain(value: str) -> str:
     return re.sub(r"[\W_]", "", value)
 
@@ -84,8 +98,9 @@ def entities(text: str | None) -> list[tuple[int, int, str, str]]:
 
     The value is what mentions of one entity have in common: digits without
     punctuation, lower-cased addresses. Kinds: email, card, iban, ssn, phone,
-    ip and, after a form of address, given_m, given_f, given_x and surname; a
-    capitalised part of such a name is an entity wherever it stands in the text.
+    ip, ip6 and, after a form of address, given_m, given_f, given_x and surname; a
+    capitalised part of such a name is an entity wherever it stands in the text,
+    in any case.
     """
     if not text:
         return []
@@ -98,6 +113,7 @@ def entities(text: str | None) -> list[tuple[int, int, str, str]]:
         found += [(*m.span(), "ssn", _plain(m[0])) for m in SSN.finditer(text)]
         found += [(*m.span(), "phone", _plain(m[0])) for m in PHONE.finditer(text) if 7 <= len(_plain(m[0])) <= 15]
         found += [(*m.span(), "ip", m[0]) for m in IPV4.finditer(text)]
+        found += [(*m.span(), "ip6", value) for m in IPV6.finditer(text) if (value := _ipv6(m[0]))]
     parts: dict[str, str] = {}
     for m in NAME.finditer(text):
         gender, name = TITLES[m[1]], []
@@ -106,10 +122,14 @@ def entities(text: str | None) -> list[tuple[int, int, str, str]]:
                 break
             name.append(part)
         for k, part in enumerate(name):
-            parts.setdefault(part, "surname" if k == len(name) - 1 else f"given_{gender}")
+            parts.setdefault(part.lower(), "surname" if k == len(name) - 1 else f"given_{gender}")
     if parts:
         names = "|".join(sorted(map(re.escape, parts), key=len, reverse=True))
-        found += [(*m.span(), parts[m[0]], m[0].lower()) for m in re.finditer(rf"(?<!\w)(?:{names})(?!\w)", text)]
+        for m in re.finditer(rf"(?<!\w)(?:{names})(?!\w)", text, re.IGNORECASE):
+            part = m[0].lower()
+            if part not in parts:  # a letter that has several lower-case forms
+                part = next(p for p in parts if re.fullmatch(re.escape(p), m[0], re.IGNORECASE))
+            found.append((*m.span(), parts[part], part))
     out: list[tuple[int, int, str, str]] = []
     for e in sorted(found, key=lambda e: (e[0], -e[1])):
         if not out or e[0] >= out[-1][1]:
@@ -183,6 +203,10 @@ def surrogate(kind: str, value: str, key: bytes, attempt: int = 0) -> str:
         return f"{1 + draw.below(665):03d}{1 + draw.below(99):02d}{1 + draw.below(9999):04d}" + _digits(draw, extra)
     if kind == "phone":
         country = len(value) - 10 if len(value) > 10 else 0
+        if value[0] == "0":  # a national number keeps its sort
+            country = max(country, 2)
+        elif len(value) == 9:
+            country = 1
         rest = len(value) - country + extra
         body = _digits(draw, min(3, rest), "23456789") + _digits(draw, max(0, rest - 3), "23456789")
         if rest == 10 and value[country + 3 : country + 6] == "555":  # numbers set aside for examples stay such
@@ -196,6 +220,10 @@ def surrogate(kind: str, value: str, key: bytes, attempt: int = 0) -> str:
             head = [str(first[draw.below(len(first))])]
         tail = [str(draw.below(254) + 1) for _ in range(4 - len(head))]
         return ".".join(head + tail) + "".join(f".{draw.below(255)}" for _ in range(extra))
+    if kind == "ip6":
+        first, sign, rest = value.partition(":")
+        group = lambda m: "123456789abcdef"[draw.below(15)] + "".join("0123456789abcdef"[draw.below(16)] for _ in range(min(4, len(m[0]) + extra) - 1))
+        return first + sign + re.sub("[0-9a-f]+", group, rest)
     script = _script(value)
     gender = kind[-1] if kind.startswith("given") else "x"
     return _word(draw, 4 + 2 * draw.below(3) + 2 * extra, script, ENDINGS[script][gender])
@@ -210,7 +238,7 @@ def dressed(kind: str, value: str, mention: str) -> str:
         return "".join(out) + "".join(digits)
     if mention.isupper() and any(c.isalpha() for c in mention):
         return value.upper()
-    return value.title() if kind not in ("email", "ip") and mention[0].isupper() else value
+    return value.title() if kind not in ("email", "ip", "ip6") and mention[0].isupper() else value
 
 
 _SPANS = "array<struct<start: int, stop: int, kind: string, value: string>>"
@@ -261,6 +289,21 @@ def assign(known: DataFrame, key: str) -> DataFrame:
         attempt += 1
 
 
+def settled_kinds(known: DataFrame) -> DataFrame:
+    """(kind, value, settled) of the distinct entities (kind, value): a name has one kind in all documents.
+
+    A given name has the gender that titles tell, x if they tell both or none; a surname that is also a given name is one.
+    """
+    has = lambda kind: F.max(F.col("kind") == kind)
+    names = known.where(F.col("kind").rlike("^(given|surname)")).groupBy("value").agg(
+        F.when(has("given_m") & has("given_f"), "given_x").when(has("given_m"), "given_m").when(has("given_f"), "given_f")
+        .when(has("given_x"), "given_x").otherwise("surname").alias("settled"),
+        F.collect_set("kind").alias("kinds"),
+    )
+    others = known.where(~F.col("kind").rlike("^(given|surname)")).select("kind", "value", F.col("kind").alias("settled"))
+    return others.unionByName(names.select(F.explode("kinds").alias("kind"), "value", "settled"))
+
+
 def replace_personal_data(docs: DataFrame, key: str) -> DataFrame:
     """``docs`` with surrogates in the text, beside an array column ``surrogates`` (start, stop, kind, surrogate) of what was replaced.
 
@@ -275,8 +318,10 @@ def replace_personal_data(docs: DataFrame, key: str) -> DataFrame:
     mentions = stage(
         found.where(F.size(spans) > 0).select(with_digest.alias(digest), F.explode(spans).alias("e")).select(digest, "e.*").distinct(), "mentions"
     )
-    table = stage(assign(mentions.select("kind", "value").distinct(), key), "surrogates")
-    mapped = mentions.join(table, ["kind", "value"])
+    kinds = stage(settled_kinds(mentions.select("kind", "value").distinct()), "kinds")
+    drawn = assign(kinds.select(F.col("settled").alias("kind"), "value").distinct(), key).withColumnRenamed("kind", "settled")
+    table = stage(kinds.join(drawn, ["settled", "value"]), "surrogates")
+    mapped = mentions.join(table, ["kind", "value"]).drop("kind").withColumnRenamed("settled", "kind")
     per_text = mapped.groupBy(F.col(digest).alias(other)).agg(
         F.array_sort(F.collect_list(F.struct("start", "stop", "kind", "surrogate"))).alias("surrogates")
     )

@@ -91,3 +91,26 @@ def test_query_leaves_clean_texts_and_removes_all_entities(spark, data):
         for (_, _, kind, value), new in zip(found, r.surrogates):
             assert mapped.setdefault((kind, value), new.surrogate.lower()) == new.surrogate.lower()  # one entity, one surrogate
     assert len(set(mapped.values())) == len(mapped) == len(known) > 3
+
+
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        ("Mr Doe left. DOE and doe", [("surname", "doe")] * 3),
+        ("tel 06 12 34 56 78, 555.123.4567", [("phone", "0612345678"), ("phone", "5551234567")]),
+        ("030 12345678 or 0171/1234567 or 612 345 678", [("phone", "03012345678"), ("phone", "01711234567"), ("phone", "612345678")]),
+        ("from 2001:0DB8:0:0::17 and fe80::1 at 12:30:45, std::map, ::1", [("ip6", "2001:db8::17"), ("ip6", "fe80::1")]),
+    ],
+)
+def test_more_formats(text, want):
+    assert values(text) == want
+    for kind, value in want:
+        if kind != "surname":
+            new = s.surrogate(kind, value, b"k")
+            assert new != value and len(new) == len(value) and new[0] == value[0] or value == "5551234567"
+
+
+def test_a_name_is_one_entity_in_all_documents(spark, documents):
+    docs = documents([(1, "Dr Anna Berg"), (2, "Frau Anna Berg"), (3, "Herr Berg Anna ANNA")])
+    names = [[x.surrogate.lower() for x in r.surrogates] for r in s.replace_personal_data(docs, KEY).orderBy("doc_id").collect()]
+    assert names[0] == names[1] and names[2] == [names[0][1], names[0][0], names[0][0]]
