@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import sys
+import types
 from collections.abc import Iterable
 
 import pandas as pd
@@ -24,3 +26,13 @@ def rows(batches: Iterable[pd.DataFrame]) -> pd.DataFrame | None:
     """All rows of a partition as one frame, None if there is none. For partitions of bounded size."""
     parts = [b for b in batches if len(b)]
     return pd.concat(parts, ignore_index=True) if parts else None
+
+
+def worker_memory(name: str) -> dict:
+    """A dictionary that lives as long as the Python worker, which serves several tasks one after the other.
+
+    Functions of this package reach the workers by value, their globals anew with every task, so it is kept with the
+    interpreter's modules instead.
+    """
+    store = sys.modules.setdefault("ledgerpulse_worker_memory", types.ModuleType("ledgerpulse_worker_memory"))
+    return store.__dict__.setdefault(name, {})

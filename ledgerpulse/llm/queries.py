@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerpulse.llm import decontaminate, html_extract, order_minhash, packing, quality, secret_scan, simhash, suffix_dedup, surrogates, wordpiece
+from ledgerpulse.llm import decontaminate, html_extract, order_minhash, packing, quality, ranked_search, secret_scan, simhash, suffix_dedup, surrogates, wordpiece
 
 #: The key of the surrogates; a deployment passes its own to the operator.
 SURROGATE_KEY = "ledgerpulse-demonstration-key"
@@ -82,3 +82,8 @@ def op9_html_extraction(spark, directory):
 @query
 def op10_simhash(spark, directory):
     return simhash.simhash_components(table(spark, directory, "documents"))
+
+
+@query
+def op13_ranked_search(spark, directory):
+    return ranked_search.rank_documents(table(spark, directory, "documents"), table(spark, directory, "benchmark"))
