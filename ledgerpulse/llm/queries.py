@@ -8,10 +8,25 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerpulse.llm import decontaminate, html_extract, order_minhash, packing, quality, ranked_search, secret_scan, simhash, suffix_dedup, surrogates, wordpiece
+from ledgerpulse.llm import (
+    decontaminate,
+    html_extract,
+    order_minhash,
+    packing,
+    quality,
+    ranked_search,
+    secret_scan,
+    simhash,
+    suffix_dedup,
+    surrogates,
+    token_files,
+    wordpiece,
+)
 
 #: The key of the surrogates; a deployment passes its own to the operator.
 SURROGATE_KEY = "ledgerpulse-demonstration-key"
+#: The id that the token files set after each document.
+END_ID = 2
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -87,3 +102,9 @@ def op10_simhash(spark, directory):
 @query
 def op13_ranked_search(spark, directory):
     return ranked_search.rank_documents(table(spark, directory, "documents"), table(spark, directory, "benchmark"))
+
+
+@query
+def op12_token_files(spark, directory):
+    tokens = token_files.token_table(table(spark, directory, "documents"), public_tokenizers.path("byte_bpe_50k.json"), END_ID)
+    return tokens.select("doc_id", "start", "n_tokens", "ids_crc32")
