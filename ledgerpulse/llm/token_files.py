@@ -30,8 +30,8 @@ from ledgerpulse.session import scratch_dir
 SHARD_IDS = 4_000_000
 #: Bytes of text that are tokenised together.
 TOGETHER = 1 << 23
-#: Words, and parts of words, that a worker remembers; the longest of them in bytes.
-REMEMBERED, LONGEST = 800_000, 64
+#: Parts of words that a worker remembers, twice; bytes of the longest ids among them.
+REMEMBERED, LONGEST = 300_000, 64
 #: Values between two samples of a select structure.
 SAMPLE = 256
 
@@ -153,7 +153,7 @@ class ByteTokenizer:
     """Token ids of texts under a byte-level BPE tokenizer.
 
     No token crosses from a text's word to the space of the next one, so texts are cut before every space that white space
-    does not follow, distinct words are numbered by Arrow, and each is tokenised once per worker, by its parts. A text with
+    does not follow, distinct words are numbered by Arrow and tokenised by their parts, which the worker remembers. A text with
     a special token in it is left to the tokenizer as a whole.
     """
 
@@ -165,8 +165,9 @@ class ByteTokenizer:
         self.model = self.tokenizer.model
         self.parts_of = regex.compile(_PARTS).findall
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.words = worker_memory(f"words of {path}")
-        self.parts = worker_memory(f"parts of {path}")
+        self.memory = worker_memory(f"parts of words of {path}")
+        if not self.memory:
+            self.memory.update(newer={}, older={})
         # a byte is written as the printable character of its code, or as one of those from 256 on
         printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
         others = [b for b in range(256) if b not in printable]
@@ -176,31 +177,29 @@ class ByteTokenizer:
         """Bytes of an id in a file."""
         return 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
 
-    def _word(self, word: str) -> bytes:
-        out = b""
-        for part in self.parts_of(word):
-            ids = self.parts.get(part)
+    def _part(self, part: str) -> bytes:
+        """The ids of a part, remembered in two generations: when the newer one is full, it becomes the older."""
+        ids = self.memory["newer"].get(part)
+        if ids is None:
+            ids = self.memory["older"].get(part)
             if ids is None:
                 letters = "".join(map(self.letters.__getitem__, part.encode()))
                 ids = np.array([t.id for t in self.model.tokenize(letters)], dtype="<u4").tobytes()
-                if len(ids) <= LONGEST:
-                    if len(self.parts) >= REMEMBERED:
-                        self.parts.clear()
-                    self.parts[part] = ids
-            out += ids
-        return out
+            if len(ids) <= LONGEST:
+                if len(self.memory["newer"]) >= REMEMBERED:
+                    self.memory["older"], self.memory["newer"] = self.memory["newer"], {}
+                self.memory["newer"][part] = ids
+        return ids
 
     def _words(self, words: list[str], lead: str) -> list[bytes]:
-        found = []
+        part, found = self._part, []
         for w in words:
-            ids = self.words.get(key := lead + w)
-            if ids is None:
-                ids = self._word(key)
-                if len(ids) <= LONGEST:
-                    if len(self.words) >= REMEMBERED:
-                        self.words.clear()
-                    self.words[key] = ids
-            found.append(ids)
+            if w.isalpha():  # what the pattern takes as one part
+                found.append(part(lead + w))
+            elif w[:-1].isalpha() and w[-1] in ".,;:!?":
+                found.append(part(lead + w[:-1]) + part(w[-1]))
+            else:
+                found.append(b"".join(map(part, self.parts_of(lead + w))))
         return found
 
     def _whole(self, text: str) -> np.ndarray:
