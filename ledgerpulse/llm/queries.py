@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerpulse.llm import (
+    conversations,
     decontaminate,
     html_extract,
     order_minhash,
@@ -108,3 +109,8 @@ def op13_ranked_search(spark, directory):
 def op12_token_files(spark, directory):
     tokens = token_files.token_table(table(spark, directory, "documents"), public_tokenizers.path("byte_bpe_50k.json"), END_ID)
     return tokens.select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
+@query
+def op11_conversation_repair(spark, directory):
+    return conversations.repair_conversations(conversations.damage(table(spark, directory, "conversations")))
