@@ -13,6 +13,7 @@ from __future__ import annotations
 import re
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,9 +28,9 @@ from ledgerpulse.llm.frames import worker_memory
 from ledgerpulse.session import scratch_dir
 
 #: Ids of a shard; a document is never cut, so a longer one is a shard by itself.
-SHARD_IDS = 4_000_000
+SHARD_IDS = 2_000_000
 #: Bytes of text that are tokenised together.
-TOGETHER = 1 << 23
+TOGETHER = 1 << 22
 #: Parts of words that a worker remembers, twice; bytes of the longest ids among them.
 REMEMBERED, LONGEST = 300_000, 64
 #: Values between two samples of a select structure.
@@ -184,7 +185,7 @@ class ByteTokenizer:
             ids = self.memory["older"].get(part)
             if ids is None:
                 letters = "".join(map(self.letters.__getitem__, part.encode()))
-                ids = np.array([t.id for t in self.model.tokenize(letters)], dtype="<u4").tobytes()
+                ids = array("I", [t.id for t in self.model.tokenize(letters)]).tobytes()
             if len(ids) <= LONGEST:
                 if len(self.memory["newer"]) >= REMEMBERED:
                     self.memory["older"], self.memory["newer"] = self.memory["newer"], {}
@@ -192,14 +193,17 @@ class ByteTokenizer:
         return ids
 
     def _words(self, words: list[str], lead: str) -> list[bytes]:
-        part, found = self._part, []
+        known, part, found = self.memory["newer"].get, self._part, []
         for w in words:
-            if w.isalpha():  # what the pattern takes as one part
-                found.append(part(lead + w))
-            elif w[:-1].isalpha() and w[-1] in ".,;:!?":
-                found.append(part(lead + w[:-1]) + part(w[-1]))
-            else:
-                found.append(b"".join(map(part, self.parts_of(lead + w))))
+            ids = known(lead + w)
+            if ids is None:
+                if w.isalpha():  # what the pattern takes as one part
+                    ids = part(lead + w)
+                elif w[:-1].isalpha() and w[-1] in ".,;:!?":
+                    ids = (known(lead + w[:-1]) or part(lead + w[:-1])) + part(w[-1])
+                else:
+                    ids = b"".join(map(part, self.parts_of(lead + w)))
+            found.append(ids)
         return found
 
     def _whole(self, text: str) -> np.ndarray:
@@ -234,7 +238,7 @@ class ByteTokenizer:
         flat = np.frombuffer(b"".join(found), dtype="<u4")
         counts = sizes[which]
         stops = np.cumsum(counts)
-        ids = flat[np.arange(stops[-1]) + np.repeat(begins[which] - stops + counts, counts)]
+        ids = flat[np.arange(stops[-1], dtype=np.int32) + np.repeat((begins[which] - stops + counts).astype(np.int32), counts)]
         cuts = np.concatenate(([0], stops))[ends].tolist()
         return (ids[i:j] for i, j in zip(cuts[:-1], cuts[1:], strict=True))
 
