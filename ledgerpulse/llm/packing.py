@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerpulse.llm.frames import rows
+from ledgerpulse.llm.frames import rows, worker_memory
 from ledgerpulse.session import stage
 
 CAPACITY = 2048
@@ -30,8 +30,8 @@ SLACK = 16
 TASK_PIECES = 100_000
 #: A round that saves a smaller share of the open sequences is the last.
 LEAST_GAIN = 0.005
-#: Distinct words whose ids a tokenising task remembers, and the longest of them in bytes.
-REMEMBERED, LONGEST = 600_000, 64
+#: Distinct words whose ids a worker remembers, twice, and the longest of them in bytes.
+REMEMBERED, LONGEST = 300_000, 64
 #: Bytes of text that are tokenised together.
 TOGETHER = 1 << 23
 
@@ -51,19 +51,25 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
+        # two generations of words: when the newer one is full, it becomes the older
+        self.memory = worker_memory(f"words of {path}")
+        if not self.memory:
+            self.memory.update(newer={}, older={})
 
     def ids(self, texts: pa.Array) -> list[bytes]:
         split = pc.ascii_split_whitespace(pc.fill_null(texts.cast(pa.large_string()), ""))
         ends = split.offsets.to_numpy()[1:] - split.offsets[0].as_py()
         numbered = split.flatten().dictionary_encode()
         words, which = numbered.dictionary.to_pylist(), numbered.indices.to_numpy()
-        found = list(map(self.known.get, words))
-        new = self._tokenised([w for w, f in zip(words, found, strict=True) if f is None])
+        found = list(map(self.memory["newer"].get, words))
+        older = self.memory["older"]
+        missing = [w for w, f in zip(words, found, strict=True) if f is None]
+        new = {w: older[w] for w in missing if w in older}
+        new |= self._tokenised([w for w in missing if w not in new])
         found = [new[w] if f is None else f for w, f in zip(words, found, strict=True)]
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        self.known.update((w, i) for w, i in new.items() if len(w) <= LONGEST)
+        if len(self.memory["newer"]) > REMEMBERED:
+            self.memory["older"], self.memory["newer"] = self.memory["newer"], {}
+        self.memory["newer"].update((w, i) for w, i in new.items() if len(w) <= LONGEST)
 
         sizes = np.fromiter(map(len, found), dtype=np.int64, count=len(found)) // 4
         starts = np.cumsum(sizes) - sizes
