@@ -17,22 +17,103 @@ def null_tokens(text: Column) -> Column:
     return F.when(text.isin(*NULL_TOKENS), F.lit(None)).otherwise(text)
 
 
-# The dates that the original's clock can hold, and the patterns it reads besides ISO text.
+# The dates that the original's clock can hold.
 FIRST_TIME, LAST_TIME = "1677-09-21 00:12:43.145224", "2262-04-11 23:47:16.854775"
-DATE_FORMATS = ("M/d/yyyy", "M/d/yyyy H:mm", "M/d/yyyy H:mm:ss")
+# English month names.
+MONTHS = (
+    "january", "february", "march", "april", "may", "june",
+    "july", "august", "september", "october", "november", "december",
+)
+#: How numbers such as 3/4/2024 are read. With ``unsure`` only those of which one reading is a date.
+MONTH_FIRST, DAY_FIRST, UNSURE = DATE_ORDERS = ("month_first", "day_first", "unsure")
+
+_CLOCK = r"(?:[ T]+(\d{1,2}:\d{2}(?::\d{2}(?:\.\d+)?)?)(?: ?([AaPp][Mm]))?)?$"
+_YEAR = r"(\d{4}|\d{2})"
+_DAY, _MONTH = r"(1[3-9]|2\d|3[01])", r"(0?[1-9]|1[0-2])"
+#: Two numbers and a year; both numbers and the clock are groups 1, 3, 5 and 6.
+NUMBERED = rf"^(\d{{1,2}})([/.-])(\d{{1,2}})\2{_YEAR}{_CLOCK}"
+# rewritten dates begin with a mark, which tells a year of two digits from other texts
+_MONTH_THEN_DAY, _DAY_THEN_MONTH = "@$4-$1-$3 $5$6", "@$4-$3-$1 $5$6"
+_REWRITES = {
+    MONTH_FIRST: ((NUMBERED, _MONTH_THEN_DAY),),
+    DAY_FIRST: ((NUMBERED, _DAY_THEN_MONTH),),
+    UNSURE: (
+        (rf"^{_DAY}([/.-]){_MONTH}\2{_YEAR}{_CLOCK}", _DAY_THEN_MONTH),
+        (rf"^{_MONTH}([/.-]){_DAY}\2{_YEAR}{_CLOCK}", _MONTH_THEN_DAY),
+        (rf"^(\d{{1,2}})([/.-])(\1)\2{_YEAR}{_CLOCK}", _MONTH_THEN_DAY),
+    ),
+}
+_YEAR_FIRST = ((rf"^(\d{{4}})[/.](\d{{1,2}})[/.](\d{{1,2}}){_CLOCK}", "$1-$2-$3 $4$5"), (r"^(\d{4})(\d{2})(\d{2})$", "$1-$2-$3"))
+# two-digit years: 69 to 99 are of the last century
+_CENTURY = ((r"^@([0-5]\d|6[0-8])-", "20$1-"), (r"^@(\d{2})-", "19$1-"), (r"^@", ""))
+_NAME = "(?i:(" + "|".join(f"{m[:3]}(?:{m[3:]})?" for m in MONTHS) + r"|sept))\.?"
+_NAMED = (
+    (rf"^(\d{{1,2}})(?:st|nd|rd|th)?[ -]+{_NAME}[ ,-]+{_YEAR}{_CLOCK}", 1, 2),
+    (rf"^{_NAME}[ -]+(\d{{1,2}})(?:st|nd|rd|th)?,?[ -]+{_YEAR}{_CLOCK}", 2, 1),
+)
 # A number as text files write it; the engine's own cast would also take a type suffix such as 100d.
 NUMBER = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$|^\s*[+-]?(?i:inf|infinity)\s*$"
 
 
-def to_timestamp(value: Column, formats: tuple[str, ...] = DATE_FORMATS) -> Column:
-    """ISO text, then ``formats`` in order; a time beyond the original's range is missing."""
-    text = value.cast("string")
-    read = F.coalesce(
-        value.try_cast("timestamp_ntz"), *[F.try_to_timestamp(text, F.lit(f)).cast("timestamp_ntz") for f in formats]
-    )
+def _rewritten(text: Column, patterns) -> Column:
+    for pattern, replacement in patterns:
+        text = F.regexp_replace(text, pattern, replacement)
+    return text
+
+
+def _read(iso: Column, text: Column) -> Column:
+    """Rewritten text to a time, a 12-hour clock by the pattern for it."""
+    whole = _rewritten(iso, _CENTURY)
+    half_day = F.try_to_timestamp(F.upper(whole), F.lit("yyyy-M-d h:mm[:ss]a")).cast("timestamp_ntz")
+    return F.when(text.rlike("[AaPp][Mm]$"), half_day).otherwise(whole.try_cast("timestamp_ntz"))
+
+
+def _read_named(text: Column) -> Column:
+    numbers = F.create_map(*[F.lit(x) for nr, m in enumerate(MONTHS, 1) for x in (m[:3], str(nr))])
+    found = F.lit(None).cast("string")
+    for pattern, day, name in reversed(_NAMED):
+        month = F.element_at(numbers, F.lower(F.substring(F.regexp_extract(text, pattern, name), 1, 3)))
+        iso = F.concat(F.regexp_replace(text, pattern, "@$3-"), month, F.regexp_replace(text, pattern, f"-${day} $4$5"))
+        found = F.when(text.rlike(pattern), iso).otherwise(found)
+    return _read(found, text)
+
+
+def to_timestamp(value: Column, order: str = MONTH_FIRST) -> Column:
+    """ISO text; numbers in ``order``, years in front, or month names, each perhaps with a clock. A time beyond the original's
+    range is missing, like what cannot be read."""
+    text = F.btrim(value.cast("string"), F.lit(WHITESPACE))
+    numbered = _read(_rewritten(text, (("^@", "?"), *_REWRITES[order], *_YEAR_FIRST)), text)
+    read = F.coalesce(value.try_cast("timestamp_ntz"), numbered, _read_named(text))
     return F.when(read.between(F.lit(FIRST_TIME).cast("timestamp_ntz"), F.lit(LAST_TIME).cast("timestamp_ntz")), read)
 
 
+def date_evidence(value: Column) -> dict[str, Column]:
+    """Flags of one cell: how it can be read as a date."""
+    text = F.btrim(value.cast("string"), F.lit(WHITESPACE))
+    numbered = text.rlike(NUMBERED)
+    first, second = (F.regexp_extract(text, NUMBERED, i).try_cast("int") for i in (1, 3))
+    plain, certain = value.try_cast("timestamp_ntz").isNotNull(), to_timestamp(value, UNSURE).isNotNull()
+
+    def month(number):
+        return number.between(1, 12)
+
+    def late(number):
+        return number.between(13, 31)
+
+    either = ~plain & numbered & month(first) & month(second)
+    day_first, month_first = ~plain & numbered & late(first) & month(second), ~plain & numbered & month(first) & late(second)
+    other = ~plain & ~numbered & certain
+    return {
+        "cells": value.isNotNull(),
+        "iso": plain,
+        "only_day_first": day_first,
+        "only_month_first": month_first,
+        "either": either,
+        "other_formats": other,
+        "unread": value.isNotNull() & ~(plain | day_first | month_first | either | other),
+    }
+
+
 def _number_text(value: Column) -> Column:
     text = value.cast("string")
     return F.when(text.rlike(NUMBER), F.btrim(text, F.lit(WHITESPACE)))

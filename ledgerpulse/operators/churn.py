@@ -15,9 +15,11 @@ from ledgerpulse.operators.features import CATEGORICAL, select_features
 from ledgerpulse.operators.scores import at_risk, rank_by_risk, roc_auc, threshold_metrics, with_risk
 from ledgerpulse.operators.splits import SEED, TEST_SIZE, stratified_split
 from ledgerpulse.session import stage
+from ledgerpulse.sources.versions import latest_version, new_version
 
 # Fixed values of the two classifiers.
 MAX_ITERATIONS = 1000
+TOLERANCE = 1e-6
 TREES = 100
 DEPTH = 10
 METRICS = ("auc", "precision", "recall", "f1")
@@ -50,18 +52,20 @@ class ChurnModel:
         )
 
     def save(self, spark: SparkSession, path: str) -> str:
-        """Pipeline below ``path``/pipeline, names and metrics as JSON below ``path``/metadata."""
-        self.pipeline.write().overwrite().save(f"{path}/pipeline")
+        """A new version below ``path``: the pipeline, and names and metrics as JSON."""
         row = [(self.model_type, self.feature_names, *[self.metrics.get(m) for m in METRICS])]
         schema = "model_type string, feature_names array<string>, " + ", ".join(f"{m} double" for m in METRICS)
-        spark.createDataFrame(row, schema).coalesce(1).write.mode("overwrite").json(f"{path}/metadata")
+        with new_version(spark, path) as folder:
+            self.pipeline.write().save(f"{folder}/pipeline")
+            spark.createDataFrame(row, schema).coalesce(1).write.json(f"{folder}/metadata")
         return path
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> ChurnModel:
-        meta = spark.read.json(f"{path}/metadata").first().asDict()
+        folder = latest_version(spark, path)
+        meta = spark.read.json(f"{folder}/metadata").first().asDict()
         return cls(
-            PipelineModel.load(f"{path}/pipeline"),
+            PipelineModel.load(f"{folder}/pipeline"),
             meta["model_type"],
             meta["feature_names"],
             {m: meta[m] for m in METRICS if meta.get(m) is not None},
@@ -97,13 +101,14 @@ def scaler() -> StandardScaler:
     return StandardScaler(inputCol="raw_features", outputCol="features", withMean=True, withStd=True)
 
 
-def classifier(model_type: str, rows: int):
+def classifier(model_type: str, rows: int, tolerance: float = TOLERANCE):
     """``logistic`` (L2, penalty as strong as one unit of weight) or else a forest."""
     if model_type == "logistic":
         return LogisticRegression(
             labelCol="churned",
             weightCol="class_weight",
             maxIter=MAX_ITERATIONS,
+            tol=tolerance,
             regParam=1.0 / rows,
             elasticNetParam=0.0,
             standardization=False,
@@ -124,8 +129,10 @@ def with_class_weight(train: DataFrame, positives: int, rows: int) -> DataFrame:
     return train.withColumn("class_weight", weight)
 
 
-def train(features: DataFrame, model_type: str = "logistic", test_size: float = TEST_SIZE) -> ChurnModel:
-    """Fit on the training part of a stratified split and measure on the rest.
+def train(
+    features: DataFrame, model_type: str = "logistic", test_size: float = TEST_SIZE, tolerance: float = TOLERANCE
+) -> ChurnModel:
+    """Fit on the training part of a stratified split and measure on the rest. ``tolerance`` ends the logistic solver.
 
     ``features`` is read three times, so pass a stored table. Its split is
     written to the shared scratch folder; the solver and the evaluation read
@@ -143,12 +150,12 @@ def train(features: DataFrame, model_type: str = "logistic", test_size: float =
     if not counts.p or counts.p == counts.n:
         raise ValueError("training needs customers of both classes")
     weighted = with_class_weight(split.where(~F.col("is_test")), counts.p, counts.n)
-    pipeline = Pipeline(stages=[*feature_stages(features), classifier(model_type, counts.n)]).fit(weighted)
+    pipeline = Pipeline(stages=[*feature_stages(features), classifier(model_type, counts.n, tolerance)]).fit(weighted)
     model = ChurnModel(pipeline, model_type, _feature_names(pipeline, features), {})
     # scored once for both measures
     held_out = stage(model.probabilities(split.where("is_test")).select("churned", "churn_probability"), "held_out")
     quality = threshold_metrics(held_out).first()
-    model.metrics = {"auc": roc_auc(held_out), **{m: quality[m] for m in METRICS[1:]}}
+    model.metrics = {"auc": roc_auc(held_out).first().auc, **{m: quality[m] for m in METRICS[1:]}}
     return model
 
 

@@ -14,6 +14,8 @@ from ledgerpulse.functions.numbers import at_least, mean, ratio, total
 DAYS_PER_MONTH = 30
 # More than any BIGINT, so that a time and a flag fit into one number without overlap.
 FLAG_RANGE = Decimal(10) ** 19
+# Later than any time a timestamp can hold, in microseconds.
+NO_END = (1 << 63) - 1
 PROFILE = ("signup_date", "plan", "segment", "monthly_price")
 
 # Model inputs, in order, as far as the table has them.
@@ -36,12 +38,29 @@ def latest_record(subscriptions: DataFrame) -> DataFrame:
 
     A missing period end counts as last. Equal ends are ordered by subscription
     id and then by the value itself, so the result does not depend on row order.
+    The last end of each customer and column comes from hash aggregates of fixed
+    width; only periods that have one of these ends take part in the ordering.
+    They are found by a join on customer and end, in which a customer with very
+    many periods is dealt out by their ends.
     """
-    return (
-        subscriptions.where(F.col("customer_id").isNotNull())
-        .groupBy("customer_id")
-        .agg(*[_last(c, "subscription_id") for c in subscriptions.columns if c != "customer_id"])
-    )
+    known = subscriptions.where(F.col("customer_id").isNotNull())
+    columns = [c for c in subscriptions.columns if c != "customer_id"]
+    owner, end = (_unused(subscriptions, name) for name in ("last_customer", "last_end"))
+    ended = known.withColumn(end, F.coalesce(micros(F.col("period_end")), F.lit(NO_END)))
+    ends = ended.groupBy("customer_id").agg(*[F.max(F.when(F.col(c).isNotNull(), F.col(end))).alias(c) for c in columns])
+    # every customer has an end, as one with missing values only would be lost
+    last = F.array_distinct(F.array_compact(F.array(*[F.col(c) for c in columns])))
+    winners = ends.select(F.col("customer_id").alias(owner), F.explode(F.when(F.size(last) > 0, last).otherwise(F.array(F.lit(NO_END)))).alias("_end"))
+    same = (F.col("customer_id") == F.col(owner)) & (F.col(end) == F.col("_end"))
+    # a hash table of the winners: they are spread by customer and end, a few longs each
+    taking_part = ended.join(winners.hint("shuffle_hash"), same, "left_semi").drop(end)
+    return taking_part.groupBy("customer_id").agg(*[_last(c, "subscription_id") for c in columns])
+
+
+def _unused(df: DataFrame, name: str) -> str:
+    while name in df.columns:
+        name = f"_{name}"
+    return name
 
 
 def _last(name: str, *ties: str) -> Column:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ledgerpulse.functions.dates import month_number
 from ledgerpulse.functions.numbers import half_even
+from ledgerpulse.sources.versions import latest_version, new_version
 
 HORIZON_MONTHS = 3
 # Fixed value: 80 % interval of a normal distribution.
@@ -70,6 +71,9 @@ def fit(
             F.max("intercept").alias("intercept"),
             F.map_from_entries(F.array_sort(F.collect_set(F.struct("month", "effect")))).alias("effects"),
             F.coalesce(F.stddev_samp("residual"), F.lit(0.0)).alias("spread"),
+            F.count(y).alias("months"),
+            F.regr_avgx(y, t).alias("centre"),
+            F.coalesce(F.regr_sxx(y, t), F.lit(0.0)).alias("extent"),
             F.array_sort(F.collect_list(F.struct(F.col("ds").alias("date"), F.col("y").alias("actual")))).alias(
                 "history"
             ),
@@ -90,14 +94,21 @@ def future_frame(model: DataFrame, periods: int = HORIZON_MONTHS, by: tuple[str,
 
 
 def predict(model: DataFrame, periods: int = HORIZON_MONTHS, by: tuple[str, ...] = ()) -> DataFrame:
-    """Fitted history and forecast with the bounds of the 80 % interval."""
+    """Fitted history and forecast with the bounds of the 80 % interval.
+
+    The variance of a prediction is that of the residuals times 1 + leverage, the row's diagonal entry of the hat matrix of
+    the trend's normal equations: 1/n + (t - mean)^2 / sum of squares. So the interval is narrowest in the middle of the
+    history and widens with the horizon, the more so the shorter the history is.
+    """
     dated = model.select("*", F.inline(_timeline(periods)))
     effect = F.element_at("effects", F.month("date"))
     value = F.when(
         F.col("mode") == "multiplicative",
         _combine("multiplicative", _trend(month_number(F.col("date"))), F.coalesce(effect, F.lit(1.0))),
     ).otherwise(_combine("additive", _trend(month_number(F.col("date"))), F.coalesce(effect, F.lit(0.0))))
-    margin = F.col("spread") * INTERVAL
+    away = month_number(F.col("date")) - F.col("centre")
+    leverage = F.lit(1.0) / F.col("months") + F.coalesce(F.try_divide(away * away, F.col("extent")), F.lit(0.0))
+    margin = F.col("spread") * INTERVAL * F.sqrt(1 + leverage)
     return dated.withColumn("predicted", value).select(
         *by,
         "date",
@@ -161,27 +172,28 @@ def train_and_forecast(
 
 
 def save_model(model: DataFrame, path: str, months: int = HORIZON_MONTHS, by: tuple[str, ...] = ()) -> DataFrame:
-    """Write the model table, its forecast and its accuracy below ``path``; returns the stored model."""
+    """Write the model table, its forecast and its accuracy as a new version below ``path``; returns the stored model."""
     spark = model.sparkSession
-    model.write.mode("overwrite").parquet(f"{path}/model")
-    stored = spark.read.schema(model.schema).parquet(f"{path}/model")
-    forecast = predict(stored, months, by)
-    forecast.write.mode("overwrite").parquet(f"{path}/forecast")
-    accuracy(forecast, by).write.mode("overwrite").parquet(f"{path}/accuracy")
+    with new_version(spark, path) as folder:
+        model.write.parquet(f"{folder}/model")
+        stored = spark.read.schema(model.schema).parquet(f"{folder}/model")
+        forecast = predict(stored, months, by)
+        forecast.write.parquet(f"{folder}/forecast")
+        accuracy(forecast, by).write.parquet(f"{folder}/accuracy")
     return stored
 
 
 def load_model(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(f"{path}/model")
+    return spark.read.parquet(f"{latest_version(spark, path)}/model")
 
 
 def load_forecast(spark: SparkSession, path: str) -> DataFrame:
     """History and future rows as they were stored with the model."""
-    return spark.read.parquet(f"{path}/forecast")
+    return spark.read.parquet(f"{latest_version(spark, path)}/forecast")
 
 
 def load_accuracy(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(f"{path}/accuracy")
+    return spark.read.parquet(f"{latest_version(spark, path)}/accuracy")
 
 
 def _trend(t: Column) -> Column:

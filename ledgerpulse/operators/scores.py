@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.ml.evaluation import BinaryClassificationEvaluator
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerpulse.functions.numbers import ratio
@@ -15,13 +14,36 @@ TOP_N = 20
 CUTOFF = 0.5
 
 
-def roc_auc(scored: DataFrame, label: str = "churned", score: str = "churn_probability") -> float:
-    """Exact area under the ROC curve: every distinct score is a threshold, ties count half."""
-    evaluator = BinaryClassificationEvaluator(
-        rawPredictionCol=score, labelCol=label, metricName="areaUnderROC", numBins=0
+def roc_auc(
+    scored: DataFrame, label: str = "churned", score: str = "churn_probability", by: tuple[str, ...] = ()
+) -> DataFrame:
+    """Exact area under the ROC curve, of each group of ``by``; missing where a class is.
+
+    It is the share of pairs of a positive and a negative row in which the positive has the higher score, ties counting
+    half. Rows of one score are combined first, so ties never travel row by row. The scores are dealt out by ranges; a range
+    adds the pairs inside it and its totals, and the negatives below a range are a sum over the few totals before it.
+    """
+    positive = F.col(label) == 1
+    known = scored.where(F.col(label).isNotNull() & F.col(score).isNotNull() & ~F.isnan(F.col(score).cast("double")))
+    counts = known.groupBy(*by, F.col(score).cast("double").alias("_score")).agg(
+        F.count_if(positive).cast("decimal(19,0)").alias("_pos"), F.count_if(~positive).cast("decimal(19,0)").alias("_neg")
+    )
+    # the number of a range is taken once and travels with its rows
+    ranges = counts.repartitionByRange(*by, "_score").withColumn("_range", F.spark_partition_id())
+    inside = Window.partitionBy(*by, "_range").orderBy("_score").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    # each pair counts two, so that half a pair is a whole number
+    below = (F.sum("_neg").over(inside) * 2 - F.col("_neg")).cast("decimal(20,0)")
+    pairs = (F.col("_pos") * below).cast("decimal(38,0)")
+    totals = (
+        ranges.withColumn("_pairs", pairs)
+        .groupBy(*by, "_range")
+        .agg(F.sum("_pairs").alias("_pairs"), F.sum("_pos").alias("_pos"), F.sum("_neg").alias("_neg"))
     )
-    pairs = scored.select(F.col(score).cast("double").alias(score), F.col(label).cast("double").alias(label))
-    return evaluator.evaluate(pairs)
+    before = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = F.coalesce(F.sum("_neg").over(before), F.lit(0)).cast("decimal(19,0)")
+    whole = totals.withColumn("_pairs", F.col("_pairs") + (F.col("_pos") * earlier * 2).cast("decimal(38,0)")).groupBy(*by)
+    won, positives, negatives = (F.sum(c).cast("double") for c in ("_pairs", "_pos", "_neg"))
+    return whole.agg(F.try_divide(won, positives * negatives * 2).alias("auc"))
 
 
 def threshold_metrics(

@@ -9,8 +9,9 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerpulse.functions.coerce import UNSURE
 from ledgerpulse.operators import churn, forecast, reporting, revenue
-from ledgerpulse.operators.cleaning import clean, require_schema, validate_schema
+from ledgerpulse.operators.cleaning import clean, date_votes, require_schema, validate_schema
 from ledgerpulse.operators.features import customer_features
 from ledgerpulse.operators.merge import merge_datasets
 from ledgerpulse.operators.quality import dataset_summary, quality_report, quality_scores
@@ -55,10 +56,14 @@ class Dataset:
         return Dataset(**{name: stage(df, name) for name, df in self.tables.items()})
 
 
-def load_table(spark: SparkSession, path: str, name: str, file_type: str = "auto", **options) -> DataFrame:
+def load_table(
+    spark: SparkSession, path: str, name: str, file_type: str = "auto", dates: str | dict[str, str] = "vote", **options
+) -> DataFrame:
     """Read, check the required columns and clean one of the three tables; ``options`` as for ``load_file``.
 
-    Columns that the declaration lacks are kept and warned of.
+    Columns that the declaration lacks are kept and warned of. Whether 3/4/2024 is in March or April is told by the other
+    cells of the column, in a pass of its own; an order of ``coerce.DATE_ORDERS``, for all columns or by column, spares it.
+    In a column with cells of both orders such a cell is missing, and a warning tells how many there are.
     """
     schema = SCHEMAS[name]
     raw = load_file(spark, path, file_type, **options)
@@ -66,7 +71,23 @@ def load_table(spark: SparkSession, path: str, name: str, file_type: str = "auto
         raw, _ = split_bad_rows(raw)
     for warning in validate_schema(raw, schema, name).warnings:
         logger.warning(warning)
-    return clean(require_schema(raw, schema, name), schema)
+    raw = require_schema(raw, schema, name)
+    if dates == "vote":
+        dates = _voted(raw, schema, name)
+    elif isinstance(dates, str):
+        dates = dict.fromkeys(schema, dates)
+    return clean(raw, schema, dates)
+
+
+def _voted(raw: DataFrame, schema: dict[str, str], name: str) -> dict[str, str]:
+    votes = date_votes(raw, schema).collect()
+    for v in votes:
+        if v.date_order == UNSURE and v.either:
+            logger.warning(
+                f"{name}.{v.column_name} has {v.only_day_first} dates with the day first and {v.only_month_first} with the "
+                f"month first; {v.either} that can be either are left missing"
+            )
+    return {v.column_name: v.date_order for v in votes}
 
 
 def load_all_data(

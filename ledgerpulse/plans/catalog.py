@@ -8,16 +8,16 @@ from functools import reduce
 from pyspark.ml import Pipeline
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ledgerpulse.operators import churn, cohorts, features, forecast, quality, reporting, revenue, scores, splits
+from ledgerpulse.operators import churn, cleaning, cohorts, features, forecast, quality, reporting, revenue, scores, splits
 from ledgerpulse.operators.cleaning import clean, duplicate_counts, validation_report
 from ledgerpulse.operators.merge import merge_datasets, transaction_summary
 from ledgerpulse.plans.analysis import Dataset, bad_row_counts, dashboard, load_all_data, load_directory
 from ledgerpulse.session import scratch_dir, stage
 from ledgerpulse.sources import schemas, star
-from ledgerpulse.sources.files import FORMATS, export_csv, load_file
+from ledgerpulse.sources.files import FORMATS, export_csv, export_dated_csv, load_file
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -134,6 +134,34 @@ def clean_transactions(spark, directory):
     return _plain(clean(raw_transactions(spark, directory), schemas.TRANSACTIONS), "amount")
 
 
+def raw_date_texts(spark: SparkSession, directory: str) -> DataFrame:
+    """The transactions' dates as text: the day first, the month first and last, and of both kinds in one column."""
+    date = F.col("transaction_date")
+    both = F.when(F.col("payment_method") == "A", F.date_format(date, "M-d-yyyy")).otherwise(F.date_format(date, "d-M-yyyy"))
+    return star.transactions(spark, directory, owners=False).select(
+        "transaction_id",
+        F.date_format(date, "dd/MM/yyyy").alias("day_first"),
+        F.when(F.col("payment_method") != "N", F.date_format(date, "M/d/yyyy h:mm a")).alias("month_first"),
+        both.alias("both"),
+        F.concat(F.lit(" "), F.date_format(date, "MMMM d, yyyy")).alias("named"),
+    )
+
+
+DATE_TEXTS = {"transaction_id": "string", **dict.fromkeys(("day_first", "month_first", "both", "named"), "datetime")}
+
+
+@query
+def date_votes(spark, directory):
+    return cleaning.date_votes(raw_date_texts(spark, directory), DATE_TEXTS)
+
+
+@query
+def voted_dates(spark, directory):
+    """The date texts read in the order that the cells of each column tell."""
+    raw = raw_date_texts(spark, directory)
+    return clean(raw, DATE_TEXTS, cleaning.date_orders(raw, DATE_TEXTS))
+
+
 @query
 def removed_duplicates(spark, directory):
     return duplicate_counts(raw_customers(spark, directory), schemas.CUSTOMERS)
@@ -455,8 +483,12 @@ def train_test_split(spark, directory):
 
 @query
 def recency_roc_auc(spark, directory):
-    auc = scores.roc_auc(_recency_scored(spark, directory))
-    return spark.createDataFrame([(round(auc, 6),)], "auc double")
+    return _rounded(scores.roc_auc(_recency_scored(spark, directory)), "auc")
+
+
+@query
+def recency_roc_auc_by_segment(spark, directory):
+    return _rounded(scores.roc_auc(_recency_scored(spark, directory), by=("segment",)), "auc")
 
 
 @query
@@ -488,7 +520,7 @@ def top_at_risk(spark, directory):
 @query
 def at_risk_csv_export(spark, directory):
     """Export the ranked list as CSV and read the file back."""
-    path = export_csv(top_at_risk(spark, directory), f"{scratch_dir(spark)}/at_risk.csv")
+    path = export_dated_csv(top_at_risk(spark, directory), scratch_dir(spark), "at_risk_customers")
     text = load_file(spark, path)
     numbers = {c: F.col(c).cast("double") for c in ("churn_probability", "current_revenue", "tenure_months", "risk_score")}
     return text.withColumns({**numbers, "active": F.col("active").cast("boolean")})
@@ -547,7 +579,7 @@ def forecast_accuracy(spark, directory):
 @query
 def forecast_csv_export(spark, directory):
     """Export the forecast as CSV and read the file back."""
-    path = export_csv(forecast_summary(spark, directory), f"{scratch_dir(spark)}/forecast.csv")
+    path = export_dated_csv(forecast_summary(spark, directory).orderBy("date"), scratch_dir(spark), "forecast")
     text = load_file(spark, path)
     return text.select(F.col("date").cast("date").alias("date"), *[F.col(c).cast("double").alias(c) for c in text.columns[1:]])
 
@@ -678,6 +710,28 @@ def churn_forest_features(spark, directory):
     return rows.select("feature", F.col("importance").between(0, 1).alias("is_share"), whole.alias("total"))
 
 
+def _one_input(spark, directory) -> tuple[DataFrame, DataFrame]:
+    """All customers with the scores of the logistic model on the tenure alone, and the customers at risk by it."""
+    rows = stage(_features(spark, directory), "features")
+    model = churn.train(rows.select("customer_id", "churned", "tenure_days"), tolerance=1e-12)
+    scored = model.score(rows)
+    return scored, scores.at_risk(scored, min_probability=scores.CUTOFF)
+
+
+@query
+def churn_one_input_scores(spark, directory):
+    scored, _ = _one_input(spark, directory)
+    return _rounded(_rounded(scored, "churn_probability", "tenure_months"), "risk_score", digits=3)
+
+
+@query
+def churn_one_input_at_risk(spark, directory):
+    """The ranked list with the place of each customer."""
+    _, risky = _one_input(spark, directory)
+    place = F.row_number().over(Window.orderBy(F.desc("risk_score"), "customer_id"))
+    return _rounded(_rounded(risky.withColumn("place", place), "churn_probability", "tenure_months"), "risk_score", digits=3)
+
+
 @query
 def churn_logistic_one_input(spark, directory):
     """The logistic model on the tenure alone: its line and the confusion counts of the held-out customers."""

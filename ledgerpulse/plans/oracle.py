@@ -142,7 +142,8 @@ def _model(mode: str = "multiplicative", source: str = "mrr", by: str = "") -> s
     using = f"USING ({by})" if by else "ON true"
     times, over, neutral = ("*", "/", 1) if mode == "multiplicative" else ("+", "-", 0)
     return f"""points AS (SELECT {lead}date, MRR AS y, year(date) * 12 + month(date) - 1 AS t, month(date) AS m FROM {source}),
-line AS (SELECT {lead}regr_slope(y, t) AS slope, regr_intercept(y, t) AS intercept, max(date) AS last_date FROM points {group}),
+line AS (SELECT {lead}regr_slope(y, t) AS slope, regr_intercept(y, t) AS intercept, max(date) AS last_date,
+         count(y) AS months, avg(t) AS centre, sum(t * t) - sum(t) * avg(t) AS extent FROM points {group}),
 effects AS (SELECT {lead}m, {neutral} + (avg(y {over} (slope * t + intercept)) - {neutral}) * ((count(y) - 1) / count(y)) AS effect
             FROM points JOIN line {using} GROUP BY {lead}m),
 frame AS (
@@ -155,9 +156,10 @@ valued AS (
   LEFT JOIN effects e ON e.m = month(f.date) {f'AND e.{by} = f.{by}' if by else ''}),
 spreads AS (SELECT {lead}coalesce(stddev_samp(actual - predicted), 0) AS spread FROM valued {group}),
 forecast AS (
-  SELECT {lead}date, predicted, predicted - spread * 1.2816::DOUBLE AS lower_bound,
-         predicted + spread * 1.2816::DOUBLE AS upper_bound, actual
-  FROM valued JOIN spreads {using}),
+  SELECT {lead}date, predicted, predicted - margin AS lower_bound, predicted + margin AS upper_bound, actual
+  FROM (SELECT *, spread * 1.2816::DOUBLE * sqrt(1 + 1 / months + coalesce((year(date) * 12 + month(date) - 1 - centre) ** 2
+                    / nullif(extent, 0), 0)) AS margin
+        FROM valued JOIN spreads {using} JOIN (SELECT {lead}months, centre, extent FROM line) {using})),
 summary AS (
   SELECT {lead}date, round_even(predicted, 2) AS predicted, round_even(lower_bound, 2) AS lower_bound,
          round_even(upper_bound, 2) AS upper_bound, round_even(actual, 2) AS actual FROM forecast)"""
@@ -240,6 +242,11 @@ newton AS (
         FROM (SELECT step, b0, b1, x, y, w, n, 1 / (1 + exp(-(b0 + b1 * x))) AS p FROM newton, train WHERE step < 25)
         GROUP BY step, b0, b1, n))"""
 
+ONE_INPUT_SCORES = """SELECT customer_id, round(p, 6) AS churn_probability, monthly_price AS current_revenue,
+       round(tenure_months, 6) AS tenure_months, active, round(p * monthly_price, 3) AS risk_score
+FROM (SELECT *, 1 / (1 + exp(-(b0 + b1 * (tenure_days - centre) / width))) AS p
+      FROM features, scale, (SELECT b0, b1 FROM newton ORDER BY step DESC LIMIT 1))"""
+
 DIGEST = """SELECT coalesce(string_agg(printf('Customer %s ($%.0f/mo, %.0f%% risk)', customer_id, current_revenue,
          churn_probability * 100), ', ' ORDER BY place), 'No high-risk customers identified') AS at_risk_summary
 FROM top WHERE place <= 5"""
@@ -267,6 +274,31 @@ ORACLES: dict[str, str] = {
         SUBSCRIPTIONS, CLEAN_SUBSCRIPTIONS,
     ),
     "clean_transactions": _sql("SELECT * FROM clean_transactions", TRANSACTIONS, CLEAN_TRANSACTIONS),
+    "date_votes": _sql(
+        " UNION ALL ".join(
+            f"""SELECT '{name}' AS column_name, count(*) FILTER ({known}) AS cells, 0 AS iso,
+       count(*) FILTER ({known} AND {by_day} AND d > 12) AS only_day_first,
+       count(*) FILTER ({known} AND {by_month} AND d > 12) AS only_month_first,
+       count(*) FILTER ({known} AND ({by_day} OR {by_month}) AND d <= 12) AS either,
+       count(*) FILTER ({known} AND NOT ({by_day} OR {by_month})) AS other_formats, 0 AS unread,
+       CASE WHEN count(*) FILTER ({known} AND {by_day} AND d > 12) = 0 THEN 'month_first'
+            WHEN count(*) FILTER ({known} AND {by_month} AND d > 12) = 0 THEN 'day_first' ELSE 'unsure' END AS date_order
+FROM (SELECT day(transaction_date) AS d, payment_method FROM transactions)"""
+            for name, known, by_day, by_month in (
+                ("day_first", "true", "true", "false"),
+                ("month_first", "payment_method <> 'N'", "false", "true"),
+                ("both", "true", "payment_method <> 'A'", "payment_method = 'A'"),
+                ("named", "true", "false", "false"),
+            )
+        ),
+        TRANSACTIONS,
+    ),
+    "voted_dates": _sql(
+        """SELECT DISTINCT transaction_id, t AS day_first, CASE WHEN payment_method <> 'N' THEN t END AS month_first,
+       CASE WHEN day(t) > 12 OR day(t) = month(t) THEN t END AS both, t AS named
+FROM (SELECT *, CAST(CAST(transaction_date AS DATE) AS TIMESTAMP) AS t FROM transactions)""",
+        TRANSACTIONS,
+    ),
     "removed_duplicates": "SELECT 2 * count(*) AS rows_before, count(*) AS rows_after, count(*) AS duplicates_removed FROM customer",
     "csv_load_and_merge": _sql(
         """SELECT plan, count(*) AS periods, round(CAST(sum(CAST(revenue AS DECIMAL(18,2))) AS DOUBLE), 2) AS revenue,
@@ -475,6 +507,11 @@ FROM (SELECT b0, b1, churned AS y, b0 + b1 * (tenure_days - centre) / width AS z
       FROM split, scale, (SELECT * FROM newton ORDER BY step DESC LIMIT 1) WHERE is_test) GROUP BY b0, b1""",
         CUSTOMERS, SUBSCRIPTIONS, FEATURES, NEWTON,
     ).replace("WITH", "WITH RECURSIVE", 1),
+    "churn_one_input_scores": _sql(ONE_INPUT_SCORES, CUSTOMERS, SUBSCRIPTIONS, FEATURES, NEWTON).replace("WITH", "WITH RECURSIVE", 1),
+    "churn_one_input_at_risk": _sql(
+        ONE_INPUT_SCORES + " WHERE p >= 0.5 ORDER BY p * monthly_price DESC, customer_id LIMIT 20",
+        CUSTOMERS, SUBSCRIPTIONS, FEATURES, NEWTON,
+    ).replace("WITH", "WITH RECURSIVE", 1).replace("SELECT customer_id, round(p", "SELECT CAST(row_number() OVER (ORDER BY p * monthly_price DESC, customer_id) AS INTEGER) AS place, customer_id, round(p", 1),
     "standardised_features": _sql(
         "SELECT customer_id, "
         + ", ".join(
@@ -508,6 +545,12 @@ FROM (SELECT churned, rank() OVER (ORDER BY churn_probability)
 GROUP BY positives, total""",
         *SCORED,
     ),
+    "recency_roc_auc_by_segment": _sql(
+        """SELECT p.segment, round((count(*) FILTER (p.s > n.s) + 0.5::DOUBLE * count(*) FILTER (p.s = n.s)) / count(*), 6) AS auc
+FROM (SELECT segment, churn_probability AS s FROM scored WHERE churned = 1) p
+JOIN (SELECT segment, churn_probability AS s FROM scored WHERE churned = 0) n ON n.segment = p.segment GROUP BY p.segment""",
+        *SCORED,
+    ),
     "recency_threshold_metrics": _sql(
         """SELECT tp AS true_positives, fp AS false_positives, fn AS false_negatives, tn AS true_negatives,
        round(coalesce(tp / nullif(tp + fp, 0), 0), 6) AS "precision", round(coalesce(tp / nullif(tp + fn, 0), 0), 6) AS recall,

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import csv
+import io
+import uuid
 from datetime import date
 
+from pyspark.errors import UnsupportedOperationException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
@@ -69,6 +73,64 @@ def export_csv(df: DataFrame, path: str) -> str:
     return path
 
 
+def export_dated_csv(df: DataFrame, directory: str, name: str, day: date | None = None) -> str:
+    """Write a result as one CSV file ``<directory>/<name>_<yyyymmdd>.csv`` with a header, in the order of ``df``; returns its path.
+
+    All tasks write their parts side by side. The file system then puts them behind the header: it links them where it
+    can, elsewhere their bytes are copied from file to file, never as rows and never by one task. The file appears, or
+    replaces the one of that day, in one step when it is whole.
+    """
+    spark = df.sparkSession
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    make = jvm.org.apache.hadoop.fs.Path
+    target = f"{directory.rstrip('/')}/{dated_name(name, day)}"
+    work = f"{directory.rstrip('/')}/_{dated_name(name, day)}-{uuid.uuid4().hex}"
+    fs = make(work).getFileSystem(conf)
+    try:
+        df.write.csv(f"{work}/parts", escape='"')
+        found = [s.getPath() for s in fs.listStatus(make(f"{work}/parts")) if s.getPath().getName().startswith("part-")]
+        parts = sorted(found, key=lambda p: int(p.getName().split("-")[1]))
+        header = io.StringIO()
+        csv.writer(header, lineterminator="\n").writerow(df.columns)
+        whole = make(f"{work}/whole")
+        out = fs.create(whole, True)
+        out.write(bytearray(header.getvalue().encode()))
+        out.close()
+        _append(spark, fs, whole, parts)
+        files = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), conf)
+        how = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+        how[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+        files.rename(fs.makeQualified(whole), fs.makeQualified(make(target)), how)
+    finally:
+        fs.delete(make(work), True)
+    return target
+
+
+def _append(spark: SparkSession, fs, whole, parts: list) -> None:
+    """Put the parts behind ``whole``, without moving data where the file system knows how."""
+    if not parts:
+        return
+    jvm, gateway = spark.sparkContext._jvm, spark.sparkContext._gateway
+    sources = gateway.new_array(jvm.org.apache.hadoop.fs.Path, len(parts))
+    for i, part in enumerate(parts):
+        sources[i] = part
+    try:
+        fs.concat(whole, sources)
+        return
+    except UnsupportedOperationException:
+        pass
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    header = fs.open(whole)
+    joined = jvm.org.apache.hadoop.fs.Path(f"{whole.toString()}-joined")
+    out = fs.create(joined, True)
+    for source in [header, *(fs.open(p) for p in parts)]:
+        jvm.org.apache.hadoop.io.IOUtils.copyBytes(source, out, conf, False)
+        source.close()
+    out.close()
+    fs.delete(whole, False)
+    fs.rename(joined, whole)
+
+
 def dated_name(name: str, day: date | None = None) -> str:
     """File name of an export: ``<name>_<yyyymmdd>.csv``."""
     return f"{name}_{day or date.today():%Y%m%d}.csv"

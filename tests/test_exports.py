@@ -1,0 +1,87 @@
+"""Dated CSV files and versioned stores."""
+
+import datetime as dt
+
+import pytest
+from pyspark.sql import functions as F
+
+from ledgerpulse.operators import churn, forecast
+from ledgerpulse.sources import versions
+from ledgerpulse.sources.files import export_dated_csv, load_file
+
+DAY = dt.date(2024, 3, 9)
+
+
+def test_one_file_in_order(spark, tmp_path):
+    rows = [(i, f'say "{i}", then\tgo' if i % 3 else None, i / 7) for i in range(5000)]
+    df = spark.createDataFrame(rows, 'n int, `a "name"` string, x double').repartition(9).orderBy(F.desc("n"))
+    path = export_dated_csv(df, str(tmp_path), "ranked", DAY)
+    assert path == f"{tmp_path}/ranked_20240309.csv" and [p.name for p in tmp_path.glob("[!.]*")] == ["ranked_20240309.csv"]
+    lines = (tmp_path / "ranked_20240309.csv").read_text().splitlines()
+    assert lines[0] == 'n,"a ""name""",x' and len(lines) == 5001
+    assert [int(line.split(",")[0]) for line in lines[1:]] == list(range(4999, -1, -1))
+    back = load_file(spark, path).collect()
+    assert {(int(r[0]), r[1]) for r in back} == {r[:2] for r in rows}
+
+
+def test_a_second_export_replaces_the_file(spark, tmp_path):
+    export_dated_csv(spark.range(10), str(tmp_path), "t", DAY)
+    path = export_dated_csv(spark.range(3), str(tmp_path), "t", DAY)
+    assert load_file(spark, path).count() == 3
+
+
+def test_nothing_to_export(spark, tmp_path):
+    path = export_dated_csv(spark.range(3).where("id > 5"), str(tmp_path), "none", DAY)
+    assert load_file(spark, path).columns == ["id"] and load_file(spark, path).count() == 0
+
+
+def test_a_failed_export_leaves_the_old_file(spark, tmp_path):
+    path = export_dated_csv(spark.range(3), str(tmp_path), "t", DAY)
+    broken = spark.range(3).select(F.raise_error(F.lit("broken")).cast("bigint").alias("id"))
+    with pytest.raises(Exception, match="broken"):
+        export_dated_csv(broken, str(tmp_path), "t", DAY)
+    assert load_file(spark, path).count() == 3 and [p.name for p in tmp_path.glob("[!.]*")] == ["t_20240309.csv"]
+
+
+def series(spark, slope):
+    rows = [(dt.date(2022 + m // 12, m % 12 + 1, 1), 100.0 + slope * m) for m in range(18)]
+    return spark.createDataFrame(rows, "date date, MRR double")
+
+
+def test_a_killed_save_leaves_the_old_forecast(spark, tmp_path, monkeypatch):
+    path = str(tmp_path)
+    forecast.save_model(forecast.fit(series(spark, 5.0)), path)
+
+    def killed(*_):
+        raise KeyboardInterrupt
+
+    with monkeypatch.context() as patch, pytest.raises(KeyboardInterrupt):
+        patch.setattr(forecast, "accuracy", killed)  # the model and its forecast are written already
+        forecast.save_model(forecast.fit(series(spark, 50.0)), path)
+    assert forecast.load_model(spark, path).first().slope == pytest.approx(5.0)
+    assert forecast.load_forecast(spark, path).where("actual is null").count() == 3
+    assert forecast.load_accuracy(spark, path).count() == 1
+    forecast.save_model(forecast.fit(series(spark, 50.0)), path)
+    assert forecast.load_model(spark, path).first().slope == pytest.approx(50.0)
+
+
+def test_a_killed_save_leaves_the_old_classifier(spark, tmp_path):
+    path = str(tmp_path)
+    rows = spark.createDataFrame([(f"C{i}", i % 2, i) for i in range(60)], "customer_id string, churned bigint, tenure_days bigint")
+    model = churn.train(rows)
+    model.save(spark, path)
+    broken = churn.ChurnModel(model.pipeline, "logistic", model.feature_names, {"auc": "not a number"})
+    with pytest.raises(Exception):
+        broken.save(spark, path)  # the pipeline is written already
+    assert churn.ChurnModel.load(spark, path).metrics == model.metrics
+
+
+def test_old_versions_go(spark, tmp_path):
+    path = str(tmp_path)
+    with pytest.raises(FileNotFoundError):
+        versions.latest_version(spark, path)
+    for n in range(5):
+        with versions.new_version(spark, path) as folder:
+            spark.range(n).write.parquet(f"{folder}/t")
+    assert len(list((tmp_path / "versions").glob("[!.]*"))) == versions.KEPT
+    assert spark.read.parquet(f"{versions.latest_version(spark, path)}/t").count() == 4
