@@ -8,17 +8,27 @@ row per series and month, and series are processed in parallel.
 
 from __future__ import annotations
 
+from pyspark.ml.linalg import SparseVector, VectorUDT
+from pyspark.ml.regression import LinearRegression
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerpulse.functions.dates import month_number
 from ledgerpulse.functions.numbers import half_even
+from ledgerpulse.session import stage
 from ledgerpulse.sources.versions import latest_version, new_version
 
 HORIZON_MONTHS = 3
 # Fixed value: 80 % interval of a normal distribution.
 INTERVAL = 1.2816
 MODES = ("multiplicative", "additive")
+# Part of the history in which the trend may bend, and the scale of the prior of a bend.
+BEND_RANGE = 0.8
+BEND_SCALE = 0.05
+#: Series whose bends are fitted in one regression; the driver holds their coefficients.
+SERIES_AT_ONCE = 10_000
+#: Coefficients up to which a regression is solved from normal equations.
+GATHERED = 1000
 
 
 def prepare_series(series: DataFrame, value: str = "MRR", by: tuple[str, ...] = ()) -> DataFrame:
@@ -34,6 +44,7 @@ def fit(
     by: tuple[str, ...] = (),
     mode: str = "multiplicative",
     yearly: bool = True,
+    bends: int = 0,
 ) -> DataFrame:
     """One model row per series.
 
@@ -41,11 +52,16 @@ def fit(
     calendar month is the mean ratio to (or difference from) the trend, drawn
     towards no effect by the share 1/n of its n observations: a month seen once
     tells nothing about the year, and every further one tells more.
+
+    With ``bends`` the trend may change its slope at that many places, evenly
+    spread over the first BEND_RANGE of the history: see ``_bent``. It runs jobs
+    then, so ``series`` should be stored.
     """
     if mode not in MODES:
         raise ValueError(f"unknown mode {mode!r} (expected one of {', '.join(MODES)})")
     whole, same_month = Window.partitionBy(*by), Window.partitionBy(*by, "month")
     y, t = F.col("y"), F.col("t")
+    neutral = _neutral(mode)
     points = (
         series.select(*by, F.col("date").cast("date").alias("ds"), F.col(value).cast("double").alias("y"))
         .withColumns({"t": month_number(F.col("ds")), "month": F.month("ds")})
@@ -53,22 +69,29 @@ def fit(
             {
                 "slope": F.coalesce(F.regr_slope(y, t).over(whole), F.lit(0.0)),
                 "intercept": F.coalesce(F.regr_intercept(y, t).over(whole), F.avg(y).over(whole)),
+                "bends": F.lit(None).cast(_BENDS),
             }
         )
-        .withColumn("trend", _trend(t))
-    )
-    neutral = _neutral(mode)
-    effect = F.try_divide(y, F.col("trend")) if mode == "multiplicative" else y - F.col("trend")
-    seen = F.count(effect).over(same_month)
-    drawn = neutral + (F.avg(effect).over(same_month) - neutral) * F.try_divide(seen - 1, seen)
-    fitted = points.withColumn("effect", F.coalesce(drawn, neutral) if yearly else neutral).withColumn(
-        "residual", y - _combine(mode, F.col("trend"), F.col("effect"))
     )
+
+    def with_effect(rows: DataFrame) -> DataFrame:
+        rows = rows.withColumn("trend", _trend(t))
+        effect = F.try_divide(y, F.col("trend")) if mode == "multiplicative" else y - F.col("trend")
+        seen = F.count(effect).over(same_month)
+        drawn = neutral + (F.avg(effect).over(same_month) - neutral) * F.try_divide(seen - 1, seen)
+        return rows.withColumn("effect", F.coalesce(drawn, neutral) if yearly else neutral)
+
+    fitted = with_effect(points)
+    if bends:
+        level = F.try_divide(y, F.col("effect")) if mode == "multiplicative" else y - F.col("effect")
+        fitted = with_effect(_bent(fitted.withColumn("level", level), by, bends).drop("level", "trend", "effect"))
+    fitted = fitted.withColumn("residual", y - _combine(mode, F.col("trend"), F.col("effect")))
     return (
         fitted.groupBy(*by)
         .agg(
             F.max("slope").alias("slope"),
             F.max("intercept").alias("intercept"),
+            F.first("bends", ignorenulls=True).alias("bends"),
             F.map_from_entries(F.array_sort(F.collect_set(F.struct("month", "effect")))).alias("effects"),
             F.coalesce(F.stddev_samp("residual"), F.lit(0.0)).alias("spread"),
             F.count(y).alias("months"),
@@ -83,6 +106,86 @@ def fit(
     )
 
 
+def _bent(points: DataFrame, by: tuple[str, ...], bends: int) -> DataFrame:
+    """``points`` with the slope, intercept and bends of a trend that may change its slope.
+
+    The changes are the coefficients of hinges max(0, t - place) in one elastic-net regression over all series, in which
+    every series has features of its own. Its penalty is that of a Laplace prior of BEND_SCALE on the change, history and
+    values of a series being scaled to 1, against the variance of its scatter, which the second differences tell whatever the
+    trend; so a series that is straight keeps its line, and one that bends less than it scatters hardly bends. Line and level are not penalised: what they explain is taken out of the
+    values and the hinges before, and the line is fitted again to what the bends leave.
+    """
+    columns = points.columns
+    if not by:
+        points, by = points.withColumn("_all", F.lit(1)), ("_all",)
+    whole = Window.partitionBy(*by)
+    t, x, places = F.col("t"), F.col("_x"), [BEND_RANGE * k / (bends + 1) for k in range(1, bends + 1)]
+    first, last = F.min(t).over(whole), F.max(t).over(whole)
+    scaled = points.withColumns({"_first": first, "_width": last - first, "_size": F.max(F.abs("level")).over(whole), "_n": F.count("level").over(whole)})
+    scaled = scaled.withColumns({"_x": F.try_divide(t - F.col("_first"), F.col("_width")), "_v": F.try_divide("level", F.col("_size"))})
+    hinges = {f"_h{k}": F.greatest(x - place, F.lit(0.0)) for k, place in enumerate(places)}
+    scaled = scaled.withColumns(hinges)
+
+    def left(name: str) -> Column:
+        value = F.col(name)
+        line = F.coalesce(F.regr_slope(value, x).over(whole), F.lit(0.0)) * x + F.coalesce(F.regr_intercept(value, x).over(whole), F.avg(value).over(whole))
+        return value - line
+
+    parts = scaled.where(F.col("_v").isNotNull() & x.isNotNull()).withColumns({name: left(name) for name in ["_v", *hinges]})
+    # a penalty of its own for each series: its hinges are divided by it
+    ahead = whole.orderBy("t")
+    second = F.col("_v") - 2 * F.lag("_v").over(ahead) + F.lag("_v", 2).over(ahead)
+    parts = parts.withColumn("_second", second)
+    # independent scatter of variance s has second differences of variance 6 s
+    parts = parts.withColumn("_penalty", F.try_divide(F.avg(F.col("_second") * F.col("_second")).over(whole), F.col("_n") * 6 * BEND_SCALE))
+    # a series on its line but for rounding has nothing to bend
+    rows = stage(parts.where(F.col("_penalty") > 1e-18).select(*by, "_n", "_penalty", "_v", F.array(*hinges).alias("_hinges")), "hinges")
+    series = stage(rows.select(*by).distinct().withColumn("_series", F.monotonically_increasing_id()), "series")
+    found = None
+    for chunk in range(-(-series.count() // SERIES_AT_ONCE)):
+        part = series.withColumn("_nr", F.row_number().over(Window.orderBy("_series")) - 1).where(F.floor(F.col("_nr") / SERIES_AT_ONCE) == chunk)
+        part = part.withColumn("_nr", F.col("_nr") % SERIES_AT_ONCE)
+        changes = _changes(rows, part, by, bends)
+        found = changes if found is None else found.unionByName(changes)
+    if found is None:
+        return points.select(*columns)
+    joined = scaled.join(found, [scaled[c].eqNullSafe(found[c]) for c in by], "left").select(scaled["*"], found["_changes"])
+    # back in months and values
+    unit = F.try_divide("_size", "_width")
+    made = F.transform(
+        F.arrays_zip(F.array(*[F.lit(p) for p in places]).alias("at"), F.col("_changes").alias("change")),
+        lambda b: F.struct((F.col("_first") + b["at"] * F.col("_width")).alias("at"), (b["change"] * unit).alias("change")),
+    )
+    bent = joined.withColumn("bends", F.filter(made, lambda b: b["change"] != 0).cast(_BENDS))
+    rest = F.col("level") - _bending(t)
+    line = {"slope": F.regr_slope(rest, t).over(whole), "intercept": F.regr_intercept(rest, t).over(whole)}
+    moved = F.coalesce(F.size("bends") > 0, F.lit(False))
+    bent = bent.withColumns({c: F.when(moved, v).otherwise(F.col(c)) for c, v in line.items()})
+    return bent.select(*columns)
+
+
+def _changes(rows: DataFrame, series: DataFrame, by: tuple[str, ...], bends: int) -> DataFrame:
+    """The scaled changes of slope of the numbered series."""
+    spark, n = rows.sparkSession, series.count()
+    keyed = rows.join(series, [rows[c].eqNullSafe(series[c]) for c in by])
+
+    @F.udf(VectorUDT())
+    def block(nr, penalty, hinges):
+        return SparseVector(n * bends, range(nr * bends, (nr + 1) * bends), [h / penalty for h in hinges])
+
+    examples = keyed.select(block("_nr", "_penalty", "_hinges").alias("features"), F.col("_v").alias("label"), F.try_divide(F.lit(1.0), F.col("_n")).alias("weight"))
+    # few coefficients: one pass gathers the normal equations; many: a pass for each step
+    solver, steps, tolerance = ("normal", 10_000, 1e-13) if n * bends <= GATHERED else ("l-bfgs", 500, 1e-8)
+    regression = LinearRegression(
+        weightCol="weight", regParam=1.0 / n, elasticNetParam=1.0, fitIntercept=False, standardization=False, solver=solver, maxIter=steps, tol=tolerance
+    )
+    fitted = regression.fit(examples).coefficients.toArray().reshape(n, bends)
+    table = spark.createDataFrame([(nr, [float(c) for c in row]) for nr, row in enumerate(fitted)], "_nr bigint, _scaled array<double>")
+    penalties = keyed.groupBy("_nr").agg(F.max("_penalty").alias("_penalty"))
+    changes = series.join(table, "_nr").join(penalties, "_nr")
+    return changes.select(*by, F.transform("_scaled", lambda c: F.try_divide(c, F.col("_penalty"))).alias("_changes"))
+
+
 def coefficients(model: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """The effect of each calendar month in long form, beside the trend line."""
     return model.select(*by, "slope", "intercept", "spread", F.explode("effects").alias("month", "effect"))
@@ -107,7 +210,7 @@ def predict(model: DataFrame, periods: int = HORIZON_MONTHS, by: tuple[str, ...]
         _combine("multiplicative", _trend(month_number(F.col("date"))), F.coalesce(effect, F.lit(1.0))),
     ).otherwise(_combine("additive", _trend(month_number(F.col("date"))), F.coalesce(effect, F.lit(0.0))))
     away = month_number(F.col("date")) - F.col("centre")
-    leverage = F.lit(1.0) / F.col("months") + F.coalesce(F.try_divide(away * away, F.col("extent")), F.lit(0.0))
+    leverage = F.try_divide(F.lit(1.0), F.col("months")) + F.coalesce(F.try_divide(away * away, F.col("extent")), F.lit(0.0))
     margin = F.col("spread") * INTERVAL * F.sqrt(1 + leverage)
     return dated.withColumn("predicted", value).select(
         *by,
@@ -161,10 +264,10 @@ def expected_mrr(forecast: DataFrame) -> DataFrame:
 
 
 def train_and_forecast(
-    series: DataFrame, months: int = HORIZON_MONTHS, path: str | None = None, by: tuple[str, ...] = ()
+    series: DataFrame, months: int = HORIZON_MONTHS, path: str | None = None, by: tuple[str, ...] = (), bends: int = 0
 ):
     """Fit, predict and measure; returns the model, the future rows and the accuracy."""
-    model = fit(series, by=by)
+    model = fit(series, by=by, bends=bends)
     if path:
         model = save_model(model, path, months, by)
     forecast = predict(model, months, by)
@@ -196,8 +299,18 @@ def load_accuracy(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(f"{latest_version(spark, path)}/accuracy")
 
 
+_BENDS = "array<struct<at: double, change: double>>"
+
+
+def _bending(t: Column) -> Column:
+    """What the bends add to the line."""
+    none = F.lit(0.0)
+    added = F.aggregate("bends", none, lambda total, b: total + b["change"] * F.greatest(t - b["at"], none))
+    return F.coalesce(added, none)
+
+
 def _trend(t: Column) -> Column:
-    return F.col("slope") * t + F.col("intercept")
+    return F.col("slope") * t + F.col("intercept") + _bending(t)
 
 
 def _neutral(mode: str) -> Column:

@@ -11,6 +11,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ledgerpulse.functions.dates import month_number
 from ledgerpulse.operators import churn, cleaning, cohorts, features, forecast, quality, reporting, revenue, scores, splits
 from ledgerpulse.operators.cleaning import clean, duplicate_counts, validation_report
 from ledgerpulse.operators.merge import merge_datasets, transaction_summary
@@ -24,6 +25,8 @@ QUERIES: dict[str, Query] = {}
 
 # Days of inactivity at which the recency score reaches one half.
 RECENCY_HALF = 30
+# Places at which a trend may bend.
+BENDS = 12
 
 
 def query(function: Query) -> Query:
@@ -571,6 +574,24 @@ def forecast_by_segment(spark, directory):
     return forecast.future_forecast(forecast.predict(model, by=by), by=by)
 
 
+@query
+def forecast_bending_by_segment(spark, directory):
+    """The future months of a trend that may bend, per segment."""
+    by = ("segment",)
+    model = forecast.fit(stage(mrr_by_month_and_segment(spark, directory), "series"), by=by, bends=BENDS)
+    return forecast.future_forecast(forecast.predict(model, by=by), by=by)
+
+
+@query
+def forecast_bends_of_lines(spark, directory):
+    """Straight series of every segment's months, fitted with bends: they keep the line of least squares."""
+    by = ("segment",)
+    months = month_number(F.col("date"))
+    lines = mrr_by_month_and_segment(spark, directory).withColumn("MRR", months * F.length("segment") * 10.0 + 5000.0)
+    model = forecast.fit(stage(lines, "series"), by=by, bends=BENDS)
+    return model.select("segment", F.round("slope", 6).alias("slope"), F.round("intercept", 3).alias("intercept"), F.coalesce(F.size("bends"), F.lit(0)).alias("n_bends"))
+
+
 @query
 def forecast_accuracy(spark, directory):
     return forecast.accuracy(forecast.predict(forecast.fit(_mrr(spark, directory))))

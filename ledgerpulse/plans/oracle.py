@@ -589,6 +589,12 @@ JOIN ({MEASURES.replace("SELECT", "SELECT segment,", 1)} GROUP BY segment) USING
         "SELECT summary.* FROM summary JOIN line USING (segment) WHERE date > last_date",
         CUSTOMERS, SUBSCRIPTIONS, SEGMENT_MRR, _model(source="segment_mrr", by="segment"),
     ),
+    "forecast_bends_of_lines": _sql(
+        """SELECT segment, round(regr_slope(v, t), 6) AS slope, round(regr_intercept(v, t), 3) AS intercept, CAST(0 AS INTEGER) AS n_bends
+FROM (SELECT segment, year(date) * 12 + month(date) - 1 AS t, (year(date) * 12 + month(date) - 1) * len(segment) * 10 + 5000 AS v FROM segment_mrr)
+GROUP BY segment""",
+        CUSTOMERS, SUBSCRIPTIONS, SEGMENT_MRR,
+    ),
     "forecast_accuracy": _sql(MEASURES, *FORECAST),
     "forecast_csv_export": _sql("SELECT * FROM summary", *FORECAST),
     "forecast_mrr": _sql(f"SELECT {EXPECTED} AS forecast_mrr", *FORECAST),

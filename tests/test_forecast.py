@@ -173,3 +173,88 @@ def test_chart_has_a_row_per_value(seasonal):
     summary = forecast.forecast_summary(forecast.predict(forecast.fit(seasonal)))
     lines = {r.line: r["count"] for r in reporting.chart_data(summary).groupBy("line").count().collect()}
     assert lines == {"Actual MRR": 48, "Predicted MRR": 51, "Upper Bound": 51, "Lower Bound": 51}
+
+
+def test_bounds_widen_with_the_horizon(spark):
+    rows = [(dt.date(2022 + m // 12, m % 12 + 1, 1), 100.0 + 3 * m + (7 if m % 5 == 0 else -2)) for m in range(24)]
+    series = spark.createDataFrame(rows, "date date, MRR double")
+    model = forecast.fit(series, mode="additive", yearly=False)
+    predicted = forecast.predict(model, 12).orderBy("date").collect()
+    widths = [r.upper_bound - r.lower_bound for r in predicted]
+    assert all(a < b for a, b in zip(widths[24:], widths[25:]))  # the future
+    assert min(range(24), key=widths.__getitem__) in (11, 12)  # narrowest in the middle of the history
+    # the textbook's prediction interval of a straight line
+    spread, n = model.first().spread, 24
+    for step, row in enumerate(predicted[24:]):
+        leverage = 1 / n + (24 + step - 11.5) ** 2 / sum((t - 11.5) ** 2 for t in range(n))
+        assert (row.upper_bound - row.predicted) == pytest.approx(1.2816 * spread * (1 + leverage) ** 0.5)
+
+
+def test_bounds_of_a_single_month(spark):
+    series = spark.createDataFrame([(dt.date(2024, 1, 1), 5.0)], "date date, MRR double")
+    rows = forecast.predict(forecast.fit(series)).collect()
+    assert all(r.lower_bound == r.predicted == r.upper_bound for r in rows)
+
+
+def kinked(spark, noise=0.0, seasonal=False):
+    """Three series: one that flattens after its second year, one that turns, and a straight one; four years each."""
+    rows = []
+    for key, change in (("flat", -20.0), ("turn", -45.0), ("straight", 0.0)):
+        for i, d in enumerate(months(48)):
+            level = 1000.0 + 20 * i + change * max(0, i - 24)
+            wave = 1 + 0.05 * math.sin(2 * math.pi * d.month / 12) if seasonal else 1.0
+            rows.append((key, d, level * wave + noise * math.sin(7.0 * i * i)))
+    return spark.createDataFrame(rows, "k string, date date, MRR double")
+
+
+def truth(key, i):
+    return 1000.0 + 20 * i + {"flat": -20.0, "turn": -45.0, "straight": 0.0}[key] * max(0, i - 24)
+
+
+@pytest.mark.parametrize("noise, seasonal, off", [(0.0, False, 0.02), (10.0, False, 0.04), (0.0, True, 0.12)])
+def test_a_kinked_trend_is_followed(spark, noise, seasonal, off):
+    data = kinked(spark, noise, seasonal)
+
+    def errors(bends):
+        model = forecast.fit(data, by=("k",), bends=bends)
+        future = forecast.predict(model, 6, by=("k",)).where("actual is null").orderBy("k", "date").collect()
+        worst = {}
+        for key in ("flat", "turn", "straight"):
+            for step, row in enumerate([r for r in future if r.k == key]):
+                wave = 1 + 0.05 * math.sin(2 * math.pi * row.date.month / 12) if seasonal else 1.0
+                value = truth(key, 48 + step) * wave
+                worst[key] = max(worst.get(key, 0), abs(row.predicted - value) / value)
+        return worst
+
+    straight, bent = errors(0), errors(12)
+    for key in ("flat", "turn"):
+        assert bent[key] < off and bent[key] < straight[key] / 2, (key, bent, straight)
+    assert bent["straight"] < max(off, 1.01 * straight["straight"])
+
+
+def test_a_straight_series_keeps_its_line(spark):
+    data = kinked(spark).where("k = 'straight'")
+    line, bent = forecast.fit(data).first(), forecast.fit(data, bends=12).first()
+    assert (line.slope, line.intercept) == (bent.slope, bent.intercept) and not bent.bends
+    noisy = kinked(spark, noise=60.0).where("k = 'straight'")
+    line, bent = forecast.fit(noisy, yearly=False).first(), forecast.fit(noisy, yearly=False, bends=12).first()
+    assert bent.slope == pytest.approx(line.slope, rel=0.05)
+
+
+def test_bends_of_short_and_empty_series(spark):
+    rows = [("one", dt.date(2024, 1, 1), 5.0), ("two", dt.date(2024, 1, 1), 5.0), ("two", dt.date(2024, 2, 1), 6.0), (None, dt.date(2024, 2, 1), None)]
+    data = spark.createDataFrame(rows, "k string, date date, MRR double")
+    found = {r.k: r.predicted for r in forecast.predict(forecast.fit(data, by=("k",), bends=5), 1, ("k",)).where("actual is null").collect()}
+    assert found["one"] == 5.0 and found["two"] == pytest.approx(7.0)
+    assert forecast.fit(data.limit(0), by=("k",), bends=5).collect() == []
+
+
+def test_bends_of_one_series_equal_those_fitted_together(spark, monkeypatch):
+    data = kinked(spark, noise=10.0)
+    together = {r.k: r.bends for r in forecast.fit(data, by=("k",), bends=6).collect()}
+    monkeypatch.setattr(forecast, "SERIES_AT_ONCE", 1)
+    for r in forecast.fit(data, by=("k",), bends=6).collect():
+        one = {round(b.at, 6): b.change for b in r.bends or []}
+        both = {round(b.at, 6): b.change for b in together[r.k] or []}
+        for place in one.keys() | both.keys():
+            assert one.get(place, 0) == pytest.approx(both.get(place, 0), abs=0.05)

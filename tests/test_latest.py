@@ -1,0 +1,71 @@
+"""The latest record per customer: brute force on untidy rows, and what the plan sorts."""
+
+import datetime as dt
+import random
+import re
+
+from ledgerpulse.operators.features import latest_record
+
+SCHEMA = "subscription_id string, customer_id string, period_end timestamp_ntz, revenue double, plan string, active boolean"
+NAMES = [c.split(" ")[0] for c in SCHEMA.split(", ")]
+
+
+def brute(rows):
+    out = {}
+    for customer in {r[1] for r in rows if r[1] is not None}:
+        own = [r for r in rows if r[1] == customer]
+        record = []
+        for c, name in enumerate(NAMES):
+            if name == "customer_id":
+                continue
+            known = [r for r in own if r[c] is not None]
+            # a missing end is the last one; a missing id comes before the others
+            order = lambda r: (r[2] is None, r[2] or dt.datetime.min, r[0] is not None, r[0] or "", r[c])
+            record.append(max(known, key=order)[c] if known else None)
+        out[customer] = tuple(record)
+    return out
+
+
+def result(df):
+    return {r.customer_id: tuple(r[c] for c in NAMES if c != "customer_id") for r in latest_record(df).collect()}
+
+
+def untidy(n, customers, seed):
+    rng = random.Random(seed)
+    maybe = lambda value: None if rng.random() < 0.3 else value
+    return [
+        (
+            maybe(f"S{rng.randrange(50)}"),
+            rng.choice(customers),
+            maybe(dt.datetime(2024, 1, rng.randrange(1, 9))),
+            maybe(float(rng.randrange(5))),
+            maybe(rng.choice(["basic", "pro"])),
+            maybe(rng.random() < 0.5),
+        )
+        for _ in range(n)
+    ]
+
+
+def test_against_brute_force(spark):
+    rows = untidy(600, [f"C{i}" for i in range(80)] + [None], 1) + [("S1", "empty", None, None, None, None), (None, "nothing", None, None, None, None)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    assert result(df) == brute(rows)
+    assert result(df.limit(0)) == {}
+
+
+def test_customer_with_nearly_all_periods(spark):
+    rows = untidy(20_000, ["hot"] * 50 + ["C1", "C2"], 2)
+    rows += [(f"T{i}", "hot", dt.datetime(2030, 1, 1), None, None, None) for i in range(3000)]  # ties at the last end
+    assert result(spark.createDataFrame(rows, SCHEMA).repartition(16)) == brute(rows)
+
+
+def test_only_periods_at_a_last_end_are_sorted(spark):
+    df = spark.createDataFrame(untidy(100, ["C1", "C2"], 3), SCHEMA)
+    plan = latest_record(df)._jdf.queryExecution().sparkPlan().toString()
+    lines = plan.splitlines()
+    depth = {i: len(re.match(r"[\s:+-]*", line)[0]) for i, line in enumerate(lines)}
+    join = next(i for i, line in enumerate(lines) if "ShuffledHashJoin" in line)
+    sorting = [i for i, line in enumerate(lines) if "SortAggregate" in line]
+    assert sorting and all(i < join and depth[i] < depth[join] for i in sorting)
+    # below the join all aggregates have buffers of fixed width, and nothing is sorted
+    assert any("HashAggregate" in line for line in lines[join:]) and not any(re.search("SortMergeJoin", line) for line in lines)
