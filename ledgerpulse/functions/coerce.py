@@ -55,17 +55,25 @@ _NAMED = (
 NUMBER = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$|^\s*[+-]?(?i:inf|infinity)\s*$"
 
 
+def _let(value: Column, use) -> Column:
+    """``use`` of a value that is computed once; kept out of generated code, which the patterns of dates would burst."""
+    return F.transform(F.array(value), use)[0]
+
+
 def _rewritten(text: Column, patterns) -> Column:
     for pattern, replacement in patterns:
         text = F.regexp_replace(text, pattern, replacement)
     return text
 
 
-def _read(iso: Column, text: Column) -> Column:
+def _read(iso: Column) -> Column:
     """Rewritten text to a time, a 12-hour clock by the pattern for it."""
-    whole = _rewritten(iso, _CENTURY)
-    half_day = F.try_to_timestamp(F.upper(whole), F.lit("yyyy-M-d h:mm[:ss]a")).cast("timestamp_ntz")
-    return F.when(text.rlike("[AaPp][Mm]$"), half_day).otherwise(whole.try_cast("timestamp_ntz"))
+
+    def time(whole: Column) -> Column:
+        half_day = F.try_to_timestamp(F.upper(whole), F.lit("yyyy-M-d h:mm[:ss]a")).cast("timestamp_ntz")
+        return F.when(whole.rlike("[AaPp][Mm]$"), half_day).otherwise(whole.try_cast("timestamp_ntz"))
+
+    return _let(_rewritten(iso, _CENTURY), time)
 
 
 def _read_named(text: Column) -> Column:
@@ -75,43 +83,46 @@ def _read_named(text: Column) -> Column:
         month = F.element_at(numbers, F.lower(F.substring(F.regexp_extract(text, pattern, name), 1, 3)))
         iso = F.concat(F.regexp_replace(text, pattern, "@$3-"), month, F.regexp_replace(text, pattern, f"-${day} $4$5"))
         found = F.when(text.rlike(pattern), iso).otherwise(found)
-    return _read(found, text)
+    return _read(found)
 
 
-def to_timestamp(value: Column, order: str = MONTH_FIRST) -> Column:
+def to_timestamp(value: Column, order: str = MONTH_FIRST, is_text: bool = True) -> Column:
     """ISO text; numbers in ``order``, years in front, or month names, each perhaps with a clock. A time beyond the original's
-    range is missing, like what cannot be read."""
-    text = F.btrim(value.cast("string"), F.lit(WHITESPACE))
-    numbered = _read(_rewritten(text, (("^@", "?"), *_REWRITES[order], *_YEAR_FIRST)), text)
-    read = F.coalesce(value.try_cast("timestamp_ntz"), numbered, _read_named(text))
-    return F.when(read.between(F.lit(FIRST_TIME).cast("timestamp_ntz"), F.lit(LAST_TIME).cast("timestamp_ntz")), read)
-
-
-def date_evidence(value: Column) -> dict[str, Column]:
-    """Flags of one cell: how it can be read as a date."""
-    text = F.btrim(value.cast("string"), F.lit(WHITESPACE))
-    numbered = text.rlike(NUMBERED)
-    first, second = (F.regexp_extract(text, NUMBERED, i).try_cast("int") for i in (1, 3))
-    plain, certain = value.try_cast("timestamp_ntz").isNotNull(), to_timestamp(value, UNSURE).isNotNull()
-
-    def month(number):
-        return number.between(1, 12)
-
-    def late(number):
-        return number.between(13, 31)
-
-    either = ~plain & numbered & month(first) & month(second)
-    day_first, month_first = ~plain & numbered & late(first) & month(second), ~plain & numbered & month(first) & late(second)
-    other = ~plain & ~numbered & certain
-    return {
-        "cells": value.isNotNull(),
-        "iso": plain,
-        "only_day_first": day_first,
-        "only_month_first": month_first,
-        "either": either,
-        "other_formats": other,
-        "unread": value.isNotNull() & ~(plain | day_first | month_first | either | other),
-    }
+    range is missing, like what cannot be read. A column of times or dates needs no reading: ``is_text=False``."""
+
+    def in_range(read: Column) -> Column:
+        return F.when(read.between(F.lit(FIRST_TIME).cast("timestamp_ntz"), F.lit(LAST_TIME).cast("timestamp_ntz")), read)
+
+    def untidy(text: Column) -> Column:
+        # cheap looks at a cell spare it the patterns
+        numbered = F.when(text.rlike(r"^\d+[/.-]\d|^\d{8}$"), _read(_rewritten(text, (*_REWRITES[order], *_YEAR_FIRST))))
+        return F.coalesce(numbered, F.when(text.rlike("[A-Za-z]{3}"), _read_named(text)))
+
+    if not is_text:
+        return in_range(value.try_cast("timestamp_ntz"))
+    return _let(value.cast("string"), lambda cell: _let(F.coalesce(cell.try_cast("timestamp_ntz"), _let(_trimmed(cell), untidy)), in_range))
+
+
+def _trimmed(cell: Column) -> Column:
+    return F.btrim(cell, F.lit(WHITESPACE))
+
+
+def date_kind(value: Column) -> Column:
+    """How one cell can be read as a date: ``iso``, ``only_day_first``, ``only_month_first``, ``either``, ``other_formats`` or
+    ``unread``; null for a null."""
+
+    def kind(text: Column) -> Column:
+        other = F.when(to_timestamp(text, UNSURE).isNotNull(), "other_formats").otherwise("unread")
+        return (
+            F.when(text.isNull(), None)
+            .when(text.rlike(_REWRITES[UNSURE][0][0]), "only_day_first")
+            .when(text.rlike(_REWRITES[UNSURE][1][0]), "only_month_first")
+            .when(text.rlike(rf"^{_MONTH}([/.-]){_MONTH}\2{_YEAR}{_CLOCK}"), "either")
+            .when(text.try_cast("timestamp_ntz").isNotNull(), "iso")
+            .otherwise(other)
+        )
+
+    return _let(_trimmed(value.cast("string")), kind)
 
 
 def _number_text(value: Column) -> Column:

@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerpulse.functions.coerce import COERCIONS, DAY_FIRST, MONTH_FIRST, UNSURE, date_evidence, to_timestamp
+from ledgerpulse.functions.coerce import COERCIONS, DAY_FIRST, MONTH_FIRST, UNSURE, date_kind, to_timestamp
 from ledgerpulse.session import stage
 
 #: Repeated row hashes (8 bytes each) that are broadcast; with more, most rows would travel anyway.
@@ -60,18 +60,20 @@ def date_votes(df: DataFrame, schema: dict[str, str]) -> DataFrame:
     columns = [c for c, kind in df.dtypes if schema.get(c) == "datetime" and kind == "string"]
     if not columns:
         return df.sparkSession.createDataFrame([], _VOTES)
-    flags = {c: date_evidence(F.col(f"`{c}`")) for c in columns}
-    counted = df.agg(*[F.struct(*[F.count_if(flag).alias(n) for n, flag in flags[c].items()]).alias(c) for c in columns])
-    rows = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(f"`{c}`.*")) for c in columns])
+    # a row for each cell, so that every cell is looked at once, and all but one row a task and kind stay in the task
+    cells = df.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column_name"), date_kind(F.col(f"`{c}`")).alias("kind")) for c in columns])))
+    counted = cells.groupBy("column_name", "kind").agg(F.count("kind").alias("n"))
+    of_kind = [F.coalesce(F.sum(F.when(F.col("kind") == k, F.col("n"))), F.lit(0)).alias(k) for k in DATE_KINDS]
+    # columns of an empty table have a vote too
+    none = df.sparkSession.createDataFrame([(c, None, 0) for c in columns], "column_name string, kind string, n bigint")
+    votes = counted.unionByName(none).groupBy("column_name").agg(F.sum("n").alias("cells"), *of_kind)
     day, month = F.col("only_day_first") > 0, F.col("only_month_first") > 0
     order = F.when(day & month, UNSURE).when(day, DAY_FIRST).otherwise(MONTH_FIRST)
-    return counted.select(F.inline(rows)).withColumn("date_order", order)
+    return votes.withColumn("date_order", order)
 
 
-_VOTES = (
-    "column_name string, cells bigint, iso bigint, only_day_first bigint, only_month_first bigint, either bigint, "
-    "other_formats bigint, unread bigint, date_order string"
-)
+DATE_KINDS = ("iso", "only_day_first", "only_month_first", "either", "other_formats", "unread")
+_VOTES = "column_name string, cells bigint, " + ", ".join(f"{k} bigint" for k in DATE_KINDS) + ", date_order string"
 
 
 def date_orders(df: DataFrame, schema: dict[str, str]) -> dict[str, str]:
@@ -82,11 +84,11 @@ def date_orders(df: DataFrame, schema: dict[str, str]) -> dict[str, str]:
 def coerce_types(df: DataFrame, schema: dict[str, str], dates: dict[str, str] | None = None) -> DataFrame:
     """One projection over all declared columns; undeclared ones pass through. ``dates`` has the order of date columns that
     do not put the month first."""
-    dates = dates or {}
+    dates, texts = dates or {}, {c for c, kind in df.dtypes if kind == "string"}
 
     def typed(name: str):
         if schema[name] == "datetime":
-            return to_timestamp(F.col(f"`{name}`"), dates.get(name, MONTH_FIRST))
+            return to_timestamp(F.col(f"`{name}`"), dates.get(name, MONTH_FIRST), name in texts)
         return COERCIONS[schema[name]](F.col(f"`{name}`"))
 
     return df.select(*[typed(c).alias(c) if c in schema else F.col(f"`{c}`") for c in df.columns])

@@ -90,5 +90,5 @@ def test_day_first_column_is_loaded(spark, tmp_path):
 def test_one_job_counts_all_columns(spark):
     df = spark.createDataFrame([("31/12/2024", "12/31/2024")], "a string, b string")
     plan = date_votes(df, {"a": "datetime", "b": "datetime"})._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("Exchange") == 1
+    assert plan.count("Scan") <= 2 and "partial_count(kind" in plan
     assert clean(df, {"a": "datetime", "b": "datetime"}, {"a": "day_first"}).first() == (D(2024, 12, 31),) * 2
