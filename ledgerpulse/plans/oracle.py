@@ -242,8 +242,8 @@ newton AS (
         FROM (SELECT step, b0, b1, x, y, w, n, 1 / (1 + exp(-(b0 + b1 * x))) AS p FROM newton, train WHERE step < 25)
         GROUP BY step, b0, b1, n))"""
 
-ONE_INPUT_SCORES = """SELECT customer_id, round(p, 6) AS churn_probability, monthly_price AS current_revenue,
-       round(tenure_months, 6) AS tenure_months, active, round(p * monthly_price, 3) AS risk_score
+ONE_INPUT_SCORES = """SELECT customer_id, round(p, 4) AS churn_probability, monthly_price AS current_revenue,
+       round(tenure_months, 6) AS tenure_months, active, round(p * monthly_price, 1) AS risk_score
 FROM (SELECT *, 1 / (1 + exp(-(b0 + b1 * (tenure_days - centre) / width))) AS p
       FROM features, scale, (SELECT b0, b1 FROM newton ORDER BY step DESC LIMIT 1))"""
 
