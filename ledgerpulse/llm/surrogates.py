@@ -46,7 +46,14 @@ TITLES = {
     "Sra": "f", "Señorita": "f", "Doña": "f", "Dr": "x", "Prof": "x", "Господин": "m", "Госпожа": "f", "г-н": "m", "г-жа": "f",
     "Κύριος": "m", "Κυρία": "f",
 }
-NAME = re.compile(rf"(?<!\w)({'|'.join(sorted(TITLES, key=len, reverse=True))})(\.? )([^\W\d_]+(?:[-'’][^\W\d_]+)*(?: [^\W\d_]+(?:[-'’][^\W\d_]+)*){{0,2}})")
+#: Titles that are common words in lower case; these count only with a capital.
+ALSO_WORDS = {"Miss", "Don", "Sir", "Madam"}
+#: The gender by every spelling of a title: as listed, in capitals and, unless it is a common word then, in lower case.
+GENDERS = {form: gender for title, gender in TITLES.items() for form in (title, title.upper(), title if title in ALSO_WORDS else title.lower())}
+NAME = re.compile(rf"(?<!\w)({'|'.join(sorted(GENDERS, key=len, reverse=True))})(\.? )(?=([^\W\d_]+(?:[-'’][^\W\d_]+)*(?: [^\W\d_]+(?:[-'’][^\W\d_]+)*){{0,2}}))")
+#: A word, and the sign between the words of a compound name.
+WORD = re.compile(r"\w+")
+JOINTS = "-'’"
 
 # Syllables from which names are built, by script, and endings by gender.
 SYLLABLES = {
@@ -99,8 +106,12 @@ def entities(text: str | None) -> list[tuple[int, int, str, str]]:
     The value is what mentions of one entity have in common: digits without
     punctuation, lower-cased addresses. Kinds: email, card, iban, ssn, phone,
     ip, ip6 and, after a form of address, given_m, given_f, given_x and surname; a
-    capitalised part of such a name is an entity wherever it stands in the text,
-    in any case.
+    capitalised part of such a name is an entity wherever it stands in the text
+    with a capital. In lower case it is one only if the text has it more often
+    with a capital, and not in lower case before the name is told: "brown bread"
+    stays as it is beside "Mr Brown". After a title in capitals ("MR SMITH"),
+    where any word may follow in capitals, the name is replaced there alone.
+    A null or empty text has none.
     """
     if not text:
         return []
@@ -114,22 +125,7 @@ def entities(text: str | None) -> list[tuple[int, int, str, str]]:
         found += [(*m.span(), "phone", _plain(m[0])) for m in PHONE.finditer(text) if 7 <= len(_plain(m[0])) <= 15]
         found += [(*m.span(), "ip", m[0]) for m in IPV4.finditer(text)]
         found += [(*m.span(), "ip6", value) for m in IPV6.finditer(text) if (value := _ipv6(m[0]))]
-    parts: dict[str, str] = {}
-    for m in NAME.finditer(text):
-        gender, name = TITLES[m[1]], []
-        for part in m[3].split(" "):
-            if not part[0].isupper() or len(part) < 2:
-                break
-            name.append(part)
-        for k, part in enumerate(name):
-            parts.setdefault(part.lower(), "surname" if k == len(name) - 1 else f"given_{gender}")
-    if parts:
-        names = "|".join(sorted(map(re.escape, parts), key=len, reverse=True))
-        for m in re.finditer(rf"(?<!\w)(?:{names})(?!\w)", text, re.IGNORECASE):
-            part = m[0].lower()
-            if part not in parts:  # a letter that has several lower-case forms
-                part = next(p for p in parts if re.fullmatch(re.escape(p), m[0], re.IGNORECASE))
-            found.append((*m.span(), parts[part], part))
+    found += _names(text)
     out: list[tuple[int, int, str, str]] = []
     for e in sorted(found, key=lambda e: (e[0], -e[1])):
         if not out or e[0] >= out[-1][1]:
@@ -137,6 +133,62 @@ def entities(text: str | None) -> list[tuple[int, int, str, str]]:
     return out
 
 
+def _names(text: str) -> list[tuple[int, int, str, str]]:
+    """The names told by titles and their other mentions, by one pass over the words of the text."""
+    found, parts, told, sizes = [], {}, {}, set()
+    for m in NAME.finditer(text):
+        at, name = m.start(3), []
+        for part in m[3].split(" "):
+            if not part[0].isupper() or len(part) < 2 or name and part in GENDERS:
+                break
+            name.append((at, part))
+            at += len(part) + 1
+        for k, (at, part) in enumerate(name):
+            kind = "surname" if k == len(name) - 1 else f"given_{GENDERS[m[1]]}"
+            if len(m[1]) > 1 and m[1].isupper():
+                found.append((at, at + len(part), kind, part.lower()))
+            else:
+                # letters with several lower-case forms meet in the folded text
+                folded = part.casefold()
+                parts.setdefault(folded, (kind, part.lower()))
+                told.setdefault(folded, at)
+                sizes.add(len(WORD.findall(part)))
+    if not parts:
+        return found
+    mentions: dict[str, list[tuple[int, int]]] = {}
+    lowers: dict[str, list[tuple[int, int]]] = {}
+    longest = max(sizes)
+    run: list[tuple[int, int]] = []
+
+    def close() -> None:
+        # a run of words joined by signs: at each word the longest name that starts there
+        i = 0
+        while i < len(run):
+            step = 1
+            for size in sorted(sizes, reverse=True) if longest > 1 else (1,):
+                if i + size <= len(run):
+                    start, stop = run[i][0], run[i + size - 1][1]
+                    folded = text[start:stop].casefold()
+                    if folded in parts:
+                        (mentions if text[start].isupper() else lowers).setdefault(folded, []).append((start, stop))
+                        step = size
+                        break
+            i += step
+        run.clear()
+
+    for m in WORD.finditer(text):
+        if run and not (m.start() == run[-1][1] + 1 and text[run[-1][1]] in JOINTS):
+            close()
+        run.append(m.span())
+    close()
+    for folded, (kind, value) in parts.items():
+        upper, lower = mentions.get(folded, []), lowers.get(folded, [])
+        if len(lower) < len(upper) and not (lower and lower[0][0] < told[folded]):
+            upper = upper + lower
+        found += [(*span, kind, value) for span in upper]
+    return found
+
+
 class _Stream:
     """Numbers below a bound, drawn from a keyed hash of what names the draw."""
 

@@ -1,4 +1,5 @@
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -114,3 +115,30 @@ def test_a_name_is_one_entity_in_all_documents(spark, documents):
     docs = documents([(1, "Dr Anna Berg"), (2, "Frau Anna Berg"), (3, "Herr Berg Anna ANNA")])
     names = [[x.surrogate.lower() for x in r.surrogates] for r in s.replace_personal_data(docs, KEY).orderBy("doc_id").collect()]
     assert names[0] == names[1] and names[2] == [names[0][1], names[0][0], names[0][0]]
+
+
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        ("Mr Brown likes brown bread and brown rice. Brown left", [("surname", "brown")] * 2),
+        ("they will come; Ms. Will said so. Will, WILL", [("surname", "will")] * 3),
+        ("mr. Smith-Jones and herr Braun; I miss London", [("surname", "smith-jones"), ("surname", "braun")]),
+        ("MR ADAM SMITH went home. Home is far", [("given_m", "adam"), ("surname", "smith")]),
+        ("Mrs Anna-Lena Lee: Lee-Anna-Lena's", [("given_f", "anna-lena"), ("surname", "lee"), ("surname", "lee"), ("given_f", "anna-lena")]),
+        ("Herr Strauß, STRAUSS", [("surname", "strauß")] * 2),
+    ],
+)
+def test_names_and_common_words(text, want):
+    assert values(text) == want
+
+
+def test_many_names_in_one_text():
+    letters = "abcdefghijklmnopqrst"
+    word = lambda i: "".join(letters[i // 20**k % 20] for k in range(4))
+    names = [word(i).title() for i in range(80_000)]
+    text = " ".join(f"then Mr {n} spoke of the plain plans of the town and left, as {n} will;" for n in names)
+    assert len(text) > 5_000_000
+    start = time.monotonic()
+    found = s.entities(text)
+    assert len(found) == 160_000 and {v for *_, v in found} == {n.lower() for n in names}
+    assert time.monotonic() - start < 60
