@@ -23,8 +23,9 @@ KMER = 3
 BINS = 64
 #: k-mers in a tuple.
 TUPLE = 2
-#: Bits of a value that hold the place of a k-mer; the others hold its hash.
-_PLACE = 24
+#: Bits of a value that hold the place of a k-mer, enough for the longest array there is; the others hold its hash.
+#: Of two unlike k-mers with one hash the later is numbered as a repeat, in every copy of the text alike.
+_PLACE = 31
 _PLACES = (1 << _PLACE) - 1
 _HASHES = (1 << 64 - _PLACE) - 1
 #: Hexadecimal digits of a bin in a fingerprint, and what stands for an empty bin.

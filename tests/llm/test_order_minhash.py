@@ -9,6 +9,7 @@ from ledgerpulse.llm import order_minhash as o
 from ledgerpulse.llm.queries import QUERIES, table
 
 M64 = (1 << 64) - 1
+HASHES = (1 << 33) - 1  # a value holds 31 bits of the place beside it
 
 
 def chained(values):
@@ -24,12 +25,12 @@ def brute_print(text, kmer=3, bins=64, size=2):
     words = [w for w in re.split(r"[ \t\n\x0b\f\r]+", text or "") if w]
     seen, rows = {}, []
     for i in range(max(len(words) - kmer + 1, min(1, len(words)))):
-        h = chained([w.encode() for w in words[i : i + kmer]]) & (1 << 40) - 1
+        h = chained([w.encode() for w in words[i : i + kmer]]) & HASHES
         occurrence = seen[h] = seen.get(h, -1) + 1
-        rows.append((chained([struct.pack("<q", h), struct.pack("<i", occurrence)]) & (1 << 40) - 1, i))
+        rows.append((chained([struct.pack("<q", h), struct.pack("<i", occurrence)]) & HASHES, i))
     out = []
     for b in range(bins):
-        least = sorted(r for r in rows if r[0] >> 34 == b)[:size]
+        least = sorted(r for r in rows if r[0] >> 27 == b)[:size]
         digits = chained([struct.pack("<q", v) for v, _ in sorted(least, key=lambda r: r[1])]) & 0xFFFF
         out.append(f"{digits:04x}" if least else "----")
     return "".join(out)
@@ -105,3 +106,7 @@ def test_order_matters_and_likeness_follows_edits(spark, documents):
     near = {r.doc_id: r.near for r in prints.crossJoin(first).select("doc_id", o.likeness(F.col("p"), F.col("q")).alias("near")).collect()}
     assert near[1] == 1 and near[4] < 0.2 and near[3] > 0.9
     assert near[2] < 0.95 < near[3] + 0.05
+
+
+def test_places_of_the_longest_array():
+    assert o._PLACES == 2**31 - 1  # no array is longer, so that no text loses its order
