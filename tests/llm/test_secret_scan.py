@@ -1,6 +1,8 @@
 import hashlib
+import math
 import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,16 +10,26 @@ from pyspark.sql import functions as F
 from ledgerpulse.llm import secret_scan as s
 from ledgerpulse.llm.queries import QUERIES, table
 
-RUN = re.compile("[A-Za-z0-9+/_-]{12,}={0,2}")
+RUN = re.compile("[A-Za-z0-9+/_-][A-Za-z0-9+/_.-]{10,}[A-Za-z0-9+/_-]={0,2}")
+CREDENTIAL = re.compile("(?i)token|secret|passw|pwd|passphrase|api_?-?key|access_?-?key|private_?-?key|auth|credential|bearer")
+ASSIGNS = re.compile(f"(?i)({CREDENTIAL.pattern[4:]})[A-Za-z0-9_-]{{0,40}}[\"'`]?\\]?(:=|=>|[=:])")
 
 
 def brute(docs):
     """(doc_id, place, nth, value) of every candidate."""
     out = []
     for i, text in docs:
-        for place, word in enumerate(re.split(r"[ \t\n\x0b\f\r]+", text or "")):
-            if len(word) >= 12:
-                out += [(i, place, k, v) for k, v in enumerate(RUN.findall(word)) if re.search("[0-9]", v) or len(v) >= 20]
+        words = re.split(r"[ \t\n\x0b\f\r]+", text or "")
+        for place, word in enumerate(words):
+            before, earlier = ([""] * 2 + words)[place : place + 2][::-1]
+            follows = re.search("([=:]|=>)$", before) and CREDENTIAL.search(before + " " + earlier)
+            mark = None if follows else ASSIGNS.search(word)
+            head, rest = ("", word) if follows else (word[: mark.start()], word[mark.end() :]) if mark else (word, "")
+            values = [v for v in RUN.findall(head) if re.search("[0-9]", v) or len(v) >= 20]
+            quoted = re.match("([\"'`])(.+)\\1", rest)
+            rest = quoted[2] if quoted else re.sub("[\"'`,;)>}\\]]+$", "", re.sub("^[\"'`(<{\\[]+", "", rest))
+            values += [rest] if re.search("[^\"'`=:>]", rest) else []
+            out += [(i, place, k, v) for k, v in enumerate(values)]
     return sorted(out, key=str)
 
 
@@ -46,6 +58,56 @@ def test_candidates_against_brute_force(spark, documents, corpus):
     assert named["abc123def456ghi"][0] == "bb"
 
 
+def test_values_of_credentials(spark, documents):
+    jwt = "eyJhbGciOiJIUzI1NiJ9.eyJzdWIiOiIxMjM0NTY3ODkwIn0.dozjgNryP4J3jVmNHl0w5N_XgL0n3I9PlFUP0THsR8U"
+    docs = [
+        (1, 'password = "Tr0ub4dor&3" and so on'),
+        (2, "pwd: p@ss!w0rd#24, then"),
+        (3, f"Authorization: Bearer: {jwt}\nx {jwt}"),
+        (4, "the DB_PASSWORD='a' export API_KEY=x.y%z$w:v; secret: []"),
+        (5, "user=0123456789abcdef&password=pä$$&key=abc token ="),
+        (6, "the secret of the passwords was told"),
+    ]
+    rows = s.find_candidates(documents(docs)).collect()
+    found = {i: [r.value for r in sorted(rows, key=lambda r: (r.place, r.nth)) if r.doc_id == i] for i, _ in docs}
+    assert found == {
+        1: ["Tr0ub4dor&3"], 2: ["p@ss!w0rd#24"], 3: ["Bearer:", jwt, jwt], 4: ["a", "x.y%z$w:v"], 5: ["0123456789abcdef", "pä$$&key=abc"], 6: []
+    }
+    assert sorted(((r.doc_id, r.place, r.nth, r.value) for r in rows), key=str) == brute(docs)
+
+
+def test_features_against_brute_force(spark, documents, corpus):
+    entries = ["the", "word", "words", "ide", "identifier", "some", "long", "son", "ngi"]
+    docs = documents([*corpus[0][:60], (901, "pwd: p@ss!w0rd#24 token=wordsomelongidentifier.éWORDSé")])
+    frame = s.with_features(s.find_candidates(docs), spark.createDataFrame([(e,) for e in entries], "entry string"))
+
+    def kind(c):
+        return next((k for k, pattern in enumerate(("[a-z]", "[A-Z]", "[0-9]")) if re.match(pattern, c)), 3)
+
+    for r in frame.collect():
+        v, n = r.value, len(r.value)
+        steps = [(kind(a), kind(b)) for a, b in zip(v, v[1:])]
+        covered = {k for e in entries for m in re.finditer(f"(?={e})", v.lower()) for k in range(m.start(), m.start() + len(e))}
+        assert r.coverage == pytest.approx(len(covered) / n)
+        assert [r.lowers, r.uppers, r.digits, r.signs] == pytest.approx([sum(kind(c) == k for c in v) / n for k in range(4)])
+        assert r.letter_digit == pytest.approx(sum(a < 2 and b == 2 for a, b in steps) / n)
+        assert r.digit_letter == pytest.approx(sum(a == 2 and b < 2 for a, b in steps) / n)
+        assert r.same_class == pytest.approx(sum(a == b < 3 for a, b in steps) / n)
+        shares = [v.count(c) / n for c in set(v)]
+        assert r.entropy == pytest.approx(-sum(p * math.log2(p) for p in shares)) and r.distinct == len(shares) / n
+
+
+def test_long_value(spark, documents):
+    rng = random.Random(5)
+    blob = "".join(rng.choices("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/", k=1_000_000))
+    docs = documents([(1, "data: " + blob), (2, "letters " + "theword" * 60_000)])
+    start = time.monotonic()
+    frame = s.with_features(s.find_candidates(docs), spark.createDataFrame([("the",), ("word",)], "entry string"))
+    rows = {r.doc_id: r for r in frame.select("doc_id", "length", "coverage").collect()}
+    assert (rows[1].length, rows[2].length, rows[2].coverage) == (1_000_000, 420_000, 1)
+    assert time.monotonic() - start < 120
+
+
 def test_forest_on_labelled_findings(spark, documents, corpus):
     docs, labels = corpus
     labelled = spark.createDataFrame(labels + labels[:5], "doc_id bigint, place int, nth int, secret int")
@@ -61,9 +123,10 @@ def test_features(spark, documents):
     entries = spark.createDataFrame([("the",), ("words",), ("dsthe",)], "entry string")
     rows = {r.doc_id: r for r in s.with_features(s.find_candidates(docs), entries).collect()}
     one, two = rows[1], rows[2]
-    assert (one.length, one.quoted, one.credential_before, one.assigned) == (14, 1, 1, 1)
+    assert (one.length, one.quoted, one.before) == (14, 1, "=")
     assert (one.lower_upper, one.letter_digit, one.upper_lower) == (1 / 14, 1 / 14, 0)
-    assert two.coverage == 16 / 17 and one.coverage == 0 and two.credential_before == 0
+    assert two.coverage == 16 / 17 and one.coverage == 0
+    assert not {"provider", "stand_in", "credential_before", "assigned"} & set(s.NUMBERS)  # what tells the derived labels
     assert one.entropy == pytest.approx(3.807354922) and one.distinct == 1
 
 
