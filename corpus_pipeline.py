@@ -1,4 +1,7 @@
-"""The corpus pipeline: five stages, each over all that the one before it kept."""
+"""The corpus pipeline: five stages, each over all that the one before it kept.
+
+An empty table gives every stage an empty result; columns beyond those of ``documents`` pass through all but the last.
+"""
 
 from __future__ import annotations
 
@@ -15,27 +18,27 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier does not reject."""
+    """Documents that the quality classifier does not reject. A null text is empty; repeated rows are judged alike."""
     return quality.keep_good(docs, table(spark, sf_dir, "labels"))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash component, the one with the smallest doc_id."""
+    """One document of each SimHash component, the one with the smallest doc_id. A null text is empty; repeated rows count once."""
     return simhash.keep_one_of_each(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that do not hold benchmark passages beyond the contamination rule."""
+    """Documents that do not hold benchmark passages beyond the contamination rule. A null text has no words and stays; repeated rows stay."""
     return decontaminate.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, personal data replaced by surrogates and n_chars counted anew where the text has changed."""
+    """All documents, personal data replaced by surrogates and n_chars counted anew where the text has changed. A null text stays null; repeated rows stay."""
     return surrogates.with_surrogates(docs, SURROGATE_KEY)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents, packed into sequences."""
+    """The pieces of all documents, packed into sequences. A null text is empty: its end id alone; repeated rows are packed each."""
     return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
