@@ -168,7 +168,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """``docs`` without the contaminated documents, all columns as they were."""
+    """``docs`` without the contaminated documents, all columns as they were.
+
+    A null or empty text has no words and stays, repeated rows are judged alike; an empty benchmark drops nothing.
+    """
     kept, (flag,) = docs.columns, unused(docs, "contaminated_text")
     plain = docs.select("text", F.struct(*kept).alias(flag))
     return contamination(plain, benchmark, **options).where(~F.col("contaminated")).select(f"{flag}.*")

@@ -203,4 +203,5 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, slack: int = SLACK, task_p
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, **options) -> DataFrame:
+    """The pieces of ``docs``, packed. A null text is empty: one piece of the end id; repeated rows are packed each; an empty table gives none."""
     return pack(token_pieces(docs, tokenizer_path, capacity), capacity, **options)

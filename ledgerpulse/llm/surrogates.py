@@ -404,7 +404,10 @@ def _applied(text: str, spans) -> tuple[str, list[dict]]:
 
 
 def with_surrogates(docs: DataFrame, key: str) -> DataFrame:
-    """``docs`` with personal data replaced; n_chars, if there is one, is counted anew where the text has changed."""
+    """``docs`` with personal data replaced; n_chars, if there is one, is counted anew where the text has changed.
+
+    A null text stays null, repeated rows get one replacement, an empty table gives an empty one.
+    """
     replaced = replace_personal_data(docs, key)
     if "n_chars" in docs.columns:
         counted = F.when(F.size("surrogates") > 0, F.length("text")).otherwise(F.col("n_chars"))
