@@ -142,3 +142,83 @@ def test_texts_are_compared_whole():
     for i, page in enumerate(pages):
         assert read(page, [p for p in pages if p != page]) == f"{line}Then story {i}."
     assert len(json.dumps(h.page_expression("<p>" + line * 50))) < 400
+
+
+def read_all(pages):
+    return [read(page, pages[:i] + pages[i + 1 :]) for i, page in enumerate(pages)]
+
+
+def test_a_teaser_does_not_hide_the_article():
+    page = "<body><main><h1>Title {0}</h1><p>First {0} paragraph</p><p>Second</p><p>Third</p><article class=card>Read next</article></main>"
+    assert read(page.format(1)) == "Title 1\nFirst 1 paragraph\nSecond\nThird"
+    assert read_all([page.format(i) for i in range(3)]) == [f"Title {i}\nFirst {i} paragraph\nSecond\nThird" for i in range(3)]
+    # an article element with most of the text still wins, and several articles are read as they were
+    assert read("<main><p>Intro</p><article><h1>T</h1><p>A long enough text of its own</p></article></main>") == "T\nA long enough text of its own"
+
+
+def test_everyday_words_in_classes_of_the_article():
+    page = '<article><h1>News {0}</h1><p class="share-price">Shares rose {0}</p><div class="comment-on-law">Opinion {0}</div>{1}</article>'
+    aside = '<div class="share-bar"><a href=/f>F</a><a href=/t>T</a></div><div class="comments-list">First!</div><div class="ad-for-you">Buy {0}</div>'
+    want = [f"News {i}\nShares rose {i}\nOpinion {i}" for i in range(4)]
+    assert [read(page.format(i, aside.format(i))) for i in range(4)] == want
+    assert read_all([page.format(i, aside.format(i)) for i in range(4)]) == want
+    links = '<div class="related-to-this"><a href=/1>One {0}</a> <a href=/2>Two {0}</a></div>'
+    assert read_all([page.format(i, links.format(i)) for i in range(4)]) == want
+    # the same text on all pages is no text of the article where only an everyday word keeps it
+    same = '<div class="notice-to-readers">Prices may change.</div>'
+    assert read_all([page.format(i, same) for i in range(4)]) == want
+
+
+def test_menus_in_neutral_classes():
+    page = "<body><div class=x><a href=/>Home</a><a href=/s>Shop</a></div><div class=y><h1>T{0}</h1><p>Body {0}</p></div><div class=z>(c) Corp</div>"
+    for n in (2, 3, 4):
+        assert read_all([page.format(i) for i in range(n)]) == [f"T{i}\nBody {i}" for i in range(n)]
+    inside = page.replace("<body>", "<body><main>").replace("<div class=z>", "</main><div class=z>")
+    for n in (2, 4):
+        assert read_all([inside.format(i) for i in range(n)]) == [f"T{i}\nBody {i}" for i in range(n)]
+    assert read(inside.format(1)) == "HomeShop\nT1\nBody 1"  # one page tells nothing of a menu
+
+
+def test_pages_that_say_the_same():
+    assert read_all(["<body><h1>T</h1><p>Body"] * 4) == ["T\nBody"] * 4  # one page at several addresses
+    assert read_all([f"<body><div class=a><h1>Title {i}</h1><p>Body</p></div>" for i in range(4)]) == [f"Title {i}\nBody" for i in range(4)]
+    lists = [f"<body><h1>Soup {i}</h1><ul><li>Salt<li>Salt<li>Salt</ul><p>Stir {i}" for i in range(4)]
+    assert read_all(lists) == [f"Soup {i}\nSalt\nSalt\nSalt\nStir {i}" for i in range(4)]
+
+
+def test_the_wrapper_decides_against_the_words():
+    """A block that the word lists call the article is a menu, and one that they call aside is text."""
+    page = '<body><main class=content><div class="post-content"><a href=/>All</a><a href=/n>New</a></div><h1>T {0}</h1><p class="alert-level">Level {0}</p></main>'
+    assert read_all([page.format(i) for i in range(5)]) == [f"T {i}\nLevel {i}" for i in range(5)]
+
+
+def test_ids_that_differ_by_page():
+    def letters(i):
+        return "".join(chr(97 + int(d)) for d in str(i))
+
+    def page(i):
+        return (
+            f"<body><nav>Menu</nav><article id=post-{letters(i)}><h1 id=t-{letters(i)}>T {i}</h1>"
+            f"<section class='s {letters(i)}x'><h2 id=how-to-{letters(i)}>How {i}</h2><p>P {i}</p></section>"
+            f"<div class=ad id=ad-{letters(i)}>Buy</div></article><div id=foot-{letters(i)}>Corp</div>"
+        )
+
+    def wrapper(n):
+        out = h.page_expression(page(0))
+        for i in range(1, n):
+            out = h.aligned(out, h.page_expression(page(i)))
+        return out
+
+    few, many = wrapper(500), wrapper(2000)
+    assert len(json.dumps(many)) < 1.2 * len(json.dumps(few)) < 200_000
+    reader = h.Reader(h.article_places(many))
+    for i in (0, 7, 1999, 5000):
+        assert reader.text(page(i)) == f"T {i}\nHow {i}\nP {i}"
+
+
+def test_long_levels_do_not_depend_on_tasks(spark):
+    pages = [(i, "http://a.b/", f"<body><article id=p-{'ab'[i % 2] * i}><h1>T {i}</h1><p>Own {i}</p></article><p>Foot") for i in range(300)]
+    table = spark.createDataFrame(pages, "page_id bigint, url string, html string")
+    want = {i: f"T {i}\nOwn {i}" for i in range(300)}
+    for n in (1, 7):
+        assert {r.page_id: r.main_text for r in h.extract_main_text(table.repartition(n)).collect()} == want
