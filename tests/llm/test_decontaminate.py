@@ -71,3 +71,55 @@ def test_query_against_brute_force(spark, data):
     want = {r.doc_id: brute(r.text, items) for r in table(spark, data, "documents").collect()}
     assert _rows(QUERIES["op7_decontamination"](spark, data)) == want
     assert any(v[4] for v in want.values())
+
+
+def test_a_large_benchmark_is_indexed_once():
+    rng = random.Random(8)
+    vocabulary = ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 7))) for _ in range(20_000)]
+    text = lambda n: " ".join(rng.choices(vocabulary, k=n))
+    passage = text(40)  # in a third of all items
+    items = [(str(i), text(rng.randint(1, 400)) + (f" {passage} " if i % 3 == 0 else " ") + text(20)) for i in range(10_000)]
+    assert sum(len(t) for _, t in items) > 12_000_000
+    arrays = d.window_arrays(items)
+    held = sum(a.nbytes for known in arrays["windows"].values() for a in known.values() if hasattr(a, "nbytes"))
+    assert held + arrays["flat"].nbytes + arrays["codes"].nbytes + len(arrays["words"]) < 100_000_000
+    index = d.WindowIndex(arrays)
+    assert arrays["numbers"] is d.WindowIndex(arrays).arrays["numbers"]  # the next task of a worker finds it built
+    assert sum(len(known["bitmap"]) for known in arrays["windows"].values()) < 130_000_000
+    hits, found = index.scan(d.words(f"{text(50)} unseen {passage} unseen {text(30)}"))
+    assert hits == [(51, 91)] and found == {str(i) for i in range(0, 10_000, 3)}
+    assert index.scan(d.words(text(200_000)))[0] == []
+    assert index.scan(d.words(items[77][1]))[1] >= {"77"}
+
+
+def test_items_of_every_length_and_hot_windows():
+    rng = random.Random(4)
+    text = lambda n: " ".join(rng.choices("ab", k=n))
+    items = [(str(i), text(rng.randint(0, 30))) for i in range(60)] + [("x", "b " * 50), ("x", "a " * 20)]
+    index = d.WindowIndex(d.window_arrays(items))
+    for n in [0, 1, 2, 12, 13, 14, 200] * 5:
+        own = text(n)
+        hits, found = index.scan(d.words(own))
+        ids = ",".join(sorted(found))
+        want = brute(own, items)
+        assert sum(b - a for a, b in hits) == want[1] and hashlib.sha256(ids.encode()).hexdigest() == want[3]
+    assert d.WindowIndex(d.window_arrays([])).scan([b"a"]) == ([], set())
+    long = " ".join(rng.choices("abcde", k=1_000_000))
+    assert sum(b - a for a, b in index.scan(d.words(long))[0]) > 0
+
+
+def test_unlike_windows_share_no_hash(monkeypatch):
+    """Codes under which unlike windows share a hash are drawn anew."""
+    real, seeds = d.np.random.default_rng, []
+
+    class Bad:
+        def integers(self, low, high, n, dtype):
+            return d.np.ones(n, dtype=dtype)
+
+    def rng(seed):
+        seeds.append(seed)
+        return real(seed) if seed else Bad()
+
+    monkeypatch.setattr(d.np.random, "default_rng", rng)
+    index = d.WindowIndex(d.window_arrays([("1", "one"), ("2", "two")]))
+    assert seeds == [0, 1] and index.scan([b"two", b"three"]) == ([(0, 1)], {"2"})
