@@ -535,6 +535,7 @@ def extract_main_text(pages: DataFrame, wrappers: DataFrame | None = None) -> Da
     """``pages`` (url, html) with a column ``main_text``: the article's blocks in page order, one a line; empty if there is none.
 
     A null html is empty; a null or odd URL belongs to the host without a name. A column named ``main_text`` is replaced.
+    Repeated rows are read alike, and an empty table gives an empty one.
     """
     pages = pages.drop("main_text")
     wrappers = stage((infer_wrappers(pages) if wrappers is None else wrappers).select("site", "places"), "wrappers")

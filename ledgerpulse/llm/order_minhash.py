@@ -162,7 +162,8 @@ def edited_fingerprints(docs: DataFrame, kmer: int = KMER, bins: int = BINS, siz
     next document in descending order of ids; after the last comes the first. A
     null text is empty. Of several rows with the next id the one with the smallest
     digest is it. A row without an id has no next document: its last half is cut
-    off and near_next is 0.
+    off and near_next is 0. Repeated rows are each returned; an empty table gives
+    an empty one.
     """
     ring = stage(following(docs), "ring")
     filled = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))

@@ -102,7 +102,8 @@ def _groups(texts: pa.Array, size: int) -> Iterator[tuple[int, int]]:
 def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY) -> DataFrame:
     """One row per piece: the ids of each text and a closing 0, cut every ``capacity`` ids.
 
-    A null text is empty and yields the piece (0). Repeated rows yield their pieces again; a null doc_id stays null.
+    A null text is empty and yields the piece (0). Repeated rows yield their pieces again; a null doc_id stays null; an empty
+    table yields none.
     """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

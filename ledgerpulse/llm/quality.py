@@ -239,7 +239,8 @@ def score_documents(docs: DataFrame, labels: DataFrame, threshold: float = THRES
     """(doc_id, held_out, score, predicted) of each row of ``docs``.
 
     Learns from rows whose fold is not 0 and that have a quality of 0 or 1; of several labels of one id the mean rounded
-    half up counts. Without any the score is 0.5, with a single class its share. Null texts are empty.
+    half up counts. Without any the score is 0.5, with a single class its share. Null texts are empty, repeated rows have one
+    score, and an empty table gives an empty one.
     """
     rows = stage(docs.select("doc_id", fold_of(F.col("doc_id")).alias("crc"), text_statistics(F.col("text")).alias("statistics")), "statistics")
     model = _model(rows, labels)

@@ -244,7 +244,7 @@ def near_duplicate_classes(docs: DataFrame, shingle: int = SHINGLE, radius: int
     """(doc_id, fp, text_key, root) of each row of ``docs``: rows with one root are linked by fingerprints within the radius.
 
     A null text is empty; empty texts share fingerprint 0, which links like any other. Nothing is dropped: a null
-    doc_id keeps its row.
+    doc_id keeps its row, repeated rows share a root, and an empty table gives an empty one.
     """
     prints = stage(docs.select("doc_id", fingerprint(F.col("text"), shingle).alias("fp"), F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("text_key")), "fingerprints")
     distinct = prints.select("fp").distinct()

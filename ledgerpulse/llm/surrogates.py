@@ -362,6 +362,7 @@ def replace_personal_data(docs: DataFrame, key: str) -> DataFrame:
     A null text stays null. Texts without personal data are passed on as they
     are, without a shuffle; the others meet their replacements by a digest of
     the text, which identical copies share. A column named ``surrogates`` is replaced.
+    Repeated rows are all returned, and an empty table gives an empty one.
     """
     docs = docs.drop("surrogates")
     spans, digest, other = unused(docs, "entity_spans", "text_digest", "other_digest")

@@ -121,7 +121,8 @@ class Counter:
 def count_tokens(docs: DataFrame, pieces: list[str]) -> DataFrame:
     """``docs`` with n_words, n_tokens and n_unknown of the whole text: words are what white space separates.
 
-    A null or empty text has none. Columns of these names are replaced; every row of ``docs`` stays.
+    A null or empty text has none. Columns of these names are replaced; every row of ``docs`` stays, repeated ones too, and an
+    empty table gives an empty one.
     """
     shared = docs.sparkSession.sparkContext.broadcast(pieces)  # as large as the vocabulary file
 

@@ -37,6 +37,67 @@ def test_held_out_accuracy(spark):
     assert np.mean([r.predicted == r.quality for r in held]) > 0.93
 
 
+def convex_levels(weight, positives):
+    """Isotonic levels as slopes of the greatest convex minorant of the cumulative sums: (first, stop, level)."""
+    w, p, at, out = np.append(0, np.cumsum(weight)), np.append(0, np.cumsum(positives)), 0, []
+    while at < len(weight):
+        slopes = (p[at + 1 :] - p[at]) / (w[at + 1 :] - w[at])
+        stop = at + 1 + int(np.flatnonzero(slopes <= slopes.min() + 1e-12)[-1])
+        out.append((at, stop, slopes.min()))
+        at = stop
+    return out
+
+
+def test_scores_against_brute_force(spark):
+    """The whole fit once more with NumPy on one table: least squares on the rows themselves, levels from a convex minorant."""
+    data = "/root/testdata/sf0.01"
+    docs = {r.doc_id: r.text for r in table(spark, data, "documents").collect()}
+    labels = {r.doc_id: r.quality for r in table(spark, data, "labels").collect()}
+    folds = {i: zlib.crc32(str(i).encode()) % 5 for i in docs}
+    statistics = {i: q.statistics(t) for i, t in docs.items()}
+    known = [i for i in docs if folds[i] and labels.get(i) in (0, 1)]
+    rows = np.array([statistics[i] for i in known])
+    mean, spread = rows.mean(axis=0), rows.std(axis=0)
+    spread[spread <= 1e-9] = 1
+    random = np.random.default_rng(q.SEED)
+    directions = random.normal(0, 1 / (q.WIDTH * np.sqrt(rows.shape[1])), (rows.shape[1], q.FEATURES))
+    phases = random.uniform(0, 2 * np.pi, q.FEATURES)
+
+    def waves(values):
+        z = np.clip((values - mean) / spread, -8, 8)
+        return np.column_stack([np.sqrt(2 / q.FEATURES) * np.cos(z @ directions + phases), np.ones(len(z))])
+
+    x, y, fold = waves(rows), np.array([labels[i] for i in known], dtype=float), np.array([folds[i] for i in known])
+
+    def ridge(mine, penalty):
+        weights = np.sqrt(np.append(np.full(q.FEATURES, penalty * mine.sum() / q.FEATURES), 1e-9))
+        return np.linalg.lstsq(np.vstack([x[mine], np.diag(weights)]), np.append(y[mine], np.zeros(len(weights))), rcond=None)[0]
+
+    left_out = np.zeros((len(q.PENALTIES), len(y)))
+    for p, penalty in enumerate(q.PENALTIES):
+        for k in range(1, 5):
+            left_out[p, fold == k] = x[fold == k] @ ridge(fold != k, penalty)
+    best = int(((left_out - y) ** 2).sum(axis=1).argmin())
+    score = left_out[best]
+    place = np.clip(((score + 1) / 3 * q.BINS).astype(int), 0, q.BINS - 1)
+    bins = np.unique(place)
+    weight, positives, total = (np.array([v[place == b].sum() for b in bins]) for v in (np.ones(len(y)), y, score))
+    blocks = convex_levels(weight, positives)
+    knots = [total[a:b].sum() / weight[a:b].sum() for a, b, _ in blocks]
+    final = waves(np.array(list(statistics.values()))) @ ridge(np.ones(len(y), dtype=bool), q.PENALTIES[best])
+    want = dict(zip(docs, np.interp(final, knots, [level for *_, level in blocks]), strict=True))
+    got = {r.doc_id: r.score for r in QUERIES["op5_quality"](spark, data).collect()}
+    assert got.keys() == want.keys()
+    assert max(abs(got[i] - want[i]) for i in want) < 1e-6
+
+
+def test_ties_of_labels(spark, documents):
+    """Labels of one id with a mean of 0.5 count as 1."""
+    docs = documents([(i, "A plain sentence of words. " * (1 + i)) for i in range(30)])
+    two = spark.createDataFrame([(i, k) for i in range(30) for k in (0, 1)], "doc_id bigint, quality int")
+    assert {r.score for r in q.score_documents(docs, two).collect()} == {1.0}
+
+
 def test_labels_of_held_out_rows_do_not_matter(spark, data):
     docs, labels = table(spark, data, "documents"), table(spark, data, "labels")
     held = q.fold_of(F.col("doc_id")) == 0

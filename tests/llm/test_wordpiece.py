@@ -1,4 +1,5 @@
 import random
+from collections import Counter
 
 import public_tokenizers
 from pyspark.sql import functions as F
@@ -48,6 +49,16 @@ def test_long_words_are_read_once():
         assert automaton.count(word) == greedy(word, set(pieces), max(map(len, pieces)))
 
 
+def test_very_long_texts(spark, documents):
+    rng = random.Random(6)
+    pieces = w.pieces_of(PATH)
+    found = set(pieces)
+    texts = [" ".join(rng.choices(["hello", "Übergröße", "12,345", "x" * 40, "naïve"], k=300_000)), "a" * 2_000_000]
+    rows = w.count_tokens(documents(list(enumerate(texts))), pieces).collect()
+    want = {0: sum((greedy(x, found, 20) or 1) * n for x, n in Counter(texts[0].split()).items()), 1: greedy(texts[1], found, 20) or 1}
+    assert {r.doc_id: r.n_tokens for r in rows} == want and {r.n_words for r in rows} == {300_000, 1}
+
+
 def test_untidy_rows(spark, documents):
     docs = documents([(1, "the cat"), (1, "the cat"), (None, "a"), (2, None), (3, " \n "), (4, "\U0001f9ff\U0001f9ff ok")]).withColumn("n_words", F.lit("x"))
     counted = w.count_tokens(docs, ["▁the", "▁", "c", "at", "▁a", "▁ok"])
