@@ -32,8 +32,8 @@ TASK_PIECES = 100_000
 LEAST_GAIN = 0.005
 #: Distinct words whose ids a worker remembers, twice, and the longest of them in bytes.
 REMEMBERED, LONGEST = 300_000, 64
-#: Bytes of text that are tokenised together.
-TOGETHER = 1 << 23
+#: Bytes of text whose words are looked up together, and words that one call tokenises: an encoding takes many times its ids.
+TOGETHER, CALL = 1 << 23, 1 << 14
 
 # Ids are text on their way through pandas, where a missing one would make all of them floating-point numbers.
 PIECES = "doc_id string, piece int, start bigint, length bigint, ids_crc32 bigint"
@@ -65,7 +65,9 @@ class WordTokenizer:
         older = self.memory["older"]
         missing = [w for w, f in zip(words, found, strict=True) if f is None]
         new = {w: older[w] for w in missing if w in older}
-        new |= self._tokenised([w for w in missing if w not in new])
+        unknown = [w for w in missing if w not in new]
+        for i in range(0, len(unknown), CALL):
+            new |= self._tokenised(unknown[i : i + CALL])
         found = [new[w] if f is None else f for w, f in zip(words, found, strict=True)]
         if len(self.memory["newer"]) > REMEMBERED:
             self.memory["older"], self.memory["newer"] = self.memory["newer"], {}

@@ -268,11 +268,12 @@ def _scores(model: QualityModel | None):
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` without the rows whose score is below the threshold.
 
-    The rows are stored once with the statistics of their text, which training and scoring both read. Null texts are
-    empty, repeated rows have one score, an empty table gives an empty one; without labels every score is 0.5.
+    The statistics of the rows to learn from are stored without their text, and those of all rows are computed anew for
+    the scores: to store the texts beside them costs more memory of an executor than it saves time. Null texts are empty,
+    repeated rows have one score, an empty table gives an empty one; without labels every score is 0.5.
     """
-    statistics, score = unused(docs, "text_statistics", "quality_score")
-    rows = stage(docs.withColumn(statistics, text_statistics(F.col("text"))), "statistics")
     crc = fold_of(F.col("doc_id")).alias("crc")
-    model = _model(rows.select("doc_id", crc, F.col(statistics).alias("statistics")).where("crc > 0"), labels)
-    return rows.withColumn(score, _scores(model)(F.col(statistics))).where(F.col(score) >= threshold).select(*docs.columns)
+    rows = stage(docs.where(crc > 0).select("doc_id", crc, text_statistics(F.col("text")).alias("statistics")), "statistics")
+    model = _model(rows, labels)
+    (score,) = unused(docs, "quality_score")
+    return docs.withColumn(score, _scores(model)(text_statistics(F.col("text")))).where(F.col(score) >= threshold).drop(score)
