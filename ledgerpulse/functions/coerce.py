@@ -44,20 +44,26 @@ _REWRITES = {
     ),
 }
 _YEAR_FIRST = ((rf"^(\d{{4}})[/.](\d{{1,2}})[/.](\d{{1,2}}){_CLOCK}", "$1-$2-$3 $4$5"), (r"^(\d{4})(\d{2})(\d{2})$", "$1-$2-$3"))
-# two-digit years: 69 to 99 are of the last century
-_CENTURY = ((r"^@([0-5]\d|6[0-8])-", "20$1-"), (r"^@(\d{2})-", "19$1-"), (r"^@", ""))
+# Two-digit years: from this one on they are of the last century.
+LAST_CENTURY = "69"
+_HALF_DAY = r"^\d{4}-\d{1,2}-\d{1,2} (?:0?[1-9]|1[0-2]):[0-5]\d(?::[0-5]\d)?[AP]M$"
 _NAME = "(?i:(" + "|".join(f"{m[:3]}(?:{m[3:]})?" for m in MONTHS) + r"|sept))\.?"
+# month, year, day and clock; a text that begins with a digit can only be the first
 _NAMED = (
-    (rf"^(\d{{1,2}})(?:st|nd|rd|th)?[ -]+{_NAME}[ ,-]+{_YEAR}{_CLOCK}", 1, 2),
-    (rf"^{_NAME}[ -]+(\d{{1,2}})(?:st|nd|rd|th)?,?[ -]+{_YEAR}{_CLOCK}", 2, 1),
+    (rf"^(\d{{1,2}})(?:st|nd|rd|th)?[ -]+{_NAME}[ ,-]+{_YEAR}{_CLOCK}", "$2|$3|$1|$4$5"),
+    (rf"^{_NAME}[ -]+(\d{{1,2}})(?:st|nd|rd|th)?,?[ -]+{_YEAR}{_CLOCK}", "$1|$3|$2|$4$5"),
 )
 # A number as text files write it; the engine's own cast would also take a type suffix such as 100d.
 NUMBER = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$|^\s*[+-]?(?i:inf|infinity)\s*$"
 
 
 def _let(value: Column, use) -> Column:
-    """``use`` of a value that is computed once; kept out of generated code, which the patterns of dates would burst."""
-    return F.transform(F.array(value), use)[0]
+    """``use`` of a value that is computed once; kept out of generated code, which the patterns of dates would burst.
+
+    An aggregate over no elements ends with ``use``. An element of a transformed array would do the same, but there Spark
+    asks the whole of ``use`` for its type and nulls with every row.
+    """
+    return F.aggregate(F.array().cast("array<int>"), value, lambda held, _: held, use)
 
 
 def _rewritten(text: Column, patterns) -> Column:
@@ -66,41 +72,64 @@ def _rewritten(text: Column, patterns) -> Column:
     return text
 
 
+def _with_century(iso: Column) -> Column:
+    year = F.substring(iso, 2, 2)
+    short = F.concat(F.when(year < LAST_CENTURY, "20").otherwise("19"), F.substring(iso, 2, 64))
+    return F.when(~iso.startswith("@"), iso).when(F.substring(iso, 4, 1) == "-", short).otherwise(F.substring(iso, 2, 64))
+
+
 def _read(iso: Column) -> Column:
-    """Rewritten text to a time, a 12-hour clock by the pattern for it."""
+    """Rewritten text to a time, a 12-hour clock by arithmetic in its usual form, else by the pattern for it."""
+
+    def half_day(whole: Column) -> Column:
+        def turned(time: Column) -> Column:
+            hour, afternoon = F.hour(time), F.substring(whole, -2, 1) == "P"
+            hours = F.when(afternoon & (hour < 12), 12).when(~afternoon & (hour == 12), -12).otherwise(0)
+            return time + F.make_dt_interval(F.lit(0), hours)
+
+        by_pattern = F.try_to_timestamp(whole, F.lit("yyyy-M-d h:mm[:ss]a")).cast("timestamp_ntz")
+        in_24 = _let(F.left(whole, F.length(whole) - 2).try_cast("timestamp_ntz"), turned)
+        return F.when(whole.rlike(_HALF_DAY), in_24).otherwise(by_pattern)
 
     def time(whole: Column) -> Column:
-        half_day = F.try_to_timestamp(F.upper(whole), F.lit("yyyy-M-d h:mm[:ss]a")).cast("timestamp_ntz")
-        return F.when(whole.rlike("[AaPp][Mm]$"), half_day).otherwise(whole.try_cast("timestamp_ntz"))
+        return F.when(whole.rlike("[AaPp][Mm]$"), _let(F.upper(whole), half_day)).otherwise(whole.try_cast("timestamp_ntz"))
 
-    return _let(_rewritten(iso, _CENTURY), time)
+    return _let(_let(iso, _with_century), time)
 
 
 def _read_named(text: Column) -> Column:
     numbers = F.create_map(*[F.lit(x) for nr, m in enumerate(MONTHS, 1) for x in (m[:3], str(nr))])
-    found = F.lit(None).cast("string")
-    for pattern, day, name in reversed(_NAMED):
-        month = F.element_at(numbers, F.lower(F.substring(F.regexp_extract(text, pattern, name), 1, 3)))
-        iso = F.concat(F.regexp_replace(text, pattern, "@$3-"), month, F.regexp_replace(text, pattern, f"-${day} $4$5"))
-        found = F.when(text.rlike(pattern), iso).otherwise(found)
-    return _read(found)
+
+    def parts(marked: Column) -> Column:
+        # only a text that fits is changed: no pattern lets a bar through
+        return F.when(marked != text, _let(F.split(marked, r"\|"), lambda part: _read(iso(part))))
+
+    def iso(part: Column) -> Column:
+        month = F.element_at(numbers, F.lower(F.substring(part[0], 1, 3)))
+        return F.concat(F.lit("@"), part[1], F.lit("-"), month, F.lit("-"), part[2], F.lit(" "), part[3])
+
+    day_first, name_first = [F.regexp_replace(text, pattern, order) for pattern, order in _NAMED]
+    return _let(F.when(text.rlike(r"^\d"), day_first).otherwise(name_first), parts)
+
+
+def _in_range(read: Column) -> Column:
+    return F.when(read.between(F.lit(FIRST_TIME).cast("timestamp_ntz"), F.lit(LAST_TIME).cast("timestamp_ntz")), read)
 
 
 def to_timestamp(value: Column, order: str = MONTH_FIRST, is_text: bool = True) -> Column:
     """ISO text; numbers in ``order``, years in front, or month names, each perhaps with a clock. A time beyond the original's
     range is missing, like what cannot be read. A column of times or dates needs no reading: ``is_text=False``."""
 
-    def in_range(read: Column) -> Column:
-        return F.when(read.between(F.lit(FIRST_TIME).cast("timestamp_ntz"), F.lit(LAST_TIME).cast("timestamp_ntz")), read)
+    if not is_text:
+        return _in_range(value.try_cast("timestamp_ntz"))
+    return _let(value.cast("string"), lambda cell: _let(F.coalesce(cell.try_cast("timestamp_ntz"), _let(_trimmed(cell), lambda text: _untidy(text, order))), _in_range))
 
-    def untidy(text: Column) -> Column:
-        # cheap looks at a cell spare it the patterns
-        numbered = F.when(text.rlike(r"^\d+[/.-]\d|^\d{8}$"), _read(_rewritten(text, (*_REWRITES[order], *_YEAR_FIRST))))
-        return F.coalesce(numbered, F.when(text.rlike("[A-Za-z]{3}"), _read_named(text)))
 
-    if not is_text:
-        return in_range(value.try_cast("timestamp_ntz"))
-    return _let(value.cast("string"), lambda cell: _let(F.coalesce(cell.try_cast("timestamp_ntz"), _let(_trimmed(cell), untidy)), in_range))
+def _untidy(text: Column, order: str) -> Column:
+    """A text that is not ISO to a time. Cheap looks at a cell spare it the patterns."""
+    patterns = F.when(text.rlike(r"^\d{4}"), _rewritten(text, _YEAR_FIRST)).otherwise(_rewritten(text, _REWRITES[order]))
+    numbered = F.when(text.rlike(r"^\d+[/.-]\d|^\d{8}$"), _read(patterns))
+    return F.coalesce(numbered, F.when(text.rlike("[A-Za-z]{3}"), _read_named(text)))
 
 
 def _trimmed(cell: Column) -> Column:
@@ -112,13 +141,15 @@ def date_kind(value: Column) -> Column:
     ``unread``; null for a null."""
 
     def kind(text: Column) -> Column:
-        other = F.when(to_timestamp(text, UNSURE).isNotNull(), "other_formats").otherwise("unread")
+        other = F.when(_let(_untidy(text, UNSURE), _in_range).isNotNull(), "other_formats").otherwise("unread")
         return (
             F.when(text.isNull(), None)
+            # no text of two numbers and a year is ISO, and only such a text needs the patterns
+            .when(text.try_cast("timestamp_ntz").isNotNull(), "iso")
+            .when(~text.rlike(r"^\d{1,2}[/.-]"), other)
             .when(text.rlike(_REWRITES[UNSURE][0][0]), "only_day_first")
             .when(text.rlike(_REWRITES[UNSURE][1][0]), "only_month_first")
             .when(text.rlike(rf"^{_MONTH}([/.-]){_MONTH}\2{_YEAR}{_CLOCK}"), "either")
-            .when(text.try_cast("timestamp_ntz").isNotNull(), "iso")
             .otherwise(other)
         )
 

@@ -92,3 +92,11 @@ def test_one_job_counts_all_columns(spark):
     plan = date_votes(df, {"a": "datetime", "b": "datetime"})._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Scan") <= 2 and "partial_count(kind" in plan
     assert clean(df, {"a": "datetime", "b": "datetime"}, {"a": "day_first"}).first() == (D(2024, 12, 31),) * 2
+
+
+def test_no_value_is_bound_by_an_array(spark):
+    """An element of a transformed array asks the whole reading of a cell for its type with every row."""
+    df = column(spark, ["1/2/2024 12:05 AM", "1/2/2024 12:05:07 pm", "1/2/2024 1:05 PM", "1/2/2024 13:05 PM", "May 3rd, 24 11:00 am", "1|2"])
+    read = df.select("d", coerce.to_timestamp(F.col("d")).alias("t"), coerce.date_kind(F.col("d")).alias("k"))
+    assert [r.t for r in read.collect()] == [D(2024, 1, 2, 0, 5), D(2024, 1, 2, 12, 5, 7), D(2024, 1, 2, 13, 5), None, D(2024, 5, 3, 11), None]
+    assert "transform(" not in read._jdf.queryExecution().executedPlan().toString()
