@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerpulse.llm.frames import unused
+from ledgerpulse.llm.frames import TEXTS_AT_ONCE, unused
 from ledgerpulse.session import stage
 
 FEATURES = 384
@@ -242,7 +242,7 @@ def score_documents(docs: DataFrame, labels: DataFrame, threshold: float = THRES
     half up counts. Without any the score is 0.5, with a single class its share. Null texts are empty, repeated rows have one
     score, and an empty table gives an empty one.
     """
-    rows = stage(docs.select("doc_id", fold_of(F.col("doc_id")).alias("crc"), text_statistics(F.col("text")).alias("statistics")), "statistics")
+    rows = stage(docs.select("doc_id", fold_of(F.col("doc_id")).alias("crc"), text_statistics(F.col("text")).alias("statistics")), "statistics", TEXTS_AT_ONCE)
     model = _model(rows, labels)
     return rows.select(
         "doc_id",
@@ -272,7 +272,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD)
     empty, repeated rows have one score, an empty table gives an empty one; without labels every score is 0.5.
     """
     statistics, score = unused(docs, "text_statistics", "quality_score")
-    rows = stage(docs.withColumn(statistics, text_statistics(F.col("text"))), "statistics")
+    rows = stage(docs.withColumn(statistics, text_statistics(F.col("text"))), "statistics", TEXTS_AT_ONCE)
     crc = fold_of(F.col("doc_id")).alias("crc")
     model = _model(rows.select("doc_id", crc, F.col(statistics).alias("statistics")).where("crc > 0"), labels)
     return rows.withColumn(score, _scores(model)(F.col(statistics))).where(F.col(score) >= threshold).select(*docs.columns)

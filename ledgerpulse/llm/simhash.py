@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerpulse.llm.components import connected_components
-from ledgerpulse.llm.frames import unused
+from ledgerpulse.llm.frames import TEXTS_AT_ONCE, unused
 from ledgerpulse.session import stage
 
 SHINGLE = 3
@@ -246,7 +246,7 @@ def near_duplicate_classes(docs: DataFrame, shingle: int = SHINGLE, radius: int
     A null text is empty; empty texts share fingerprint 0, which links like any other. Nothing is dropped: a null
     doc_id keeps its row, repeated rows share a root, and an empty table gives an empty one.
     """
-    prints = stage(docs.select("doc_id", fingerprint(F.col("text"), shingle).alias("fp"), F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("text_key")), "fingerprints")
+    prints = stage(docs.select("doc_id", fingerprint(F.col("text"), shingle).alias("fp"), F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("text_key")), "fingerprints", TEXTS_AT_ONCE)
     distinct = prints.select("fp").distinct()
     classes = stage(connected_components(near_links(distinct, radius)), "classes")
     roots = stage(distinct.join(classes, distinct["fp"] == classes["node"], "left").select("fp", F.coalesce("root", "fp").alias("root")), "roots")
