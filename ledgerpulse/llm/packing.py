@@ -10,7 +10,7 @@ is written to the shared folder, so a lost executor repeats one round at most.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerpulse.llm.frames import rows, worker_memory
+from ledgerpulse.llm.frames import TEXTS_AT_ONCE, rows, worker_memory
 from ledgerpulse.session import stage
 
 CAPACITY = 2048
@@ -30,10 +30,10 @@ SLACK = 16
 TASK_PIECES = 100_000
 #: A round that saves a smaller share of the open sequences is the last.
 LEAST_GAIN = 0.005
-#: Distinct words whose ids a worker remembers, twice, and the longest of them in bytes.
-REMEMBERED, LONGEST = 300_000, 64
+#: Distinct words whose ids a worker remembers, those of the last texts first, and the longest of them in bytes.
+REMEMBERED, LONGEST = 600_000, 64
 #: Bytes of text whose words are looked up together, and words that one call tokenises: an encoding takes many times its ids.
-TOGETHER, CALL = 1 << 23, 1 << 14
+TOGETHER, CALL = 1 << 22, 1 << 14
 
 # Ids are text on their way through pandas, where a missing one would make all of them floating-point numbers.
 PIECES = "doc_id string, piece int, start bigint, length bigint, ids_crc32 bigint"
@@ -44,51 +44,76 @@ class WordTokenizer:
     """Token ids, as little-endian bytes, of texts under a tokenizer that never joins what white space separates.
 
     Texts are split and their distinct words numbered by Arrow; each distinct word of a group of texts is looked up once,
-    those not remembered are tokenised in one call, and the ids of the texts are gathered from those of the words.
+    those not remembered are tokenised, and the ids of the texts are gathered from those of the words. Words and ids are
+    remembered as arrays: a worker keeps them after its task, beside what the tasks of later stages take, and as Python
+    objects they were five times as large.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        # two generations of words: when the newer one is full, it becomes the older
         self.memory = worker_memory(f"words of {path}")
         if not self.memory:
-            self.memory.update(newer={}, older={})
+            self.memory.update(words=pa.array([], pa.large_string()), ids=np.zeros(0, dtype="<u4"), sizes=np.zeros(0, dtype=np.int64))
 
     def ids(self, texts: pa.Array) -> list[bytes]:
         split = pc.ascii_split_whitespace(pc.fill_null(texts.cast(pa.large_string()), ""))
         ends = split.offsets.to_numpy()[1:] - split.offsets[0].as_py()
         numbered = split.flatten().dictionary_encode()
-        words, which = numbered.dictionary.to_pylist(), numbered.indices.to_numpy()
-        found = list(map(self.memory["newer"].get, words))
-        older = self.memory["older"]
-        missing = [w for w, f in zip(words, found, strict=True) if f is None]
-        new = {w: older[w] for w in missing if w in older}
-        unknown = [w for w in missing if w not in new]
-        for i in range(0, len(unknown), CALL):
-            new |= self._tokenised(unknown[i : i + CALL])
-        found = [new[w] if f is None else f for w, f in zip(words, found, strict=True)]
-        if len(self.memory["newer"]) > REMEMBERED:
-            self.memory["older"], self.memory["newer"] = self.memory["newer"], {}
-        self.memory["newer"].update((w, i) for w, i in new.items() if len(w) <= LONGEST)
-
-        sizes = np.fromiter(map(len, found), dtype=np.int64, count=len(found)) // 4
-        starts = np.cumsum(sizes) - sizes
-        counts = sizes[which]
-        stops = np.cumsum(counts)
-        source = np.arange(stops[-1] if len(stops) else 0) + np.repeat(starts[which] - stops + counts, counts)
-        ids = np.frombuffer(b"".join(found), dtype="<u4")[source].tobytes()
+        place, ids, sizes = self._looked_up(numbered.dictionary)
+
+        which = place[numbered.indices.to_numpy()]
+        stops = np.cumsum(sizes[which])
+        ids = ids[_runs((np.cumsum(sizes) - sizes)[which], sizes[which])].tobytes()
         cuts = (4 * np.concatenate(([0], stops))[np.concatenate(([0], ends))]).tolist()
         return [ids[i:j] for i, j in zip(cuts[:-1], cuts[1:], strict=True)]
 
-    def _tokenised(self, words: list[str]) -> dict[str, bytes]:
-        if not words:
-            return {}
+    def _looked_up(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For distinct words their places among runs of ids: the ids, and the size of each run."""
+        known = self.memory["words"]
+        place = pc.fill_null(pc.index_in(words, value_set=known), -1).to_numpy().astype(np.int64)
+        unknown = np.flatnonzero(place < 0)
+        place[unknown] = len(known) + np.arange(len(unknown))
+        new = words.take(pa.array(unknown))
+        parts = [self._tokenised(new[i : i + CALL].to_pylist()) for i in range(0, len(new), CALL)]
+        ids = np.concatenate([self.memory["ids"], *[part[0] for part in parts]])
+        sizes = np.concatenate([self.memory["sizes"], *[part[1] for part in parts]])
+        self._remember(pa.concat_arrays([known, new]), ids, sizes, place)
+        return place, ids, sizes
+
+    def _remember(self, words: pa.Array, ids: np.ndarray, sizes: np.ndarray, place: np.ndarray) -> None:
+        """Keep the words at ``place``, and of the others the last ones, as many as there is room for."""
+        other = np.ones(len(words), dtype=bool)
+        other[place] = False
+        order = np.concatenate([place, np.flatnonzero(other)])
+        order = order[(pc.binary_length(words).to_numpy() <= LONGEST)[order]][:REMEMBERED]
+        starts = np.cumsum(sizes) - sizes
+        self.memory.update(words=words.take(pa.array(order)), ids=ids[_runs(starts[order], sizes[order])], sizes=sizes[order])
+
+    def _tokenised(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the words one after the other, and the number of each."""
         encoded = self.tokenizer.encode(words, is_pretokenized=True, add_special_tokens=False)
-        ids = np.array(encoded.ids, dtype="<u4").tobytes()
-        ends = np.searchsorted(np.array(encoded.word_ids), np.arange(len(words)), side="right") * 4
-        return {w: ids[a:b] for w, a, b in zip(words, [0, *ends[:-1].tolist()], ends.tolist(), strict=True)}
+        return np.array(encoded.ids, dtype="<u4"), np.bincount(np.array(encoded.word_ids, dtype=np.int64), minlength=len(words))
+
+
+def _runs(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The places of runs, one run after the other."""
+    places = np.repeat(starts - np.cumsum(sizes) + sizes, sizes)
+    places += np.arange(len(places))
+    return places
+
+
+def _together(batches: Iterable[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    """The rows of ``batches`` in batches of about ``size`` bytes, larger ones as they are."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if held and sum(b.nbytes for b in held) + batch.nbytes > size:
+            yield pa.concat_batches(held)
+            held = []
+        held.append(batch)
+    if held:
+        yield pa.concat_batches(held)
 
 
 def _groups(texts: pa.Array, size: int) -> Iterator[tuple[int, int]]:
@@ -111,7 +136,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY)
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = WordTokenizer(tokenizer_path)
         step = 4 * capacity
-        for batch in batches:
+        for batch in _together(batches, TOGETHER):
             docs, texts = batch.column("doc_id"), batch.column("text")
             for first, stop in _groups(texts, TOGETHER):
                 out: list[tuple[int, int, int, int, int]] = []
@@ -123,6 +148,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY)
                 row, piece, at, length, crc = (np.array(c) for c in zip(*out, strict=True))
                 columns = [docs.take(pa.array(row)), pa.array(piece, pa.int32()), pa.array(at), pa.array(length), pa.array(crc)]
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "piece", "start", "length", "ids_crc32"])
+                pa.default_memory_pool().release_unused()  # workers live on, and Arrow keeps what it has freed
 
     return docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text").mapInArrow(cut, PIECES)
 
@@ -179,7 +205,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, slack: int = SLACK, task_p
     Pieces need the columns of ``token_pieces``; a piece of full length is a sequence of its own.
     """
     schema = f"{PACKED}, filled bigint"
-    pieces = stage(pieces, "pieces")
+    pieces = stage(pieces, "pieces", TEXTS_AT_ONCE)
     # at first every piece is a sequence; the running number is only a key that tells repeated pieces apart
     alone = pieces.withColumns({"sequence_id": F.monotonically_increasing_id(), "offset": F.lit(0).cast("bigint"), "filled": F.col("length")})
     done = [alone.where(F.col("filled") > capacity - slack).withColumn("sequence_id", -1 - F.col("sequence_id"))]

@@ -32,6 +32,8 @@ PENALTIES = (1e-4, 1e-3, 1e-2, 1e-1)
 WIDTH = 1.0
 BINS = 4096
 THRESHOLD = 0.3
+#: Rows whose features a worker holds at once, 3 MB.
+AT_ONCE = 1000
 #: Bytes that the compression statistic looks at together.
 BLOCK = 1 << 16
 
@@ -126,6 +128,13 @@ class QualityModel:
         return np.clip(np.interp(self.features(rows) @ self.weights, self.knots, self.levels), 0.0, 1.0)
 
 
+def _slices(batches: Iterator[Any]) -> Iterator[Any]:
+    """The batches in parts of at most ``AT_ONCE`` rows."""
+    for batch in batches:
+        for at in range(0, len(batch), AT_ONCE):
+            yield batch.iloc[at : at + AT_ONCE]
+
+
 def _matrix(column: pd.Series) -> np.ndarray:
     return np.array(column.tolist(), dtype=np.float64).reshape(len(column), len(STATISTICS))
 
@@ -136,7 +145,7 @@ def _sums(model: QualityModel, folds: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         size = len(model.phases) + 1
         total = np.zeros((folds, size, size + 1))
-        for batch in batches:
+        for batch in _slices(batches):
             x, y, fold = model.features(_matrix(batch["statistics"])), batch["label"].to_numpy(dtype=np.float64), batch["fold"].to_numpy()
             for k in range(folds):
                 mine = fold == k
@@ -216,7 +225,7 @@ def _histogram(model: QualityModel, trial: np.ndarray):
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums = np.zeros((len(PENALTIES), BINS, 4))
-        for batch in batches:
+        for batch in _slices(batches):
             x, y, fold = model.features(_matrix(batch["statistics"])), batch["label"].to_numpy(dtype=np.float64), batch["fold"].to_numpy()
             for p in range(len(PENALTIES)):
                 score = np.einsum("ij,ij->i", x, trial[fold, p])
@@ -260,7 +269,8 @@ def _model(rows: DataFrame, labels: DataFrame) -> QualityModel | None:
 def _scores(model: QualityModel | None):
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for rows in batches:
-            yield pd.Series(model.score(_matrix(rows)) if model else np.full(len(rows), 0.5))
+            parts = [model.score(_matrix(part)) if model else np.full(len(part), 0.5) for part in _slices([rows])]
+            yield pd.Series(np.concatenate([np.zeros(0), *parts]))
 
     return F.pandas_udf(run, "double").asNondeterministic()
 

@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerpulse.llm.frames import unused
+from ledgerpulse.llm.frames import TEXTS_AT_ONCE, unused
 from ledgerpulse.session import stage
 
 #: From this attempt on a candidate may be longer than its entity, so that a full format never blocks.
@@ -369,7 +369,7 @@ def replace_personal_data(docs: DataFrame, key: str) -> DataFrame:
     found = find_entities(docs, spans)
     with_digest = F.md5(F.col("text").cast("binary"))
     mentions = stage(
-        found.where(F.size(spans) > 0).select(with_digest.alias(digest), F.explode(spans).alias("e")).select(digest, "e.*").distinct(), "mentions"
+        found.where(F.size(spans) > 0).select(with_digest.alias(digest), F.explode(spans).alias("e")).select(digest, "e.*").distinct(), "mentions", TEXTS_AT_ONCE
     )
     kinds = stage(settled_kinds(mentions.select("kind", "value").distinct()), "kinds")
     drawn = assign(kinds.select(F.col("settled").alias("kind"), "value").distinct(), key).withColumnRenamed("kind", "settled")
@@ -386,7 +386,8 @@ def replace_personal_data(docs: DataFrame, key: str) -> DataFrame:
             yield pd.DataFrame([_applied(t, r) for t, r in zip(texts, replaced, strict=True)], columns=["text", "surrogates"])
 
     touched = found.where(F.size(spans) > 0).drop(spans).withColumn(digest, with_digest)
-    touched = touched.join(per_text, F.col(digest) == F.col(other)).drop(digest, other)
+    # a broadcast would put both functions into one task, which takes two Python workers; idle ones keep their memory
+    touched = touched.join(per_text.hint("merge"), F.col(digest) == F.col(other)).drop(digest, other)
     (new,) = unused(touched, "replaced")
     touched = touched.withColumn(new, apply("text", "surrogates"))
     clean = found.where(F.size(spans) == 0).select(*docs.columns, F.array().cast(_SPANS.replace("value", "surrogate")).alias("surrogates"))

@@ -3,6 +3,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -74,3 +75,28 @@ def test_query_against_brute_force(spark, data):
     want = brute_pieces(docs)
     assert sorted((tuple(r)[:5] for r in rows), key=str) == want
     assert check(rows) <= 1.02 * -(-sum(w[3] for w in want) // 2048) + 1
+
+
+def test_words_are_remembered_as_arrays_up_to_a_bound(monkeypatch):
+    kept = {}
+    monkeypatch.setattr(p, "worker_memory", lambda name: kept.setdefault(name, {}))
+    monkeypatch.setattr(p, "REMEMBERED", 3000)
+    monkeypatch.setattr(p, "CALL", 700)
+    tokenizer, plain = p.WordTokenizer(PATH), Tokenizer.from_file(PATH)
+    texts = [" ".join(f"{'w' * (n % 90)}{n}" for n in range(at, at + 2000)) for at in (0, 1000, 5000, 0)]
+    for text in (*texts, "", None, "w0"):
+        want = np.array(plain.encode(text or "", add_special_tokens=False).ids, dtype="<u4").tobytes()
+        assert tokenizer.ids(pa.array([text, text], pa.string())) == [want, want]
+        (memory,) = kept.values()
+        words = memory["words"].to_pylist()
+        assert len(words) == len(set(words)) == len(memory["sizes"]) <= 3000 and max(map(len, words)) <= 64
+        assert sum(memory["sizes"]) == len(memory["ids"])
+        assert sum(x.nbytes for x in memory.values()) < 300 * len(words)
+    assert words[0] == "w0"  # the words of the last texts come first
+
+
+def test_batches_are_joined_up_to_a_size():
+    batches = [pa.RecordBatch.from_pydict({"text": pa.array(["x" * 10] * n, pa.string())}) for n in (1, 2, 0, 50, 3, 3)]
+    joined = list(p._together(iter(batches), 100))
+    assert [b.num_rows for b in joined] == [3, 50, 6]
+    assert list(p._together(iter([]), 100)) == []

@@ -1,6 +1,7 @@
 import zlib
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from ledgerpulse.llm import quality as q
@@ -122,3 +123,24 @@ def test_untidy_rows(spark, documents):
     none = q.score_documents(docs, labels.limit(0)).collect()
     assert {r.score for r in none} == {0.5}
     assert q.score_documents(docs.limit(0), labels).count() == 0
+
+
+def test_features_are_held_for_few_rows_at_once(monkeypatch):
+    n, size = 3 * q.AT_ONCE + 7, len(q.STATISTICS)
+    rng = np.random.default_rng(0)
+    model = q.QualityModel(np.zeros(size), np.ones(size), rng.normal(size=(size, 5)), np.ones(5), np.arange(6.0), np.array([-3.0, 9.0]), np.array([0.0, 1.0]))
+    rows = pd.DataFrame({"statistics": list(rng.normal(size=(n, size))), "label": np.arange(n) % 2, "fold": np.arange(n) % 3})
+    x, seen, features = model.features(q._matrix(rows["statistics"])), [], q.QualityModel.features
+    monkeypatch.setattr(q.QualityModel, "features", lambda self, part: seen.append(len(part)) or features(self, part))
+    sums = pd.concat(q._sums(model, 3)(iter([rows])))
+    for k in range(3):
+        own = rows["fold"] == k
+        want = x[own].T @ np.column_stack([x[own], rows["label"][own]])
+        assert np.allclose(np.array(sums[sums["fold"] == k]["sums"].tolist()), want)
+    found = pd.concat(q._histogram(model, np.ones((3, len(q.PENALTIES), 6)))(iter([rows, rows.iloc[:0]])))
+    assert (found.groupby("penalty")["rows"].sum() == n).all()
+    assert sum(seen) == 2 * n and max(seen) <= q.AT_ONCE
+    (scores,) = q._scores(model).func(iter([rows["statistics"]]))
+    assert len(scores) == n and max(seen) <= q.AT_ONCE
+    assert np.allclose(scores, np.clip(np.interp(x @ model.weights, model.knots, model.levels), 0, 1))
+    assert (next(q._scores(None).func(iter([rows["statistics"]]))) == 0.5).all()

@@ -142,3 +142,9 @@ def test_many_names_in_one_text():
     found = s.entities(text)
     assert len(found) == 160_000 and {v for *_, v in found} == {n.lower() for n in names}
     assert time.monotonic() - start < 60
+
+
+def test_a_task_finds_or_replaces(spark):
+    docs = spark.createDataFrame([(1, "write jo@example.com"), (2, "nothing")], "doc_id long, text string")
+    plan = s.replace_personal_data(docs, KEY)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
