@@ -9,8 +9,10 @@ is written to the shared folder, so a lost executor repeats one round at most.
 
 from __future__ import annotations
 
+import json
 import zlib
 from collections.abc import Callable, Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -35,6 +37,24 @@ REMEMBERED, LONGEST = 600_000, 64
 #: Bytes of text whose words are looked up together, and words that one call tokenises: an encoding takes many times its ids.
 TOGETHER, CALL = 1 << 22, 1 << 14
 
+#: The rules under which a plain word falls into pieces that the model gets as they are, and added tokens that hold this mark.
+RULES = {
+    "normalizer": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}],
+    "pretokenizers": [
+        {
+            "type": "Split",
+            "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"},
+            "behavior": "Removed",
+            "invert": True,
+        },
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
+MARK = "<|"
+#: Plain words: visible ASCII and the Latin-1 letters with accents, which NFC leaves alone; and their pieces in lower case.
+PLAIN = "^[!-~À-ÖØ-öø-ÿ]+$"
+PIECE = "'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+"
+
 # Ids are text on their way through pandas, where a missing one would make all of them floating-point numbers.
 PIECES = "doc_id string, piece int, start bigint, length bigint, ids_crc32 bigint"
 PACKED = f"{PIECES}, sequence_id bigint, offset bigint"
@@ -47,26 +67,28 @@ class WordTokenizer:
     those not remembered are tokenised, and the ids of the texts are gathered from those of the words. Words and ids are
     remembered as arrays: a worker keeps them after its task, beside what the tasks of later stages take, and as Python
     objects they were five times as large.
+
+    Plain words under ``RULES`` are lower-cased and split by Arrow, and the tokenizer's model gets each distinct piece once:
+    the tokenizer's own normalizer, splitter and encodings take most of its time. All other words are left to it whole.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
+        self.ruled = _follows_rules(self.tokenizer)
+        self.as_bytes = {c: _byte_level(chr(c)) for c in range(0xDF, 0x100)}
         self.memory = worker_memory(f"words of {path}")
         if not self.memory:
             self.memory.update(words=pa.array([], pa.large_string()), ids=np.zeros(0, dtype="<u4"), sizes=np.zeros(0, dtype=np.int64))
 
     def ids(self, texts: pa.Array) -> list[bytes]:
         split = pc.ascii_split_whitespace(pc.fill_null(texts.cast(pa.large_string()), ""))
-        ends = split.offsets.to_numpy()[1:] - split.offsets[0].as_py()
         numbered = split.flatten().dictionary_encode()
         place, ids, sizes = self._looked_up(numbered.dictionary)
-
-        which = place[numbered.indices.to_numpy()]
-        stops = np.cumsum(sizes[which])
-        ids = ids[_runs((np.cumsum(sizes) - sizes)[which], sizes[which])].tobytes()
-        cuts = (4 * np.concatenate(([0], stops))[np.concatenate(([0], ends))]).tolist()
+        ids, stops = _joined(split, place[numbered.indices.to_numpy()], ids, sizes)
+        ids, cuts = ids.tobytes(), (4 * stops).tolist()
         return [ids[i:j] for i, j in zip(cuts[:-1], cuts[1:], strict=True)]
 
     def _looked_up(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -74,9 +96,12 @@ class WordTokenizer:
         known = self.memory["words"]
         place = pc.fill_null(pc.index_in(words, value_set=known), -1).to_numpy().astype(np.int64)
         unknown = np.flatnonzero(place < 0)
+        plain = self._plain(words.take(pa.array(unknown)))
+        unknown, n = np.concatenate([unknown[plain], unknown[~plain]]), int(plain.sum())
         place[unknown] = len(known) + np.arange(len(unknown))
         new = words.take(pa.array(unknown))
-        parts = [self._tokenised(new[i : i + CALL].to_pylist()) for i in range(0, len(new), CALL)]
+        parts = [self._by_pieces(new[:n])]
+        parts += [self._tokenised(new[i : i + CALL].to_pylist()) for i in range(n, len(new), CALL)]
         ids = np.concatenate([self.memory["ids"], *[part[0] for part in parts]])
         sizes = np.concatenate([self.memory["sizes"], *[part[1] for part in parts]])
         self._remember(pa.concat_arrays([known, new]), ids, sizes, place)
@@ -91,12 +116,52 @@ class WordTokenizer:
         starts = np.cumsum(sizes) - sizes
         self.memory.update(words=words.take(pa.array(order)), ids=ids[_runs(starts[order], sizes[order])], sizes=sizes[order])
 
+    def _plain(self, words: pa.Array) -> np.ndarray:
+        """Whether the words can be split by Arrow."""
+        if not self.ruled:
+            return np.zeros(len(words), dtype=bool)
+        plain = pc.and_not(pc.match_substring_regex(words, PLAIN), pc.match_substring(words, MARK))
+        return plain.to_numpy(zero_copy_only=False)
+
+    def _by_pieces(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of plain words one after the other, and the number of each."""
+        split = pc.ascii_split_whitespace(pc.replace_substring_regex(pc.utf8_lower(words), PIECE, r"\0 "))
+        numbered = split.flatten().dictionary_encode()
+        ids, sizes = [np.zeros(0, dtype="<u4")], [np.zeros(0, dtype=np.int64)]
+        for i in range(0, len(numbered.dictionary), CALL):
+            found = [[token.id for token in self.model.tokenize(p.translate(self.as_bytes))] for p in numbered.dictionary[i : i + CALL].to_pylist()]
+            ids.append(np.fromiter(chain.from_iterable(found), dtype="<u4"))
+            sizes.append(np.fromiter(map(len, found), dtype=np.int64))
+        ids, stops = _joined(split, numbered.indices.to_numpy(), np.concatenate(ids), np.concatenate(sizes))
+        return ids, np.diff(stops)
+
     def _tokenised(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of the words one after the other, and the number of each."""
         encoded = self.tokenizer.encode(words, is_pretokenized=True, add_special_tokens=False)
         return np.array(encoded.ids, dtype="<u4"), np.bincount(np.array(encoded.word_ids, dtype=np.int64), minlength=len(words))
 
 
+def _follows_rules(tokenizer) -> bool:
+    """Whether a tokenizer treats words by ``RULES``."""
+    normalizer, pre_tokenizer = (json.loads(part.__getstate__()) if part else {} for part in (tokenizer.normalizer, tokenizer.pre_tokenizer))
+    rules = {"normalizer": normalizer.get("normalizers"), "pretokenizers": pre_tokenizer.get("pretokenizers")}
+    return rules == RULES and all(MARK in t.content and not t.normalized for t in tokenizer.get_added_tokens_decoder().values())
+
+
+def _byte_level(text: str) -> str:
+    """The characters that stand for the UTF-8 bytes of ``text`` in a byte-level vocabulary."""
+    from tokenizers.pre_tokenizers import ByteLevel
+
+    return ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str(text)[0][0]
+
+
+def _joined(split: pa.Array, which: np.ndarray, ids: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of lists one after the other, and where each list stops, from 0 on; ``which`` run of ids each element has."""
+    ends = split.offsets.to_numpy() - split.offsets[0].as_py()
+    stops = np.concatenate(([0], np.cumsum(sizes[which])))[ends]
+    return ids[_runs((np.cumsum(sizes) - sizes)[which], sizes[which])], stops
+
+
 def _runs(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """The places of runs, one run after the other."""
     places = np.repeat(starts - np.cumsum(sizes) + sizes, sizes)

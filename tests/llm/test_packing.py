@@ -5,7 +5,7 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import functions as F
-from tokenizers import Tokenizer
+from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
 from ledgerpulse.llm import packing as p
 from ledgerpulse.llm.queries import QUERIES, table
@@ -100,3 +100,48 @@ def test_batches_are_joined_up_to_a_size():
     joined = list(p._together(iter(batches), 100))
     assert [b.num_rows for b in joined] == [3, 50, 6]
     assert list(p._together(iter([]), 100)) == []
+
+
+def odd_words():
+    for c in map(chr, [*range(1, 0x250), 0x301, 0x331, 0x3A3, 0x1E9E, 0x2019, 0x2028, 0x212A, 0x4E2D, 0xAC00, 0x1F600]):
+        yield from (c, f"{c}{c}", f"a{c}", f"{c}a", f"H{c}É", f"É{c}1{c}", f"'{c}", f"{c}'s", f"é'{c}e.")
+    yield from "DON'T don''t ''s 'S's we'VE'll'd're'M A\u0300b h\u0331 H\u0331 J\u030c 12ab3, x--y!? STRASSE straße".split()
+    yield from ("<|endoftext|>", "<|ENDOFTEXT|>", "é<|startoftext|>a'S", "<|", "|>", "<|endoftext|", "x" * 3000, "Àé" * 500)
+
+
+def tokenizer_without_memory(monkeypatch, path):
+    kept = {}
+    monkeypatch.setattr(p, "worker_memory", lambda name: kept.setdefault(name, {}))
+    return p.WordTokenizer(path)
+
+
+def test_words_by_pieces_against_the_tokenizer(monkeypatch):
+    tokenizer, plain = tokenizer_without_memory(monkeypatch, PATH), Tokenizer.from_file(PATH)
+    words = list(odd_words())
+    want = [np.array(plain.encode(w, add_special_tokens=False).ids, dtype="<u4").tobytes() for w in words]
+    assert tokenizer.ids(pa.array(words, pa.string())) == want
+    assert tokenizer_without_memory(monkeypatch, PATH).ids(pa.array(words[::-1], pa.string())) == want[::-1]
+
+
+def test_plain_words_are_not_left_to_the_whole_tokenizer(monkeypatch):
+    whole = []
+    run = p.WordTokenizer._tokenised
+    monkeypatch.setattr(p.WordTokenizer, "_tokenised", lambda self, words: (whole.extend(words), run(self, words))[1])
+    tokenizer = tokenizer_without_memory(monkeypatch, PATH)
+    tokenizer.ids(pa.array(["It's plain, \"Été\" (1999)!", "ẽ plain h\u0331 <|endoftext|> x\u00a0y", "it's Ünlü"], pa.string()))
+    assert sorted(whole) == sorted(["ẽ", "h\u0331", "<|endoftext|>", "x\u00a0y"])
+
+
+def test_other_rules_leave_all_words_to_the_tokenizer(monkeypatch, tmp_path):
+    words = ["DON'T", "l'été", "a-b", "12", "<|endoftext|>", "Plain", "<end>x"]
+    for k, change in enumerate(("normalizer", "pre_tokenizer", "added")):
+        other = Tokenizer.from_file(PATH)
+        if change == "normalizer":
+            other.normalizer = normalizers.NFC()
+        elif change == "pre_tokenizer":
+            other.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False)
+        else:
+            other.add_special_tokens(["<end>"])
+        other.save(str(tmp_path / f"{k}.json"))
+        want = [np.array(other.encode(w, add_special_tokens=False).ids, dtype="<u4").tobytes() for w in words]
+        assert tokenizer_without_memory(monkeypatch, str(tmp_path / f"{k}.json")).ids(pa.array(words, pa.string())) == want
